@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("portfolio_queries", "transaction_queries")
+_MODULES = ("portfolio_queries", "transaction_queries", "scoring_queries")
 
 
 def load_all():
