@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("portfolio_queries", "transaction_queries", "scoring_queries")
+_MODULES = ("portfolio_queries", "transaction_queries", "scoring_queries",
+            "mention_queries")
 
 
 def load_all():
