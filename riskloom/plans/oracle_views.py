@@ -129,4 +129,8 @@ def with_views(sql: str, names: tuple[str, ...] | list[str]) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][0]}\n)" for n in order)
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        # merge the query's own CTEs into one WITH list
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"
