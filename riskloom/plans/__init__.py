@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ("portfolio_queries", "transaction_queries", "scoring_queries",
-            "mention_queries", "anomaly_queries")
+            "mention_queries", "anomaly_queries", "stream_queries")
 
 
 def load_all():
