@@ -17,6 +17,10 @@ Grid method (Gunawan 2013; Gan & Tao 2015), all as joins and aggregations:
 
 Box distances carry a relative safety margin, so floating-point rounding only
 moves a cell to the exact point-by-point path, never to a wrong answer.
+
+The point table and the core flags are each read by several later joins, so
+both are written once to the shared checkpoint folder (``checkpoint()``):
+plans stay small and a lost executor does not recompute from the source.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
+
 _MARGIN = 1e-9
 
 
@@ -66,7 +72,8 @@ def density_noise(df: DataFrame, cols, eps: float = 0.5, min_samples: int = 5,
     cc = [f"c{i}" for i in range(d)]
     pts = df.select(F.col(id_col).alias("pid"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
     xs = [f"x{i}" for i in range(d)]
-    pts = pts.select("pid", *xs, *_cells(pts, xs, side, "c"))
+    # every later step reads the points several times: materialise them once
+    pts = cut_lineage(pts.select("pid", *xs, *_cells(pts, xs, side, "c")))
 
     counts = pts.groupBy(*cc).agg(F.count(F.lit(1)).alias("cnt"))
     dense = counts.filter(F.col("cnt") >= min_samples).select(*cc)
@@ -97,6 +104,7 @@ def density_noise(df: DataFrame, cols, eps: float = 0.5, min_samples: int = 5,
                .join(sparse_core, "pid", "left")
                .withColumn("is_core", F.coalesce("core_d", "core_s", F.lit(False)))
                .drop("core_d", "core_s"))
+    flagged = cut_lineage(flagged)
 
     # border test for non-core points: any core point within eps?
     core_counts = (flagged.filter("is_core").groupBy(*cc).agg(F.count(F.lit(1)).alias("ccnt"))
