@@ -90,8 +90,11 @@ def density_noise(df: DataFrame, cols, eps: float = 0.5, min_samples: int = 5,
     withc = withc.withColumn("bmin", bmin).withColumn("bmax", bmax)
     full = (withc.filter(F.col("bmax") <= eps * (1 - _MARGIN))
             .groupBy("pid").agg(F.sum("cnt").alias("k_full")))
-    partial = withc.filter((F.col("bmax") > eps * (1 - _MARGIN)) & (F.col("bmin") <= eps * (1 + _MARGIN))) \
-        .select("pid", *xs, *ncell)
+    # exact early exit: a point whose fully covered cells already hold min_samples is core
+    settled = full.filter(F.col("k_full") >= min_samples).select("pid")
+    partial = (withc.filter((F.col("bmax") > eps * (1 - _MARGIN)) & (F.col("bmin") <= eps * (1 + _MARGIN)))
+               .join(settled, "pid", "left_anti")
+               .select("pid", *xs, *ncell))
     others = pts.select(F.col("pid").alias("qid"), *[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)],
                         *[F.col(c).alias(n) for c, n in zip(cc, ncell)])
     ys = [f"y{i}" for i in range(d)]
@@ -114,9 +117,11 @@ def density_noise(df: DataFrame, cols, eps: float = 0.5, min_samples: int = 5,
         "pid", *xs, *[(F.col(f"o.o{i}") + F.floor(F.col(xs[i]) / F.lit(side)).cast("long")).alias(f"n{i}")
                       for i in range(d)])
     w2 = nb2.join(core_counts, ncell).withColumn("bmin", bmin).withColumn("bmax", bmax)
-    near_full = w2.filter(F.col("bmax") <= eps * (1 - _MARGIN)).select("pid")
-    part2 = w2.filter((F.col("bmax") > eps * (1 - _MARGIN)) & (F.col("bmin") <= eps * (1 + _MARGIN))) \
-        .select("pid", *xs, *ncell)
+    near_full = w2.filter(F.col("bmax") <= eps * (1 - _MARGIN)).select("pid").distinct()
+    # exact early exit: a fully covered cell with a core point already decides "not noise"
+    part2 = (w2.filter((F.col("bmax") > eps * (1 - _MARGIN)) & (F.col("bmin") <= eps * (1 + _MARGIN)))
+             .join(near_full, "pid", "left_anti")
+             .select("pid", *xs, *ncell))
     core_pts = (flagged.filter("is_core")
                 .select(*[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)],
                         *[F.col(c).alias(n) for c, n in zip(cc, ncell)]))

@@ -1,11 +1,12 @@
 """Isolation forest (M1; Liu, Ting & Zhou 2008) with Spark doing the partitioning.
 
-* Subsamples: each (row, tree) pair gets a hash ``xxhash64(id, tree, seed)``;
-  a tree's sample is its ``max_samples`` smallest hashes. Rows whose hash is
-  far above what any tree needs are dropped map-side first (the threshold is
-  loose enough that every tree still sees ``max_samples`` rows), then a
-  per-tree ``row_number() <= max_samples`` (WindowGroupLimit) picks the sample.
-  The result does not depend on partitioning.
+* Subsamples: for a small input each (row, tree) pair gets a hash
+  ``xxhash64(id, tree, seed)`` and a tree's sample is its ``max_samples``
+  smallest hashes; for a large input (``n >= 4 * trees * max_samples``) each
+  row is dealt to one tree by one hash and ranked by a second, so nothing is
+  exploded. Either way hashes far above what any tree needs are dropped
+  map-side, then a per-tree ``row_number() <= max_samples`` (WindowGroupLimit)
+  picks the sample. The result does not depend on partitioning.
 * Fitting: ``groupBy(tree).applyInPandas`` grows each tree on its <= 256 rows.
 * Scoring: the forest (<= trees x 511 nodes, a fixed bound) is collected and
   broadcast; ``mapInPandas`` walks every row through every tree in NumPy.
@@ -71,17 +72,25 @@ def fit_forest(df: DataFrame, cols=FEATURES, n_trees: int = 100, max_samples: in
     n = df.count()
     m = min(max_samples, n)
     max_depth = max(1, math.ceil(math.log2(max(m, 2))))
-    # keep a (row, tree) pair when its hash falls in the lowest share of the range that
-    # still leaves every tree ~8x the rows it needs; the top-m then come from those
-    keep = min(1.0, 8.0 * m / max(n, 1))
-    cut = -(2 ** 63) + keep * (2 ** 64)
-    h = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                    lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(id_col), t, F.lit(seed)).alias("h")))
-    pairs = (df.select(F.col(id_col), *[F.col(c).cast("double").alias(c) for c in cols],
-                       F.explode(h).alias("th"))
-             .select(id_col, *cols, "th.tree", "th.h"))
+    if n >= 4 * n_trees * m:
+        # large input: every row joins at most one tree (by one hash) and the
+        # map side keeps only the lowest share of a second hash, ~8x what a tree needs
+        keep = min(1.0, 8.0 * m * n_trees / n)
+        tree = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_trees)).cast("int")
+        h2 = F.xxhash64(F.col(id_col), F.lit(seed + 1))
+        pairs = df.select(F.col(id_col), *[F.col(c).cast("double").alias(c) for c in cols],
+                          tree.alias("tree"), h2.alias("h"))
+    else:
+        # small input: each tree draws from all rows; keep a (row, tree) pair when its hash
+        # is in the lowest share that still leaves every tree ~8x the rows it needs
+        keep = min(1.0, 8.0 * m / max(n, 1))
+        h = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                        lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(id_col), t, F.lit(seed)).alias("h")))
+        pairs = (df.select(F.col(id_col), *[F.col(c).cast("double").alias(c) for c in cols],
+                           F.explode(h).alias("th"))
+                 .select(id_col, *cols, "th.tree", "th.h"))
     if keep < 1.0:
-        pairs = pairs.filter(F.col("h") < F.lit(int(cut)))
+        pairs = pairs.filter(F.col("h") < F.lit(int(-(2 ** 63) + keep * (2 ** 64))))
     w = Window.partitionBy("tree").orderBy("h", id_col)
     sample = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= m).drop("rn")
 

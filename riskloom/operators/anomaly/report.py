@@ -35,3 +35,8 @@ def anomaly_overview(flagged: DataFrame, cols=("amount", "balance", "frequency")
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("method", "flag", *[c for c in out.columns if c not in ("method", "flag")])
+
+
+def shuffle_rows(df: DataFrame, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """A repeatable random row order (hash of id and seed), independent of partitioning."""
+    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col))

@@ -39,6 +39,16 @@ GRAM_LEN = 3            # substring keys use a gram of at most this many chars
 MAX_BLANK_NAMES = 1000  # distinct whitespace-only names taken by the nested loop
 
 
+def company_name_lookup(companies: DataFrame, id_col: str = "company_id",
+                        name_col: str = "company_name") -> DataFrame:
+    """One searchable name per company (the lowest, so duplicates are deterministic).
+
+    Replaces the per-company scalar subquery with one aggregation feeding the join;
+    a company without a row simply has no mentions (count 0, no average).
+    """
+    return companies.groupBy(id_col).agg(F.min(name_col).alias(name_col))
+
+
 def post_tokens(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id") -> DataFrame:
     """(post_id, tok): distinct tokens per post of the lower-cased text."""
     return (posts.select(F.col(id_col).alias("post_id"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from riskloom.operators import mentions as M
 from riskloom.operators import sentiment as SE
 from riskloom.plans.registry import query
@@ -52,14 +50,18 @@ def _posts(spark, d):
     return SE.with_sentiment(T.posts(spark, d))
 
 
+def _names(spark, d):
+    return M.company_name_lookup(T.mention_names(spark, d))
+
+
 def _mentioned(spark, d):
-    pairs = M.mention_pairs(T.posts(spark, d), T.mention_names(spark, d))
+    pairs = M.mention_pairs(T.posts(spark, d), _names(spark, d))
     return M.mention_posts(pairs, _posts(spark, d))
 
 
 @query("mention_join", _PAIRS_SQL)
 def mention_join(spark, d):
-    return M.mention_pairs(T.posts(spark, d), T.mention_names(spark, d))
+    return M.mention_pairs(T.posts(spark, d), _names(spark, d))
 
 
 @query("sentiment_score", _sentiment_sql())

@@ -81,3 +81,12 @@ def test_report_and_overview(spark):
     assert rep == [(7, "1234.50 €", "-10.00 €", 2)]   # half-even: 2.5 -> 2
     ov = anomaly_overview(df).collect()
     assert {(r["method"], r["flag"], r["rows"]) for r in ov} == {("density", 1, 1), ("density", 0, 1)}
+
+
+def test_forest_large_input_path_deals_rows_to_one_tree(spark, planted):
+    from riskloom.operators.anomaly.isolation import fit_forest
+    forest = fit_forest(planted, COLS, n_trees=4, max_samples=16)   # 1050 >= 4 * 4 * 16
+    roots = forest[forest.node == 0]
+    assert sorted(roots.tree) == [0, 1, 2, 3]
+    assert (roots["size"] == 16).all()
+    assert forest.groupby("tree").node.max().max() < 2 ** 5   # depth <= log2(16)
