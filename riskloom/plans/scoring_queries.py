@@ -295,7 +295,45 @@ def ownership_edges(spark, d):
     return N.ownership_edges(T.profiles(spark, d), T.officers(spark, d), T.pscs(spark, d))
 
 
-@query("ownership_nodes", None)
+_NODES_SQL = f"""
+    WITH leak AS ({_LEAK}),
+    hits AS (SELECT DISTINCT p.company_number, lower(trim(p.name)) AS name_key
+             FROM ({_PARTIES}) p JOIN leak l ON lower(trim(p.name)) = l.name_key),
+    rows_ AS (
+      SELECT pr.company_number, pr.company_name AS name, 0 AS ord, CAST(0 AS BIGINT) AS pos,
+             'company' AS node_type, CAST(NULL AS VARCHAR) AS role, CAST(NULL AS VARCHAR) AS noc,
+             h.name_key IS NOT NULL AS leak_hit
+      FROM dd_profile pr LEFT JOIN hits h
+        ON h.company_number = pr.company_number AND h.name_key = lower(pr.company_name)
+      UNION ALL
+      SELECT o.company_number, coalesce(o.name, 'Unknown'), 1, o.pos, 'officer',
+             coalesce(o.officer_role, ''), NULL, l.name_key IS NOT NULL
+      FROM dd_officer o LEFT JOIN leak l ON lower(trim(coalesce(o.name, 'Unknown'))) = l.name_key
+      UNION ALL
+      SELECT p.company_number, coalesce(p.name, 'Unknown PSC'), 2, p.pos, 'psc', NULL,
+             array_to_string(coalesce(p.natures_of_control, []), ', '), l.name_key IS NOT NULL
+      FROM dd_psc p LEFT JOIN leak l ON lower(trim(coalesce(p.name, 'Unknown PSC'))) = l.name_key),
+    nodes AS (
+      SELECT company_number, name,
+             arg_max(node_type, ord * 1000000000000 + pos) AS node_type,
+             arg_max(role, ord * 1000000000000 + pos) FILTER (WHERE role IS NOT NULL) AS role,
+             arg_max(noc, ord * 1000000000000 + pos) FILTER (WHERE noc IS NOT NULL) AS noc,
+             arg_max(leak_hit, ord * 1000000000000 + pos) AS leak_hit
+      FROM rows_ GROUP BY company_number, name),
+    big AS (SELECT company_number FROM nodes GROUP BY company_number HAVING count(*) >= 2)
+    SELECT company_number, name, node_type, role, noc, leak_hit,
+           CASE WHEN leak_hit THEN 'leak' WHEN node_type = 'company' THEN 'company'
+                WHEN node_type = 'officer' THEN 'officer' ELSE 'psc' END AS node_class,
+           CASE WHEN node_type = 'company' THEN 24 WHEN leak_hit THEN 20 ELSE 16 END AS node_size,
+           CASE WHEN node_type = 'company' THEN 'square' WHEN leak_hit THEN 'star' ELSE 'circle' END AS symbol,
+           name || ' | Type: ' || node_type
+             || CASE WHEN role <> '' THEN ' | Role: ' || role ELSE '' END
+             || CASE WHEN noc <> '' THEN ' | Control: ' || noc ELSE '' END
+             || CASE WHEN leak_hit THEN ' | LEAK HIT' ELSE '' END AS label
+    FROM nodes WHERE company_number IN (SELECT company_number FROM big)"""
+
+
+@query("ownership_nodes", _NODES_SQL, ("dd_profile", "dd_officer", "dd_psc", "dd_leaked"))
 def ownership_nodes(spark, d):
     return N.ownership_nodes(T.profiles(spark, d), T.officers(spark, d), T.pscs(spark, d),
                              T.leaked_names(spark, d))
