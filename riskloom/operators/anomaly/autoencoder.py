@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.anomaly.scale import FEATURES, exact_quantile
+from riskloom.session import cut_lineage, ship_package
 
 
 def _init(d: int, h: int, seed: int):
@@ -80,12 +81,12 @@ def train(scaled: DataFrame, cols=FEATURES, hidden: int = 2, epochs: int = 50, b
     """Train and return the flat weight vector."""
     d = len(cols)
     spark = scaled.sparkSession
+    ship_package(spark)
     cut = int(round((1 - val_share) * 100))
     train_rows = (scaled.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(100)) < cut)
                   .select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
                   .repartition(buckets, F.xxhash64(F.col(id_col), F.lit(seed + 1)))
                   .sortWithinPartitions(F.xxhash64(F.col(id_col), F.lit(seed + 2)), id_col))
-    from riskloom.session import cut_lineage
     train_rows = cut_lineage(train_rows)
     w = _flat(_init(d, hidden, seed))
     rounds = max(1, epochs // local_epochs)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.anomaly.scale import FEATURES, exact_quantile
+from riskloom.session import cut_lineage, ship_package
 
 EULER = 0.5772156649015329
 MAX_NODES_PER_TREE = 511
@@ -69,6 +70,7 @@ def _grow(X: np.ndarray, rng: np.random.Generator, max_depth: int):
 def fit_forest(df: DataFrame, cols=FEATURES, n_trees: int = 100, max_samples: int = 256,
                seed: int = 42, id_col: str = "id") -> pd.DataFrame:
     """Grow the forest on Spark; returns the node table (bounded: trees x 511 rows)."""
+    ship_package(df.sparkSession)
     n = df.count()
     m = min(max_samples, n)
     max_depth = max(1, math.ceil(math.log2(max(m, 2))))
@@ -134,6 +136,7 @@ def _path_lengths(X: np.ndarray, forest: pd.DataFrame) -> np.ndarray:
 def score_forest(df: DataFrame, forest: pd.DataFrame, cols=FEATURES, id_col: str = "id") -> DataFrame:
     """(id, iforest_score): 2^(-E[h(x)] / c(max_samples)); higher is more anomalous."""
     spark = df.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(forest)
     cn = float(c_factor([forest.attrs.get("max_samples", 256)])[0])
 
@@ -153,7 +156,6 @@ def isolation_flags(df: DataFrame, cols=FEATURES, contamination: float = 0.05, n
     """(id, iforest_score, iforest_flag): flag 1 for the top ``contamination`` share of scores."""
     forest = fit_forest(df, cols, n_trees, max_samples, seed, id_col)
     scored = score_forest(df, forest, cols, id_col)
-    from riskloom.session import cut_lineage
     scored = cut_lineage(scored)
     thr = exact_quantile(scored, "iforest_score", 1.0 - contamination)
     return scored.select(id_col, "iforest_score",

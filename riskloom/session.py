@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,16 +40,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...);
     it is never overridden. Only local test sessions get a fresh scratch dir.
     """
+    sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        if not current:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     # Unset: a local test session. A cluster always names a shared folder.
     scratch = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(scratch)
+    sc.setCheckpointDir(scratch)
     return scratch
 
 
@@ -56,3 +59,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``riskloom`` importable in executor Python workers (once per application).
+
+    Operators that run Python on executors (isolation forest, autoencoder)
+    pickle references to this package's functions. Deployments usually pass
+    the package with ``--py-files``; this does the same at runtime with
+    ``addPyFile`` so the operators also work when only the driver has it.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="riskloom-pyfiles-"), "riskloom.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
