@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from riskloom.session import cut_lineage
 
 _MARGIN = 1e-9
+MAX_OFFSETS = 20_000    # neighbour cells per point: 125 for the three features (d = 3)
 
 
 def _cells(df: DataFrame, cols, side: float, prefix: str) -> list[Column]:
@@ -68,6 +69,8 @@ def density_noise(df: DataFrame, cols, eps: float = 0.5, min_samples: int = 5,
     d = len(cols)
     side = eps / math.sqrt(d) * (1 - 1e-9)
     reach = math.ceil(eps / side)
+    if (2 * reach + 1) ** d > MAX_OFFSETS:
+        raise ValueError(f"{d} dimensions: the neighbour-cell grid is built for low dimensions")
     offsets = list(itertools.product(range(-reach, reach + 1), repeat=d))
     cc = [f"c{i}" for i in range(d)]
     pts = df.select(F.col(id_col).alias("pid"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
