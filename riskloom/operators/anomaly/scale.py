@@ -34,49 +34,91 @@ def minmax_scale(df: DataFrame, cols=FEATURES, bounds=None, suffix: str = "") ->
     return out
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = 100_000) -> float | None:
-    """Exact linear-interpolated quantile (NumPy's default) without one giant buffer.
+def exact_quantiles(df: DataFrame, cols, q: float, accuracy: int = 100_000) -> dict[str, float | None]:
+    """Exact linear-interpolated quantiles (NumPy's default) of several columns, without one giant buffer.
 
     ``percentile`` keeps every value of a group in one aggregation buffer. Here
-    ``percentile_approx`` brackets the target rank, the rows strictly below the
-    bracket are counted, and only the rows inside the bracket (about
-    ``4 n / accuracy`` of them) are ranked exactly. The bracket widens until it
-    provably contains the target ranks.
+    one aggregation counts each column and brackets the target rank with
+    ``percentile_approx`` (rank error at most ``n / accuracy``), a second counts
+    the rows below and up to each bracket, and only the rows inside the
+    brackets (about ``4 n / accuracy`` per column) are ranked exactly, all
+    columns in one window job. A bracket that misses its rank is widened.
     """
-    x = F.col(col)
-    base = df.select(x.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = base.count()
-    if n == 0:
-        return None
-    pos = q * (n - 1)
-    k0, k1 = math.floor(pos), math.ceil(pos)
-    frac = pos - k0
-    d = 2.0 / accuracy
-    while True:
-        lo_q, hi_q = max(0.0, q - d), min(1.0, q + d)
-        lo, hi = base.agg(F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("b")).first()["b"]
-        if lo_q == 0.0:
-            lo = float("-inf")
-        if hi_q == 1.0:
-            hi = float("inf")
-        below, upto = base.agg(F.count_if(F.col("v") < lo).alias("a"),
-                               F.count_if(F.col("v") <= hi).alias("b")).first()
-        if below <= k0 and upto > k1:
-            break
-        d *= 4
-    mid = base.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-    # the slice is small by construction: rank it in one window
-    w = Window.orderBy("v")
-    ranked = mid.withColumn("r", F.row_number().over(w) - 1 + below)
-    vals = {r["r"]: r["v"] for r in ranked.filter(F.col("r").isin(k0, k1)).collect()}
-    v0, v1 = vals[k0], vals[k1]
-    return v0 + (v1 - v0) * frac
+    cols = list(cols)
+    vals = {c: F.col(c).cast("double") for c in cols}
+    ok = {c: v.isNotNull() & ~F.isnan(v) for c, v in vals.items()}
+    d = {c: 2.0 / accuracy for c in cols}
+    # first pass: counts and initial brackets together (a bracket does not depend on n)
+    qs = {c: (max(0.0, q - d[c]), min(1.0, q + d[c])) for c in cols}
+    br = df.agg(*[F.count_if(ok[c]).alias(f"n_{c}") for c in cols],
+                *[F.percentile_approx(F.when(ok[c], vals[c]), list(qs[c]), accuracy).alias(f"b_{c}")
+                  for c in cols]).first()
+    n = {c: br[f"n_{c}"] for c in cols}
+    want = {}
+    for c in cols:
+        if n[c]:
+            pos = q * (n[c] - 1)
+            want[c] = (math.floor(pos), math.ceil(pos), pos - math.floor(pos))
+    pending = list(want)
+    bounds: dict[str, tuple[float, float, int]] = {}
+    first_round = True
+    while pending:
+        if not first_round:
+            qs = {c: (max(0.0, q - d[c]), min(1.0, q + d[c])) for c in pending}
+            br = df.agg(*[F.percentile_approx(F.when(ok[c], vals[c]), list(qs[c]), accuracy).alias(f"b_{c}")
+                          for c in pending]).first()
+        first_round = False
+        lohi = {}
+        for c in pending:
+            lo, hi = br[f"b_{c}"]
+            lo = float("-inf") if qs[c][0] == 0.0 else lo
+            hi = float("inf") if qs[c][1] == 1.0 else hi
+            lohi[c] = (lo, hi)
+        cnt = df.agg(*[F.count_if(ok[c] & (vals[c] < F.lit(lohi[c][0]))).alias(f"a_{c}") for c in pending],
+                     *[F.count_if(ok[c] & (vals[c] <= F.lit(lohi[c][1]))).alias(f"z_{c}") for c in pending]).first()
+        still = []
+        for c in pending:
+            k0, k1, _ = want[c]
+            below, upto = cnt[f"a_{c}"], cnt[f"z_{c}"]
+            if below <= k0 and upto > k1:
+                bounds[c] = (lohi[c][0], lohi[c][1], below)
+            else:
+                d[c] *= 4
+                still.append(c)
+        pending = still
+    out: dict[str, float | None] = {c: None for c in cols}
+    if not bounds:
+        return out
+    # the slices are small by construction: rank them exactly in one window job
+    slices = None
+    for c, (lo, hi, below) in bounds.items():
+        sl = df.select(F.lit(c).alias("col"), vals[c].alias("v"), F.lit(below).alias("below")) \
+            .filter(ok[c] & (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
+        slices = sl if slices is None else slices.unionByName(sl)
+    w = Window.partitionBy("col").orderBy("v")
+    ranked = slices.withColumn("r", F.row_number().over(w) - 1 + F.col("below"))
+    picks = F.lit(False)
+    for c in bounds:
+        k0, k1, _ = want[c]
+        picks = picks | ((F.col("col") == c) & F.col("r").isin(k0, k1))
+    got: dict[tuple[str, int], float] = {(r["col"], r["r"]): r["v"] for r in ranked.filter(picks).collect()}
+    for c in bounds:
+        k0, k1, frac = want[c]
+        v0, v1 = got[(c, k0)], got[(c, k1)]
+        out[c] = v0 + (v1 - v0) * frac
+    return out
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = 100_000) -> float | None:
+    """Exact quantile of one column (see ``exact_quantiles``)."""
+    return exact_quantiles(df, [col], q, accuracy)[col]
 
 
 def quantiles_frame(df: DataFrame, cols, q: float, digits: int = 6) -> DataFrame:
     """One-row frame ``p{q}_{col}`` of exact quantiles (rounded), computed by ``exact_quantile``."""
     spark = df.sparkSession
-    vals = [exact_quantile(df, c, q) for c in cols]
+    got = exact_quantiles(df, cols, q)
+    vals = [got[c] for c in cols]
     names = [f"p{int(round(q * 100))}_{c}" for c in cols]
     row = [None if v is None else round(v, digits) for v in vals]
     return spark.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))

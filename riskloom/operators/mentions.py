@@ -138,7 +138,14 @@ def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_cont
                   name_col: str = "company_name") -> DataFrame:
     """Exact (company_id, post_id) pairs where the post contains the company name."""
     keys = name_keys(names, name_col)
-    modes = {r["mode"] for r in keys.select("mode").distinct().collect()}   # at most 4 values
+    blank = (names.select(F.col("company_id"), F.lower(F.col(name_col)).alias("name_l"))
+             .filter((F.col("name_l") != "") & (F.regexp_replace("name_l", r"\s", "") == "")))
+    distinct_blank = blank.select("name_l").distinct()
+    # one small job: which key modes occur (at most 4) and how many distinct blank names
+    stats = (keys.select("mode", F.lit(None).cast("string").alias("b"))
+             .unionByName(blank.select(F.lit(None).cast("string").alias("mode"), F.col("name_l").alias("b")))
+             .agg(F.collect_set("mode").alias("modes"), F.countDistinct("b").alias("n_blank")).first())
+    modes, n_blank = set(stats["modes"]), stats["n_blank"]
     tokens = post_tokens(posts, text_col)
     found = None
     if modes:
@@ -148,10 +155,6 @@ def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_cont
                  .join(texts, "post_id")
                  .filter(F.col("text_l").contains(F.col("name_l")))
                  .select("company_id", "post_id"))
-    blank = (names.select(F.col("company_id"), F.lower(F.col(name_col)).alias("name_l"))
-             .filter((F.col("name_l") != "") & (F.regexp_replace("name_l", r"\s", "") == "")))
-    distinct_blank = blank.select("name_l").distinct()
-    n_blank = distinct_blank.count()
     if n_blank:
         if n_blank > MAX_BLANK_NAMES:
             raise ValueError(f"{n_blank} distinct whitespace-only names")
