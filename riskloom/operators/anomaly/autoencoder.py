@@ -5,8 +5,10 @@ Adam. Training is data-parallel parameter averaging (Zinkevich et al. 2010):
 each round every partition runs ``local_epochs`` epochs of mini-batch Adam
 from the broadcast weights inside ``mapInPandas`` and returns its weights and
 row count; the driver averages them (d*h + h + h*d + d numbers, 17 for d=3).
-Training rows are a hash-based 80 % split, bucketed by hash into a fixed number
-of partitions so the result does not depend on the cluster's partitioning.
+Training rows are a hash-based 80 % split, bucketed by hash into a number of
+partitions fixed by the data size (not by the cluster), so the result does
+not depend on the cluster's partitioning and no task holds more than about
+``rows_per_bucket`` rows.
 
 Scoring needs no Python: the trained weights become native column expressions
 (ReLU = ``greatest(0, .)``, sigmoid = ``1 / (1 + exp(-.))``), the error is the
@@ -77,15 +79,22 @@ def _train_local(X: np.ndarray, ws, epochs: int, batch: int, lr: float, seed: in
 
 def train(scaled: DataFrame, cols=FEATURES, hidden: int = 2, epochs: int = 50, batch: int = 16,
           local_epochs: int = 5, lr: float = 0.001, val_share: float = 0.2, buckets: int = 8,
-          seed: int = 42, id_col: str = "id") -> np.ndarray:
-    """Train and return the flat weight vector."""
+          rows_per_bucket: int = 500_000, seed: int = 42, id_col: str = "id") -> np.ndarray:
+    """Train and return the flat weight vector.
+
+    Each bucket is held in one task's memory for its local epochs, so the
+    number of buckets grows with the data: at least ``buckets``, and enough
+    that none holds more than about ``rows_per_bucket`` rows.
+    """
     d = len(cols)
     spark = scaled.sparkSession
     ship_package(spark)
     cut = int(round((1 - val_share) * 100))
-    train_rows = (scaled.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(100)) < cut)
-                  .select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
-                  .repartition(buckets, F.xxhash64(F.col(id_col), F.lit(seed + 1)))
+    picked = (scaled.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(100)) < cut)
+              .select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]))
+    n_train = picked.count()
+    buckets = max(buckets, -(-n_train // rows_per_bucket))
+    train_rows = (picked.repartition(buckets, F.xxhash64(F.col(id_col), F.lit(seed + 1)))
                   .sortWithinPartitions(F.xxhash64(F.col(id_col), F.lit(seed + 2)), id_col))
     train_rows = cut_lineage(train_rows)
     w = _flat(_init(d, hidden, seed))

@@ -10,6 +10,10 @@ Storage is versioned: batch ``b`` writes ``latest/v=b`` and ``tiers/v=b``
 with overwrite, so a retried batch rewrites the same paths (idempotent) and
 readers take the highest complete version. Production uses
 ``trigger(processingTime='60 seconds')``; tests use ``availableNow``.
+
+Each batch rewrites the whole latest table, so a batch costs O(companies),
+not O(history). A table format with MERGE would rewrite only the files of
+changed companies; no such format is assumed here.
 """
 
 from __future__ import annotations
