@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from riskloom.operators.anomaly import autoencoder as AE
 from riskloom.operators.anomaly import density as DN
