@@ -1,4 +1,4 @@
-"""Per-company detail views derived alongside the score."""
+"""Per-company detail views derived alongside the score."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.jurisdiction import DEFAULT_LISTS, jurisdiction_risk
 from riskloom.functions.text import join_nonempty, python_title, yes_no
-from riskloom.operators.screening import flag_hits
+from riskloom.operators.screening import flag_hits, screened_parties
 
 NA = "N/A"
 
@@ -84,3 +84,20 @@ def filings_top(filings: DataFrame, n: int = 15) -> DataFrame:
                     _na(F.col("date")).alias("date"), _na(F.col("type")).alias("type"),
                     _na(F.col("description")).alias("description"),
                     _na(F.col("category")).alias("category")))
+
+
+def party_counts(profiles: DataFrame, officers: DataFrame, pscs: DataFrame, filings: DataFrame,
+                 leaked: DataFrame) -> DataFrame:
+    """Per company the number of officers, PSCs, filings and leak hits (0 when none).
+
+    Each count is a partial aggregation joined 1:1 to the company list.
+    """
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("company_number").agg(F.count(F.lit(1)).alias(name))
+
+    hits = flag_hits(screened_parties(officers, pscs), leaked).filter("leak_hit")
+    out = profiles.select("company_number")
+    for df, name in ((officers, "n_officers"), (pscs, "n_pscs"), (filings, "n_filings"), (hits, "n_leak_hits")):
+        out = out.join(count(df, name), "company_number", "left")
+    return out.select("company_number", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+                                          for c in ("n_officers", "n_pscs", "n_filings", "n_leak_hits")])

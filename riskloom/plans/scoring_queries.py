@@ -276,6 +276,22 @@ def psc_view(spark, d):
     return V.psc_view(T.pscs(spark, d), T.leaked_names(spark, d), TEST_LISTS)
 
 
+@query("party_counts", f"""
+    SELECT p.company_number,
+           CAST(coalesce(o.n, 0) AS BIGINT) AS n_officers, CAST(coalesce(s.n, 0) AS BIGINT) AS n_pscs,
+           CAST(coalesce(f.n, 0) AS BIGINT) AS n_filings, CAST(coalesce(h.n, 0) AS BIGINT) AS n_leak_hits
+    FROM dd_profile p
+    LEFT JOIN (SELECT company_number, count(*) AS n FROM dd_officer GROUP BY 1) o USING (company_number)
+    LEFT JOIN (SELECT company_number, count(*) AS n FROM dd_psc GROUP BY 1) s USING (company_number)
+    LEFT JOIN (SELECT company_number, count(*) AS n FROM dd_filing GROUP BY 1) f USING (company_number)
+    LEFT JOIN (SELECT x.company_number, count(*) AS n FROM ({_PARTIES}) x
+               JOIN ({_LEAK}) l ON lower(trim(x.name)) = l.name_key GROUP BY 1) h USING (company_number)""",
+       ("dd_profile", "dd_officer", "dd_psc", "dd_filing", "dd_leaked"))
+def party_counts(spark, d):
+    return V.party_counts(T.profiles(spark, d), T.officers(spark, d), T.pscs(spark, d),
+                          T.filings(spark, d), T.leaked_names(spark, d))
+
+
 @query("filings_top15", """
     SELECT company_number, CAST(rank AS INTEGER) AS rank, date, type, description, category FROM (
       SELECT *, row_number() OVER (PARTITION BY company_number ORDER BY date DESC NULLS LAST, pos) AS rank
