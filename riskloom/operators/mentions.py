@@ -29,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.joins import join_bounded
+
 # The five fraud keywords of the keyword panel.
 FRAUD_KEYWORDS = ("financial fraud", "regulatory breach", "illegitimate transaction",
                   "money laundering", "sanctions")
@@ -149,10 +151,12 @@ def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_cont
     tokens = post_tokens(posts, text_col)
     found = None
     if modes:
-        cand = candidate_pairs(tokens, keys, modes)
+        cand = (candidate_pairs(tokens, keys, modes)
+                .join(keys.select("company_id", "name_l").distinct(), "company_id"))
+        # verify against the whole text; the candidates are broadcast when measured small,
+        # so the texts are streamed instead of shuffled
         texts = posts.select(F.col("post_id"), F.lower(F.col(text_col)).alias("text_l"))
-        found = (cand.join(keys.select("company_id", "name_l").distinct(), "company_id")
-                 .join(texts, "post_id")
+        found = (join_bounded(texts, cand, "post_id")
                  .filter(F.col("text_l").contains(F.col("name_l")))
                  .select("company_id", "post_id"))
     if n_blank:
@@ -169,8 +173,8 @@ def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_cont
 
 
 def mention_posts(pairs: DataFrame, posts: DataFrame) -> DataFrame:
-    """Join the pairs back to the post rows."""
-    return pairs.join(posts, "post_id")
+    """Join the pairs back to the post rows (pairs broadcast when measured small)."""
+    return join_bounded(posts, pairs, "post_id")
 
 
 def sentiment_summary(mentioned: DataFrame, score_col: str = "sentiment_score") -> DataFrame:

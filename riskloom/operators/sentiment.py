@@ -16,9 +16,11 @@ not depend on order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators.joins import join_bounded
+
 # A small English lexicon of our own (valence on a -4..4 scale),
 # the negation and booster words, and the method's constants.
 LEXICON = {
@@ -72,9 +74,9 @@ def tokens_with_pos(posts: DataFrame, text_col: str, id_col: str) -> DataFrame:
             .filter(F.col("tok") != ""))
 
 
-def sentiment_scores(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id",
-                     lexicon: dict[str, float] | None = None) -> DataFrame:
-    """(post_id, sentiment_score FLOAT) for every post."""
+def post_valence_sums(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id",
+                      lexicon: dict[str, float] | None = None) -> DataFrame:
+    """(post_id, s): the valence sum of every post with at least one lexicon word."""
     spark = posts.sparkSession
     toks = tokens_with_pos(posts, text_col, id_col)
     hits = toks.join(F.broadcast(lexicon_df(spark, lexicon)), "tok").select("post_id", "pos", "valence")
@@ -91,17 +93,30 @@ def sentiment_scores(posts: DataFrame, text_col: str = "post_content", id_col: s
                                  F.col("boost") * decay.cast("decimal(12,6)"))).alias("boost")))
     sign = F.when(F.col("valence") > 0, F.lit(1)).when(F.col("valence") < 0, F.lit(-1)).otherwise(0)
     v = F.col("valence") + sign * F.coalesce(F.col("boost"), F.lit(0).cast("decimal(12,6)"))
-    v = F.when(F.coalesce(F.col("negated"), F.lit(False)), v * F.lit(NEGATION_SCALAR).cast("decimal(6,2)")).otherwise(v)
-    sums = per_hit.groupBy("post_id").agg(F.sum(v.cast("decimal(20,8)")).alias("s"))
-    s = F.col("s").cast("double")
+    v = F.when(F.coalesce(F.col("negated"), F.lit(False)),
+               v * F.lit(NEGATION_SCALAR).cast("decimal(6,2)")).otherwise(v)
+    return per_hit.groupBy("post_id").agg(F.sum(v.cast("decimal(20,8)")).cast("double").alias("_s"))
+
+
+def _score(text: Column) -> Column:
+    s = F.col("_s")
     compound = s / F.sqrt(s * s + F.lit(ALPHA))
-    blank = F.col(text_col).isNull() | (F.trim(F.col(text_col)) == "")
-    base = posts.select(F.col(id_col).alias("post_id"), blank.alias("_blank"))
-    score = F.when(F.col("_blank"), F.lit(0.5)) \
-        .otherwise(F.round((F.coalesce(compound, F.lit(0.0)) + 1) / 2, 4))
-    return base.join(sums, "post_id", "left").select("post_id", score.cast("float").alias("sentiment_score"))
+    blank = text.isNull() | (F.trim(text) == "")
+    return (F.when(blank, F.lit(0.5))
+            .otherwise(F.round((F.coalesce(compound, F.lit(0.0)) + 1) / 2, 4))).cast("float")
 
 
-def with_sentiment(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id") -> DataFrame:
-    """Posts enriched with ``sentiment_score`` (computed once; persist if reused)."""
-    return posts.join(sentiment_scores(posts, text_col, id_col), id_col)
+def with_sentiment(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id",
+                   lexicon: dict[str, float] | None = None) -> DataFrame:
+    """Posts with ``sentiment_score``. The per-post sums are broadcast when measured small,
+    so the posts (with their texts) are not shuffled."""
+    sums = post_valence_sums(posts, text_col, id_col, lexicon).withColumnRenamed("post_id", id_col)
+    return (join_bounded(posts, sums, id_col, "left")
+            .withColumn("sentiment_score", _score(F.col(text_col))).drop("_s"))
+
+
+def sentiment_scores(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id",
+                     lexicon: dict[str, float] | None = None) -> DataFrame:
+    """(post_id, sentiment_score FLOAT) for every post."""
+    return (with_sentiment(posts.select(id_col, text_col), text_col, id_col, lexicon)
+            .select(F.col(id_col).alias("post_id"), "sentiment_score"))
