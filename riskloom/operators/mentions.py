@@ -177,6 +177,20 @@ def mention_posts(pairs: DataFrame, posts: DataFrame) -> DataFrame:
     return join_bounded(posts, pairs, "post_id")
 
 
+def mentions_with_sentiment(posts: DataFrame, names: DataFrame, text_col: str = "post_content",
+                            name_col: str = "company_name") -> DataFrame:
+    """Mentioning posts with their sentiment score, one row per (company, post).
+
+    The verified pairs and the per-post valence sums are both small; they are
+    combined first and joined to the posts once (size-checked broadcast).
+    """
+    from riskloom.operators.sentiment import post_valence_sums, score_column
+    pairs = mention_pairs(posts, names, text_col, name_col)
+    small = pairs.join(post_valence_sums(posts, text_col), "post_id", "left")
+    return (join_bounded(posts, small, "post_id")
+            .withColumn("sentiment_score", score_column(F.col(text_col))).drop("_s"))
+
+
 def sentiment_summary(mentioned: DataFrame, score_col: str = "sentiment_score") -> DataFrame:
     """G2 + P17: average sentiment and post count per company; band and delta to neutral."""
     from riskloom.functions.bands import sentiment_band

@@ -98,7 +98,8 @@ def post_valence_sums(posts: DataFrame, text_col: str = "post_content", id_col:
     return per_hit.groupBy("post_id").agg(F.sum(v.cast("decimal(20,8)")).cast("double").alias("_s"))
 
 
-def _score(text: Column) -> Column:
+def score_column(text: Column) -> Column:
+    """Score from the valence sum ``_s`` (NULL when no lexicon word) and the text."""
     s = F.col("_s")
     compound = s / F.sqrt(s * s + F.lit(ALPHA))
     blank = text.isNull() | (F.trim(text) == "")
@@ -112,7 +113,7 @@ def with_sentiment(posts: DataFrame, text_col: str = "post_content", id_col: str
     so the posts (with their texts) are not shuffled."""
     sums = post_valence_sums(posts, text_col, id_col, lexicon).withColumnRenamed("post_id", id_col)
     return (join_bounded(posts, sums, id_col, "left")
-            .withColumn("sentiment_score", _score(F.col(text_col))).drop("_s"))
+            .withColumn("sentiment_score", score_column(F.col(text_col))).drop("_s"))
 
 
 def sentiment_scores(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id",

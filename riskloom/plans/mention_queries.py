@@ -46,17 +46,12 @@ def _sentiment_sql() -> str:
     FROM documents d LEFT JOIN sums s ON d.doc_id = s.post_id"""
 
 
-def _posts(spark, d):
-    return SE.with_sentiment(T.posts(spark, d))
-
-
 def _names(spark, d):
     return M.company_name_lookup(T.mention_names(spark, d))
 
 
 def _mentioned(spark, d):
-    pairs = M.mention_pairs(T.posts(spark, d), _names(spark, d))
-    return M.mention_posts(pairs, _posts(spark, d))
+    return M.mentions_with_sentiment(T.posts(spark, d), _names(spark, d))
 
 
 @query("mention_join", _PAIRS_SQL)

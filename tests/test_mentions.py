@@ -88,3 +88,18 @@ def test_keyword_flags_one_pass(spark):
     assert got[(1, "financial fraud")] == (0, False)
     assert got[(2, "sanctions")] == (1, True)
     assert len(got) == 10
+
+
+def test_over_limit_falls_back_to_shuffle_join(spark):
+    spark.conf.set("riskloom.broadcast.maxBytes", "0")
+    try:
+        assert run(spark, POSTS, NAMES) == brute(POSTS, NAMES)
+        from riskloom.operators.joins import join_bounded
+        big = spark.range(100).withColumnRenamed("id", "k")
+        small = spark.range(0, 100, 7).withColumnRenamed("id", "k")
+        j = join_bounded(big, small, "k")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" in plan and "InMemoryRelation" not in plan   # checkpoint path, no cache
+        assert j.count() == 15
+    finally:
+        spark.conf.unset("riskloom.broadcast.maxBytes")
