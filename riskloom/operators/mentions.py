@@ -11,7 +11,9 @@ with the name taken literally — computed as a *vocabulary join*:
    whitespace on both sides → it equals a whole text token (``eq``);
    only before → it is a prefix of a text token (``prefix``); only after →
    a suffix (``suffix``); neither (the name has no whitespace) → a substring
-   of one token (``sub``). Interior runs are preferred, longest first.
+   of one token (``sub``). Long interior runs are preferred, then long
+   boundary runs; runs shorter than four characters (``of``, ``the``) are a
+   last resort, so a common word never becomes the key of a long name.
 3. ``eq`` keys equi-join the (post, token) rows. The other modes match the
    *distinct vocabulary* through bounded-length prefix / gram keys (a
    necessary condition), then the exact ``startswith``/``endswith``/
@@ -39,6 +41,7 @@ WS = r"\s+"
 PREFIX_KEY_LEN = 8      # prefix/suffix keys use at most this many leading chars
 GRAM_LEN = 3            # substring keys use a gram of at most this many chars
 MAX_BLANK_NAMES = 1000  # distinct whitespace-only names taken by the nested loop
+SHORT_KEY = 4           # key runs shorter than this are common words: used only as a last resort
 
 
 def company_name_lookup(companies: DataFrame, id_col: str = "company_id",
@@ -72,7 +75,11 @@ def name_keys(names: DataFrame, name_col: str = "company_name", id_col: str = "c
         after = (i < k - 1) | trail
         mode = (F.when(before & after, "eq").when(before, "prefix")
                 .when(after, "suffix").otherwise("sub"))
-        prio = F.when(mode == "eq", 0).when(mode == "sub", 2).otherwise(1)
+        # selective keys first: long whole-token keys, then long boundary keys; runs
+        # shorter than SHORT_KEY (stop words such as 'of') only when nothing else exists
+        short = F.length(t) < SHORT_KEY
+        prio = (F.when(~short & (mode == "eq"), 0).when(~short & mode.isin("prefix", "suffix"), 1)
+                .when(mode == "eq", 2).when(mode.isin("prefix", "suffix"), 3).otherwise(4))
         return F.struct(prio.alias("prio"), (-F.length(t)).alias("neg_len"), i.alias("i"),
                         t.alias("key"), mode.alias("mode"))
 

@@ -32,6 +32,7 @@ NAMES = [
     (18, "es b"),                # runs inside words on both sides
     (19, "a"),                   # one-character name
     (20, "ng tab then gam"),
+    (21, "bank of the fair"),    # interior runs are stop words: a boundary key is chosen
 ]
 
 
@@ -63,6 +64,7 @@ def test_key_modes(spark):
     assert modes[11][1] in ("prefix", "suffix")
     assert modes[12] == ("beta-corp", "sub")
     assert 16 not in modes and 17 not in modes and 15 not in modes
+    assert modes[21] == ("bank", "suffix")
 
 
 WORDS = ["ab", "abc", "bca", "cab", "a", "b", "c", "xa", "by", "z"]
