@@ -161,10 +161,10 @@ def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_cont
         cand = (candidate_pairs(tokens, keys, modes)
                 .join(keys.select("company_id", "name_l").distinct(), "company_id"))
         # verify against the whole text; the candidates are broadcast when measured small,
-        # so the texts are streamed instead of shuffled
-        texts = posts.select(F.col("post_id"), F.lower(F.col(text_col)).alias("text_l"))
+        # so the texts are streamed instead of shuffled, and only candidate posts are lower-cased
+        texts = posts.select(F.col("post_id"), F.col(text_col).alias("_text"))
         found = (join_bounded(texts, cand, "post_id")
-                 .filter(F.col("text_l").contains(F.col("name_l")))
+                 .filter(F.lower(F.col("_text")).contains(F.col("name_l")))
                  .select("company_id", "post_id"))
     if n_blank:
         if n_blank > MAX_BLANK_NAMES:
