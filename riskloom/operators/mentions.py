@@ -188,12 +188,15 @@ def mentions_with_sentiment(posts: DataFrame, names: DataFrame, text_col: str =
                             name_col: str = "company_name") -> DataFrame:
     """Mentioning posts with their sentiment score, one row per (company, post).
 
-    The verified pairs and the per-post valence sums are both small; they are
-    combined first and joined to the posts once (size-checked broadcast).
+    Sentiment is computed only for posts that mention some company (picked
+    with a size-checked broadcast semi-join, so no text is shuffled). The
+    verified pairs and those posts' valence sums are both small; they are
+    combined first and joined to the posts once.
     """
     from riskloom.operators.sentiment import post_valence_sums, score_column
     pairs = mention_pairs(posts, names, text_col, name_col)
-    small = pairs.join(post_valence_sums(posts, text_col), "post_id", "left")
+    mentioned = join_bounded(posts, pairs.select("post_id").distinct(), "post_id", "left_semi")
+    small = pairs.join(post_valence_sums(mentioned, text_col), "post_id", "left")
     return (join_bounded(posts, small, "post_id")
             .withColumn("sentiment_score", score_column(F.col(text_col))).drop("_s"))
 
