@@ -118,6 +118,14 @@ def with_sentiment(posts: DataFrame, text_col: str = "post_content", id_col: str
 
 def sentiment_scores(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id",
                      lexicon: dict[str, float] | None = None) -> DataFrame:
-    """(post_id, sentiment_score FLOAT) for every post."""
-    return (with_sentiment(posts.select(id_col, text_col), text_col, id_col, lexicon)
-            .select(F.col(id_col).alias("post_id"), "sentiment_score"))
+    """(post_id, sentiment_score FLOAT) for every post.
+
+    The sums are joined to a slim (id, blank-flag) projection of the posts, so
+    even when they are too large to broadcast no text is shuffled.
+    """
+    sums = post_valence_sums(posts, text_col, id_col, lexicon)
+    slim = posts.select(F.col(id_col).alias("post_id"),
+                        F.when(F.col(text_col).isNull() | (F.trim(F.col(text_col)) == ""), F.lit(None))
+                        .otherwise(F.lit("x")).alias("_t"))
+    return (join_bounded(slim, sums, "post_id", "left")
+            .select("post_id", score_column(F.col("_t")).alias("sentiment_score")))
