@@ -87,10 +87,11 @@ def density_noise(df: DataFrame, cols, eps: float = 0.5, min_samples: int = 5,
         "pid", *xs, *[(F.col(f"o.o{i}") + F.floor(F.col(xs[i]) / F.lit(side)).cast("long")).alias(f"n{i}")
                       for i in range(d)])
     ncell = [f"n{i}" for i in range(d)]
+    bmin, bmax = _box_dists(xs, ncell, side)
+    # cells wholly outside the eps-ball (about half of the neighbour grid) are dropped map-side
+    nb = nb.withColumn("bmin", bmin).filter(F.col("bmin") <= eps * (1 + _MARGIN)).withColumn("bmax", bmax)
     cnt_r = counts.select(*[F.col(c).alias(n) for c, n in zip(cc, ncell)], "cnt")
     withc = nb.join(cnt_r, ncell)
-    bmin, bmax = _box_dists(xs, ncell, side)
-    withc = withc.withColumn("bmin", bmin).withColumn("bmax", bmax)
     full = (withc.filter(F.col("bmax") <= eps * (1 - _MARGIN))
             .groupBy("pid").agg(F.sum("cnt").alias("k_full")))
     # exact early exit: a point whose fully covered cells already hold min_samples is core
@@ -119,7 +120,8 @@ def density_noise(df: DataFrame, cols, eps: float = 0.5, min_samples: int = 5,
     nb2 = noncore.select("pid", *xs, offs.alias("o")).select(
         "pid", *xs, *[(F.col(f"o.o{i}") + F.floor(F.col(xs[i]) / F.lit(side)).cast("long")).alias(f"n{i}")
                       for i in range(d)])
-    w2 = nb2.join(core_counts, ncell).withColumn("bmin", bmin).withColumn("bmax", bmax)
+    nb2 = nb2.withColumn("bmin", bmin).filter(F.col("bmin") <= eps * (1 + _MARGIN)).withColumn("bmax", bmax)
+    w2 = nb2.join(core_counts, ncell)
     near_full = w2.filter(F.col("bmax") <= eps * (1 - _MARGIN)).select("pid").distinct()
     # exact early exit: a fully covered cell with a core point already decides "not noise"
     part2 = (w2.filter((F.col("bmax") > eps * (1 - _MARGIN)) & (F.col("bmin") <= eps * (1 + _MARGIN)))
