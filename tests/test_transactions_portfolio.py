@@ -106,3 +106,43 @@ def test_histogram_top_edge_and_compliance_nulls(spark):
 def test_page(spark):
     df = spark.range(50).select(F.col("id"))
     assert [r[0] for r in P.page(df, [F.col("id").desc()], 20, 1).collect()] == list(range(29, 9, -1))
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(start=st.sampled_from([None, "2023-12-31", "2024-01-15"]),
+       end=st.sampled_from([None, "2024-01-01", "2024-01-31"]),
+       sender=st.sampled_from([None, "big", "_", "x"]),
+       wild=st.booleans(),
+       types=st.sampled_from([None, ("A",), ("A", "R")]),
+       risk=st.sampled_from([None, "low", "medium", "high"]))
+def test_filter_result_is_the_matching_subset(spark, start, end, sender, wild, types, risk):
+    import fnmatch
+    t = _txn(spark)
+    f = X.TxnFilter(start=start, end=end, sender=sender, sender_wildcards=wild, types=types, risk=risk,
+                    limit_per_company=None)
+    got = set(ids(X.filter_transactions(t, f)))
+    want = set()
+    for r in t.collect():
+        d = r["transaction_date"].date().isoformat()
+        s = (r["sender_account"] or None)
+        ok = (start is None or d >= start) and (end is None or d <= end)
+        if sender is not None:
+            if s is None:
+                ok = False
+            elif wild:
+                pat = "*" + sender.lower().replace("%", "*").replace("_", "?") + "*"
+                ok = ok and fnmatch.fnmatchcase(s.lower(), pat)
+            else:
+                ok = ok and sender.lower() in s.lower()
+        ok = ok and (types is None or r["transaction_type"] in types)
+        fr = r["financial_risk"]
+        if risk is not None:
+            ok = ok and fr is not None and {"low": fr <= 0.5, "medium": 0.5 < fr <= 0.7, "high": fr > 0.7}[risk]
+        if ok:
+            want.add(r["transaction_id"])
+    assert got == want
+    assert got <= {r["transaction_id"] for r in t.collect()}
