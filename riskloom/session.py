@@ -65,17 +65,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
+def _executors_import_package(sc) -> bool:
+    """One tiny job: can executor Python workers import this package already?"""
+    try:
+        return bool(sc.parallelize([0], 1).map(
+            lambda _: __import__("importlib.util", fromlist=["find_spec"]).find_spec("riskloom") is not None
+        ).first())
+    except Exception:  # noqa: BLE001 - a failing probe means "not importable"
+        return False
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``riskloom`` importable in executor Python workers (once per application).
 
     Operators that run Python on executors (isolation forest, autoencoder)
-    pickle references to this package's functions. Deployments usually pass
-    the package with ``--py-files``; this does the same at runtime with
-    ``addPyFile`` so the operators also work when only the driver has it.
+    pickle references to this package's functions. A deployed cluster has the
+    package already (installed, or passed with ``--py-files``); then nothing
+    is done. Otherwise the package is zipped on the driver and added with
+    ``addPyFile``, the runtime form of ``--py-files``.
     """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    _SHIPPED.add(sc.applicationId)
+    if _executors_import_package(sc):
+        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="riskloom-pyfiles-"), "riskloom.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -85,4 +99,3 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
-    _SHIPPED.add(sc.applicationId)
