@@ -50,5 +50,6 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner",
     cached = small.persist(StorageLevel.MEMORY_AND_DISK)
     if measured_bytes(cached) <= limit:      # this pass also fills the cache
         return big.join(F.broadcast(cached), on, how)
+    stored = cut_lineage(cached)             # written from the cache, not recomputed
     cached.unpersist()
-    return big.join(cut_lineage(small), on, how)
+    return big.join(stored, on, how)
