@@ -45,3 +45,8 @@ def join_nonempty(sep: str, *cols: Column) -> Column:
 def yes_no(flag: Column, yes: str = "YES", no: str = "No") -> Column:
     """Boolean to label; NULL counts as no (a missing flag is falsy)."""
     return F.when(F.coalesce(flag, F.lit(False)), yes).otherwise(no)
+
+
+def money_label(c: Column, symbol: str = "$") -> Column:
+    """``$1,234.56`` — thousands separators, two decimals."""
+    return F.concat(F.lit(symbol), F.format_number(c, 2))

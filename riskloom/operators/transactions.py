@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.bands import HIGH_RISK_THRESHOLD, risk_band, risk_band_predicate
+from riskloom.functions.text import money_label
 
 TXN_COLUMNS = ("transaction_date", "transaction_type", "company_id", "sender_account",
                "recipient_account", "transaction_amount", "transaction_id", "financial_risk")
@@ -99,11 +100,12 @@ def render_dates(txn: DataFrame) -> DataFrame:
 
 
 def filter_summary(filtered: DataFrame) -> DataFrame:
-    """G6 per company: rows shown, total amount, rows above the high-risk line."""
-    return filtered.groupBy("company_id").agg(
+    """G6 per company: rows shown, total amount (also as ``$1,234.56``), rows above the high-risk line."""
+    return (filtered.groupBy("company_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("txn_rows"),
         money_sum(F.col("transaction_amount")).alias("total_amount"),
         F.count_if(F.col("financial_risk") > HIGH_RISK_THRESHOLD).cast("bigint").alias("high_risk_rows"))
+        .withColumn("total_amount_label", money_label(F.col("total_amount"))))
 
 
 def txn_types(txn: DataFrame) -> DataFrame:

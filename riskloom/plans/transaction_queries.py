@@ -41,10 +41,11 @@ def txn_filter(spark, d):
 
 
 @query("txn_filter_summary", f"""
-    SELECT company_id, CAST(count(*) AS BIGINT) AS txn_rows,
-           CAST(sum(CAST(transaction_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount,
-           CAST(count(*) FILTER (WHERE financial_risk > 0.7) AS BIGINT) AS high_risk_rows
-    FROM ({_FILTER_SQL}) GROUP BY company_id""", ("dd_txn",))
+    SELECT *, '$' || format('{{:,.2f}}', total_amount) AS total_amount_label FROM (
+      SELECT company_id, CAST(count(*) AS BIGINT) AS txn_rows,
+             CAST(sum(CAST(transaction_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount,
+             CAST(count(*) FILTER (WHERE financial_risk > 0.7) AS BIGINT) AS high_risk_rows
+      FROM ({_FILTER_SQL}) GROUP BY company_id)""", ("dd_txn",))
 def txn_filter_summary(spark, d):
     return X.filter_summary(_filtered(spark, d))
 
