@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.text import python_title
 from riskloom.operators.joins import join_bounded
 
 # The five fraud keywords of the keyword panel.
@@ -220,7 +221,10 @@ def recent_mentions(mentioned: DataFrame, n: int = 5) -> DataFrame:
                                                  F.col("post_id").desc())
     return (mentioned.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
             .select("company_id", F.col("rank").cast("int").alias("rank"), "post_id", "platform",
-                    "sentiment_score"))
+                    "sentiment_score",
+                    # P17 badge: at least neutral is good
+                    F.when(F.col("sentiment_score") >= 0.5, "success").otherwise("danger")
+                    .alias("sentiment_class")))
 
 
 def keyword_flags(mentioned: DataFrame, keywords=FRAUD_KEYWORDS, text_col: str = "post_content") -> DataFrame:
@@ -232,6 +236,9 @@ def keyword_flags(mentioned: DataFrame, keywords=FRAUD_KEYWORDS, text_col: str =
     counts = mentioned.groupBy("company_id").agg(*[
         F.count_if(low.contains(kw.lower())).cast("bigint").alias(f"k{i}") for i, kw in enumerate(keywords)])
     pairs = ", ".join(f"'{kw.replace(chr(39), chr(39) * 2)}', k{i}" for i, kw in enumerate(keywords))
+    hits = F.col("hits").cast("bigint")
     return (counts.select("company_id", F.expr(f"stack({len(keywords)}, {pairs}) AS (keyword, hits)"))
-            .select("company_id", "keyword", F.col("hits").cast("bigint").alias("hits"),
-                    (F.col("hits") > 0).alias("flagged")))
+            .select("company_id", "keyword", python_title(F.col("keyword")).alias("keyword_title"),
+                    hits.alias("hits"), (hits > 0).alias("flagged"),
+                    F.when(hits > 0, F.concat(F.lit("YES — "), hits.cast("string"), F.lit(" mention(s)")))
+                    .otherwise(F.lit("No mentions")).alias("label")))

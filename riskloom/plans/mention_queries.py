@@ -84,7 +84,8 @@ def sentiment_summary(spark, d):
 
 
 @query("recent_mentions", f"""
-    SELECT company_id, CAST(rank AS INTEGER) AS rank, post_id, platform, sentiment_score FROM (
+    SELECT company_id, CAST(rank AS INTEGER) AS rank, post_id, platform, sentiment_score,
+           CASE WHEN sentiment_score >= 0.5 THEN 'success' ELSE 'danger' END AS sentiment_class FROM (
       SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY post_id DESC) AS rank
       FROM ({_MENTIONED_SQL})) WHERE rank <= 5""")
 def recent_mentions(spark, d):
@@ -96,9 +97,14 @@ def _keyword_sql(keywords) -> str:
         f"SELECT company_id, '{kw}' AS keyword, "
         f"CAST(count(*) FILTER (WHERE contains(lower(post_content), '{kw.lower()}')) AS BIGINT) AS hits "
         f"FROM m GROUP BY company_id" for kw in keywords)
+    title = ("list_aggr(list_transform(string_split(lower(keyword), ' '), "
+             "lambda w: upper(left(w, 1)) || substr(w, 2)), 'string_agg', ' ')")
     return f"""
     WITH m AS ({_MENTIONED_SQL})
-    SELECT company_id, keyword, hits, hits > 0 AS flagged FROM ({arms})"""
+    SELECT company_id, keyword, {title} AS keyword_title, hits, hits > 0 AS flagged,
+           CASE WHEN hits > 0 THEN 'YES — ' || CAST(hits AS VARCHAR) || ' mention(s)'
+                ELSE 'No mentions' END AS label
+    FROM ({arms})"""
 
 
 @query("keyword_flags", f"SELECT * FROM ({_keyword_sql(M.FRAUD_KEYWORDS)})")
