@@ -40,11 +40,10 @@ def ownership_edges(profiles: DataFrame, officers: DataFrame, pscs: DataFrame) -
     names = profiles.select("company_number", F.col("company_name").alias("company"))
     o = officers.select("company_number", F.coalesce("name", F.lit("Unknown")).alias("party"))
     p = pscs.select("company_number", F.coalesce("name", F.lit("Unknown PSC")).alias("party"))
-    e = o.unionByName(p).distinct()
+    e = o.unionByName(p).distinct().join(names, "company_number")
     # a graph needs two nodes: an edge whose party is the company itself is a lone self-loop
-    ok = (e.join(names, "company_number")
-          .filter(F.col("party") != F.col("company")).select("company_number").distinct())
-    return (e.join(names, "company_number").join(ok, "company_number", "left_semi")
+    ok = e.filter(F.col("party") != F.col("company")).select("company_number").distinct()
+    return (e.join(ok, "company_number", "left_semi")
             .select("company_number", F.col("company").alias("source"), F.col("party").alias("target")))
 
 

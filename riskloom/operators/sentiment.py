@@ -54,7 +54,15 @@ MAX_LEXICON = 100_000
 TOKEN_SPLIT = r"[^\p{L}\p{N}'_-]+"
 
 
-def lexicon_df(spark: SparkSession, lexicon: dict[str, float] | None = None) -> DataFrame:
+def lexicon_df(spark: SparkSession, lexicon: dict[str, float] | DataFrame | None = None) -> DataFrame:
+    """The lexicon as a (tok, valence DECIMAL) table: the built-in one, a dict, or a
+    DataFrame with ``tok``/``valence`` columns (lower-cased tokens). It is broadcast,
+    so its size is checked first."""
+    if isinstance(lexicon, DataFrame):
+        lex = lexicon.select(F.lower(F.col("tok")).alias("tok"), F.col("valence"))
+        if lex.count() > MAX_LEXICON:
+            raise ValueError("lexicon too large to broadcast")
+        return lex.select("tok", F.col("valence").cast("decimal(12,6)").alias("valence"))
     lex = LEXICON if lexicon is None else lexicon
     if len(lex) > MAX_LEXICON:
         raise ValueError("lexicon too large to broadcast")

@@ -105,3 +105,17 @@ def test_over_limit_falls_back_to_shuffle_join(spark):
         assert j.count() == 15
     finally:
         spark.conf.unset("riskloom.broadcast.maxBytes")
+
+
+def test_sentiment_with_lexicon_table(spark):
+    from riskloom.operators.sentiment import sentiment_scores
+    posts = spark.createDataFrame([(1, "Great results"), (2, "not great"), (3, "   "), (4, None),
+                                   (5, "very great")], "post_id long, post_content string")
+    lex = spark.createDataFrame([("GREAT", 3.0)], "tok string, valence double")
+    got = {r[0]: r[1] for r in sentiment_scores(posts, lexicon=lex).collect()}
+    import math
+    norm = lambda s: round((s / math.sqrt(s * s + 15) + 1) / 2, 4)
+    assert got[1] == float(__import__("numpy").float32(norm(3.0)))
+    assert got[2] == float(__import__("numpy").float32(norm(3.0 * -0.74)))
+    assert got[3] == 0.5 and got[4] == 0.5
+    assert got[5] == float(__import__("numpy").float32(norm(3.0 + 0.293)))
