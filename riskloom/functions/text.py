@@ -28,13 +28,13 @@ def python_title(c: Column) -> Column:
 
     Matches Python's ``str.title`` for the status/role vocabularies, where a
     word boundary is any non-letter (``voluntary-arrangement`` becomes
-    ``Voluntary-Arrangement``); ``initcap`` only splits on spaces.
+    ``Voluntary-Arrangement``); ``initcap`` alone only splits on spaces. A
+    space (U+0001-marked) is put after every non-letter so ``initcap`` sees
+    each letter run as a word, then removed again — all code-generated string
+    functions, no per-element lambda.
     """
-    # split after every non-letter: each piece starts a new letter run
-    pieces = F.split(F.lower(c), r"(?<=[^\p{L}])")
-    return F.array_join(
-        F.transform(pieces, lambda w: F.concat(F.upper(F.substring(w, 1, 1)),
-                                               F.substring(w, 2, 1 << 20))), "")
+    marked = F.regexp_replace(F.lower(c), r"([^\p{L}])", "$1\u0001 ")
+    return F.regexp_replace(F.initcap(marked), "\u0001 ", "")
 
 
 def join_nonempty(sep: str, *cols: Column) -> Column:
