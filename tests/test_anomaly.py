@@ -90,3 +90,20 @@ def test_forest_large_input_path_deals_rows_to_one_tree(spark, planted):
     assert sorted(roots.tree) == [0, 1, 2, 3]
     assert (roots["size"] == 16).all()
     assert forest.groupby("tree").node.max().max() < 2 ** 5   # depth <= log2(16)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(pts=st.lists(st.tuples(*[st.integers(0, 6)] * 3), min_size=1, max_size=60),
+       eps=st.sampled_from([0.1, 0.2, 0.3, 0.5]), k=st.integers(1, 6))
+def test_density_exact_distance_ties(spark, pts, eps, k):
+    """Grid-aligned points (multiples of 0.1, duplicates allowed) put many pairs at exactly eps."""
+    rows = [(i, x / 10, y / 10, z / 10) for i, (x, y, z) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, amount double, balance double, frequency double")
+    X = np.array([r[1:] for r in rows])
+    want = brute_noise(X, eps, k)
+    got = density_noise(df, COLS, eps, k).orderBy("id").toPandas()
+    assert got["dbscan_flag"].tolist() == want.tolist()
