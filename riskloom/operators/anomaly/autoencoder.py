@@ -93,6 +93,8 @@ def train(scaled: DataFrame, cols=FEATURES, hidden: int = 2, epochs: int = 50, b
     picked = (scaled.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(100)) < cut)
               .select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]))
     n_train = picked.count()
+    if n_train == 0:   # nothing to learn from: the initial weights
+        return _flat(_init(d, hidden, seed))
     buckets = max(buckets, -(-n_train // rows_per_bucket))
     train_rows = (picked.repartition(buckets, F.xxhash64(F.col(id_col), F.lit(seed + 1)))
                   .sortWithinPartitions(F.xxhash64(F.col(id_col), F.lit(seed + 2)), id_col))

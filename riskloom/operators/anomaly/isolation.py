@@ -72,6 +72,12 @@ def fit_forest(df: DataFrame, cols=FEATURES, n_trees: int = 100, max_samples: in
     """Grow the forest on Spark; returns the node table (bounded: trees x 511 rows)."""
     ship_package(df.sparkSession)
     n = df.count()
+    if n == 0:
+        empty = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (
+            ("tree", "int32"), ("node", "int32"), ("feature", "int32"), ("threshold", "float64"),
+            ("left", "int32"), ("right", "int32"), ("size", "int64"))})
+        empty.attrs["max_samples"] = 0
+        return empty
     m = min(max_samples, n)
     max_depth = max(1, math.ceil(math.log2(max(m, 2))))
     if n >= 4 * n_trees * m:
@@ -155,6 +161,10 @@ def isolation_flags(df: DataFrame, cols=FEATURES, contamination: float = 0.05, n
                     max_samples: int = 256, seed: int = 42, id_col: str = "id") -> DataFrame:
     """(id, iforest_score, iforest_flag): flag 1 for the top ``contamination`` share of scores."""
     forest = fit_forest(df, cols, n_trees, max_samples, seed, id_col)
+    if forest.empty:   # no rows: nothing to fit, an empty result with the full schema
+        return df.select(F.col(id_col).cast("long").alias(id_col),
+                         F.lit(None).cast("double").alias("iforest_score"),
+                         F.lit(0).alias("iforest_flag"))
     scored = score_forest(df, forest, cols, id_col)
     scored = cut_lineage(scored)
     thr = exact_quantile(scored, "iforest_score", 1.0 - contamination)

@@ -61,3 +61,16 @@ def test_empty_inputs_keep_schema(spark):
     flags = K.risk_flags(prof, off, psc, fil, leaked, dt.date(2024, 1, 1))
     assert flags.count() == 0
     assert K.risk_scores(prof, flags).count() == 0
+
+
+def test_empty_and_tiny_inputs_to_learners(spark):
+    from riskloom.operators.anomaly.autoencoder import autoencoder_flags
+    from riskloom.operators.anomaly.isolation import isolation_flags
+    from riskloom.operators.anomaly.scale import minmax_scale
+    schema = "id long, amount double, balance double, frequency double"
+    e = spark.createDataFrame([], schema)
+    assert isolation_flags(e).count() == 0
+    assert autoencoder_flags(minmax_scale(e)).count() == 0
+    one = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], schema)
+    assert isolation_flags(one).count() == 1
+    assert autoencoder_flags(minmax_scale(one)).count() == 1
