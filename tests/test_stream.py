@@ -23,3 +23,30 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, got2.select(*want2.columns).collect())) == sorted(map(tuple, want2.collect()))
     tiers = {r["risk_tier"]: r["companies"] for r in ST.read_latest(spark, f"{base}/state", "tiers").collect()}
     assert tiers == {"MEDIUM": 1, "CRITICAL": 1}
+
+
+def test_processing_time_trigger_picks_up_new_files(spark):
+    """The production path: a running stream with a processing-time trigger sees files landing."""
+    import time
+    base = tempfile.mkdtemp(prefix="riskloom-stream-", dir="/tmp")
+    schema = ST.KYC_SCHEMA
+    ST.land(spark.createDataFrame([(1, 10, "LOW", 5, False, "a")], schema), f"{base}/landing", files=1)
+    q = ST.start_kyc_refresh(spark, f"{base}/landing", f"{base}/state", f"{base}/ckpt",
+                             trigger={"processingTime": "1 second"})
+    try:
+        deadline = time.time() + 120
+
+        def latest_ids():
+            df = ST.read_latest(spark, f"{base}/state")
+            return set() if df is None else {r["id"] for r in df.collect()}
+
+        while time.time() < deadline and latest_ids() != {1}:
+            time.sleep(1)
+        assert latest_ids() == {1}
+        ST.land(spark.createDataFrame([(2, 10, "HIGH", 70, True, "b"), (3, 11, "LOW", 1, False, "c")], schema),
+                f"{base}/landing", files=1)
+        while time.time() < deadline and latest_ids() != {2, 3}:
+            time.sleep(1)
+        assert latest_ids() == {2, 3}
+    finally:
+        q.stop()
