@@ -96,27 +96,29 @@ def risk_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parties(spark: SparkSession, d: str, line: int) -> DataFrame:
-    """Suppliers on a given order line, per customer: the company's parties."""
+    """Suppliers on a given order line, per customer: the company's parties.
+
+    Lines and orders are aggregated per (customer, supplier) first; the
+    dimension attributes are joined to that narrower result.
+    """
     li = read(spark, d, "lineitem").filter(F.col("l_linenumber") == line)
     o = read(spark, d, "orders")
-    s = read(spark, d, "supplier")
-    c = read(spark, d, "customer")
-    sn = read(spark, d, "nation").select(F.col("n_nationkey").alias("sn_key"),
+    agg = (li.join(o, li.l_orderkey == o.o_orderkey)
+           .groupBy(o.o_custkey.alias("company_number"), li.l_suppkey.alias("s_suppkey"))
+           .agg(F.min(o.o_orderkey).alias("pos"),
+                F.min(F.to_date(o.o_orderdate)).alias("first_date"),
+                F.min(li.l_returnflag).alias("flag"),
+                F.min(li.l_linestatus).alias("min_ls"),
+                F.max(F.to_date(li.l_shipdate)).alias("last_ship")))
+    s = read(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey")
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("company_number"), "c_nationkey")
+    sn = read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"),
                                          F.col("n_name").alias("nationality"))
-    cn = read(spark, d, "nation").select(F.col("n_nationkey").alias("cn_key"),
+    cn = read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"),
                                          F.col("n_name").alias("country_of_residence"))
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-         .join(s, li.l_suppkey == s.s_suppkey)
-         .join(c, o.o_custkey == c.c_custkey)
-         .join(sn, s.s_nationkey == sn.sn_key)
-         .join(cn, c.c_nationkey == cn.cn_key))
-    return (j.groupBy(o.o_custkey.alias("company_number"), s.s_suppkey, s.s_name,
-                      s.s_acctbal, "nationality", "country_of_residence")
-            .agg(F.min(o.o_orderkey).alias("pos"),
-                 F.min(F.to_date(o.o_orderdate)).alias("first_date"),
-                 F.min(li.l_returnflag).alias("flag"),
-                 F.min(li.l_linestatus).alias("min_ls"),
-                 F.max(F.to_date(li.l_shipdate)).alias("last_ship")))
+    return (agg.join(s, "s_suppkey").join(c, "company_number")
+            .join(sn, "s_nationkey").join(cn, "c_nationkey")
+            .drop("s_nationkey", "c_nationkey"))
 
 
 def officers(spark: SparkSession, d: str) -> DataFrame:
