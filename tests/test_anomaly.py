@@ -68,10 +68,12 @@ def test_isolation_forest_finds_planted(spark, planted):
 
 def test_autoencoder_flags_rate(spark, planted):
     scaled = minmax_scale(planted, COLS)
-    pdf = autoencoder_flags(scaled, COLS, epochs=20, local_epochs=5).toPandas()
+    pdf = (autoencoder_flags(scaled, COLS, epochs=20, local_epochs=5)
+           .join(planted.select("id", "truth"), "id").toPandas())
     thr = np.percentile(pdf["ae_error"], 95)
     assert (pdf["ae_flag"] == (pdf["ae_error"] > thr).astype(int)).all()
     assert 0.03 <= pdf["ae_flag"].mean() <= 0.06
+    assert pdf.loc[pdf.truth == 1, "ae_flag"].mean() >= 0.7   # planted outliers found
 
 
 def test_report_and_overview(spark):
