@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The report's money format.
+MONEY_FORMAT = "%.2f €"
+
 METHOD_COLUMNS = {"isolation": "iforest_flag", "autoencoder": "ae_flag", "density": "dbscan_flag"}
 
 
@@ -14,8 +17,8 @@ def anomaly_report(flagged: DataFrame, method: str, id_col: str = "id") -> DataF
     flag = METHOD_COLUMNS[method]
     return (flagged.filter(F.col(flag) == 1)
             .select(F.col(id_col).alias("index"),
-                    F.format_string("%.2f €", F.col("amount")).alias("transaction_amount"),
-                    F.format_string("%.2f €", F.col("balance")).alias("account_balance"),
+                    F.format_string(MONEY_FORMAT, F.col("amount")).alias("transaction_amount"),
+                    F.format_string(MONEY_FORMAT, F.col("balance")).alias("account_balance"),
                     F.bround(F.col("frequency"), 0).cast("long").alias("transaction_frequency")))
 
 

@@ -34,9 +34,14 @@ from pyspark.sql import functions as F
 from riskloom.functions.text import python_title
 from riskloom.operators.joins import join_bounded
 
-# The five fraud keywords of the keyword panel.
+# The five fraud keywords of the keyword panel, its labels, and
+# the post badge classes (a score of at least 0.5 is good).
 FRAUD_KEYWORDS = ("financial fraud", "regulatory breach", "illegitimate transaction",
                   "money laundering", "sanctions")
+HIT_LABEL = ("YES — ", " mention(s)")
+NO_HIT_LABEL = "No mentions"
+GOOD_SENTIMENT = 0.5
+BADGE_GOOD, BADGE_BAD = "success", "danger"
 
 WS = r"\s+"
 PREFIX_KEY_LEN = 8      # prefix/suffix keys use at most this many leading chars
@@ -225,7 +230,7 @@ def recent_mentions(mentioned: DataFrame, n: int = 5) -> DataFrame:
             .select("company_id", F.col("rank").cast("int").alias("rank"), "post_id", "platform",
                     "sentiment_score",
                     # P17 badge: at least neutral is good
-                    F.when(F.col("sentiment_score") >= 0.5, "success").otherwise("danger")
+                    F.when(F.col("sentiment_score") >= GOOD_SENTIMENT, BADGE_GOOD).otherwise(BADGE_BAD)
                     .alias("sentiment_class")))
 
 
@@ -242,5 +247,5 @@ def keyword_flags(mentioned: DataFrame, keywords=FRAUD_KEYWORDS, text_col: str =
     return (counts.select("company_id", F.expr(f"stack({len(keywords)}, {pairs}) AS (keyword, hits)"))
             .select("company_id", "keyword", python_title(F.col("keyword")).alias("keyword_title"),
                     hits.alias("hits"), (hits > 0).alias("flagged"),
-                    F.when(hits > 0, F.concat(F.lit("YES — "), hits.cast("string"), F.lit(" mention(s)")))
-                    .otherwise(F.lit("No mentions")).alias("label")))
+                    F.when(hits > 0, F.concat(F.lit(HIT_LABEL[0]), hits.cast("string"), F.lit(HIT_LABEL[1])))
+                    .otherwise(F.lit(NO_HIT_LABEL)).alias("label")))

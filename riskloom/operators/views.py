@@ -9,7 +9,12 @@ from riskloom.functions.jurisdiction import DEFAULT_LISTS, jurisdiction_risk
 from riskloom.functions.text import join_nonempty, python_title, yes_no
 from riskloom.operators.screening import flag_hits, screened_parties
 
+# Defaults and labels of the detail views.
 NA = "N/A"
+RESIGNED, ACTIVE = "Resigned", "Active"
+CLEAR = "Clear"
+ACTIVE_STATUS = "active"
+STATUS_GOOD, STATUS_BAD = "success", "danger"
 
 
 def _na(c):
@@ -26,7 +31,7 @@ def profile_view(profiles: DataFrame, lists=DEFAULT_LISTS) -> DataFrame:
     return profiles.select(
         "company_number", "company_name",
         status.alias("status"),
-        F.when(F.lower(status) == "active", "success").otherwise("danger").alias("status_class"),
+        F.when(F.lower(status) == ACTIVE_STATUS, STATUS_GOOD).otherwise(STATUS_BAD).alias("status_class"),
         _na(F.col("date_of_creation")).alias("incorporated"),
         _na(F.col("type")).alias("company_type"),
         _na(F.col("jurisdiction")).alias("jurisdiction"),
@@ -48,9 +53,9 @@ def officer_view(officers: DataFrame, leaked: DataFrame, lists=DEFAULT_LISTS) ->
         _na(F.col("name")).alias("name"),
         python_title(F.regexp_replace(_na(F.col("officer_role")), "-", " ")).alias("role"),
         _na(F.col("appointed_on")).alias("appointed"),
-        F.when(resigned.isNotNull() & (resigned != ""), "Resigned").otherwise("Active").alias("status"),
+        F.when(resigned.isNotNull() & (resigned != ""), RESIGNED).otherwise(ACTIVE).alias("status"),
         nat.alias("nationality"), cor.alias("country_of_residence"),
-        F.coalesce(label, F.lit("Clear")).alias("jurisdiction_flag"),
+        F.coalesce(label, F.lit(CLEAR)).alias("jurisdiction_flag"),
         yes_no(F.col("leak_hit")).alias("leak_hit"))
 
 
