@@ -13,8 +13,10 @@ Every pair of texts with ``100 * |A n B| >= percent * |A u B|`` is found:
   inverted lists that are scanned. Sets just below the boundary enter both, so
   no pair across it is lost. The boundary is the size at which the summed
   cost of subsets and list scans, over the histogram of all sizes, is least.
-* Sharing a key makes a candidate. Candidates between sets already connected
-  are not tested. Star rounds test every set against one other of its lists
+* Sharing a key makes a candidate, if what stands before the key in both
+  orders still leaves enough to share (so that one of the two, the smaller,
+  has the key in the yet shorter prefix that partners no smaller need).
+  Candidates between sets already connected are not tested. Star rounds test every set against one other of its lists
   (never all pairs of a list); what is left after them, between different
   components, is then tested pair by pair. Each test counts the exact
   intersection of the whole texts' shingles.
@@ -43,7 +45,7 @@ from riskloom.session import ship_package
 SKETCH_BITS = 20
 BLOCK_BITS = 16
 SIZE_BINS = 4096
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def _needed(n, percent: int):
@@ -133,7 +135,7 @@ def _signatures(width: int, percent: int, boundary: int, freq):
         light = _needed(boundary, percent) if boundary else 0
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            sig, doc, size, held = [], [], [], 0
+            out, held = [], 0
             for i, s in shingle_sets(b.column("text"), width):
                 n = len(s)
                 if n < 2:
@@ -141,33 +143,33 @@ def _signatures(width: int, percent: int, boundary: int, freq):
                 p = n - int(_needed(n, percent)) + 1
                 take = min(n, p + 1)
                 f = table[s & low]
-                pre = np.argpartition(f, take - 1) if take < n else np.arange(n)
-                pre = s[f <= f[pre[take - 1]]] if take < n else s
+                pre = s[f <= np.partition(f, take - 1)[take - 1]] if take < n else s
                 pre = pre[np.lexsort((pre, table[pre & low]))][:take]
-                keys = []
+                keys, slack = [], []
                 if n <= boundary:
                     x, y = np.triu_indices(len(pre), 1)
                     keys.append(mix(pre[x] * U(0x9FB21C651E98DF25) + pre[y]))
+                    slack.append(y - 1)
                 if n > boundary or n >= light:
                     keys.append(pre[:p])
-                for k in keys:
-                    sig.append(k)
-                    doc.append(np.full(len(k), ids[i]))
-                    size.append(np.full(len(k), n, np.int32))
-                    held += len(k)
+                    slack.append(np.arange(min(p, n)))
+                out.append((ids[i], n, np.concatenate(keys), np.concatenate(slack)))
+                held += len(out[-1][2])
                 if held > 200_000:
-                    yield _signature_rows(sig, doc, size)
-                    sig, doc, size, held = [], [], [], 0
-            if held:
-                yield _signature_rows(sig, doc, size)
+                    yield _signature_rows(out)
+                    out, held = [], 0
+            if out:
+                yield _signature_rows(out)
     return run
 
 
-def _signature_rows(sig, doc, size) -> pa.RecordBatch:
+def _signature_rows(rows: list[tuple]) -> pa.RecordBatch:
+    ends = pa.array(np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32))
+    sigs = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[2] for r in rows]).view(np.int64)))
+    slack = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[3] for r in rows]).astype(np.int32)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(sig).view(np.int64)),
-         pa.array(np.concatenate(doc).astype(np.int64)), pa.array(np.concatenate(size))],
-        names=["sig", "node", "n"])
+        [pa.array([int(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), sigs, slack],
+        names=["node", "n", "sigs", "slacks"])
 
 
 def _linked(width: int, percent: int):
@@ -217,55 +219,65 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
              .agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary(sizes, list_length(freq, percent), percent)
     sent = spark.sparkContext.broadcast(freq)
+    # ``slack``: members of the set before the key, which a partner that meets it there does not share
     sigs = stored(docs.where("doc_id is not null")
-                  .mapInArrow(_signatures(width, percent, boundary, sent), "sig long, node long, n int")
-                  .join(nodes.select("node").distinct(), "node", "left_semi"), "signatures")
-
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    active = stored(sigs.join(shared.select("sig"), "sig", "left_semi"), "active")
+                  .mapInArrow(_signatures(width, percent, boundary, sent),
+                              "node long, n int, sigs array<long>, slacks array<int>")
+                  .join(nodes.select("node").distinct(), "node", "left_semi")
+                  .select("node", "n", F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("slacks").alias("slack"))))
+                  # first: also within the shorter prefix that is enough for partners no smaller
+                  .withColumn("first", F.expr(f"slack <= n - ceil({percent} * 2 * n / {100 + percent})")), "signatures")
+
+    shared = (sigs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("first").alias("first"))
+              .where("lo < hi and first").select("sig"))
+    active = stored(sigs.join(shared, "sig", "left_semi"), "active")
     dropped(sigs)
     texts = stored(docs.join(active.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
                    .select(F.col("doc_id").alias("node"), "text").distinct(), "texts")
 
-    labels = stored(active.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    # two sets of n and m shingles link only if they share ``both`` of them
+    both = f"ceil({percent} * (n + m) / {100 + percent})"
+    may = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and slack <= n - {both} and others <= m - {both}")
+    labels = active.select("node").distinct().withColumn("label", F.col("node"))
     links = tested = None
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     for turn in range(STAR_ROUNDS + 1):
-        act = active.join(labels, "node")
+        act = active.join(labels, "node") if turn else active.withColumn("label", F.col("node"))
         if turn < STAR_ROUNDS:
+            order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
             hub = act.groupBy("sig").agg(
                 F.min("label").alias("lo"), F.max("label").alias("hi"),
-                F.min_by(F.struct("node", "n", "label"),
-                         F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("hub"))
-            cand = (act.join(hub.where("lo < hi").select("sig", "hub"), "sig")
-                    .withColumn("m", F.col("hub.n")).where(F.col("label") != F.col("hub.label")).where(fits)
-                    .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"),
-                            "node"))
+                F.min_by(F.struct("node", "n", "slack", "label"), F.when(F.col("first"), order)).alias("hub")) \
+                .where("lo < hi").select("sig", F.col("hub.node").alias("other"), F.col("hub.n").alias("m"),
+                                         F.col("hub.slack").alias("others"), F.col("hub.label").alias("theirs"))
+            cand = (act.join(hub, "sig").where("label <> theirs").where(may)
+                    .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "node"))
             if tested is not None:
                 cand = cand.join(tested, ["a", "b"], "left_anti")
             # one test for every set and round: most others are connected by then
             pairs = (cand.groupBy("node").agg(F.min(F.struct("a", "b")).alias("p"))
                      .select("p.a", "p.b").distinct())
         else:
-            open_ = stored(act.join(act.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                                    .where("lo < hi").select("sig"), "sig", "left_semi"), "open")
-            pairs = (open_.alias("x").join(open_.select("sig", F.col("node").alias("other"),
-                                                       F.col("n").alias("m"), F.col("label").alias("theirs")), "sig")
-                     .where("label < theirs").where(fits)
+            left = act.where("first").select("sig", F.col("node").alias("other"), F.col("n").alias("m"),
+                                             F.col("slack").alias("others"), F.col("label").alias("theirs"))
+            pairs = (act.join(left, "sig").where("label <> theirs and m <= n").where(may)
                      .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             continue
         found = stored(_verified(pairs, texts, width, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            comp = components(links)
-            new = stored(active.select("node").distinct().join(comp.withColumnRenamed("id", "node"), "node", "left")
-                         .select("node", F.coalesce("component", "node").alias("label")), "labels")
-            dropped(labels)
-            labels = new
+        if turn < STAR_ROUNDS:
+            # equal labels say connected; a step towards the smallest is enough to skip tests
+            ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            step = (ends.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+                    .agg(F.min("label").alias("low")))
+            labels = stored(labels.join(step, "node", "left")
+                            .select("node", F.least("label", F.coalesce("low", "label")).alias("label")), "labels")
+    comp = (components(links) if links is not None else nodes.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0))
+    labels = comp.select(F.col("id").alias("node"), F.col("component").alias("label"))
     by_digest = (nodes.join(labels, "node", "left")
                  .select("d1", "d2", F.col("n").alias("n_of"), F.coalesce("label", "node").alias("component_id")))
     return (sets.join(by_digest, (sets.d1 == by_digest.d1) & (sets.d2 == by_digest.d2)
