@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.store import stored
 from riskloom.session import ship_package
 
 # fixed values of the WARC format
@@ -222,12 +223,18 @@ def page_captures(recs: DataFrame) -> DataFrame:
     (page_id) come from the response whose record id it refers to; they are
     null if that is not in the archives.
     """
-    rows = assemble(recs).select(
+    # the archives are parsed once; the joins read the slim records
+    recs = stored(recs.drop("payload"), "records")
+    rows = stored(assemble(recs).select(
         "record_id", "record_type", "refers_to", "payload_digest", "payload_bytes",
-        F.expr("nullif(element_at(map_from_entries(metadata[0].fields), 'page-id'), '')").cast("long").alias("page_id"))
-    first = (rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("of"))
+        F.expr("nullif(element_at(map_from_entries(metadata[0].fields), 'page-id'), '')").cast("long").alias("page_id")),
+        "captures")
+    own = rows.where("record_type <> 'revisit'")
+    first = (own.where("record_type = 'response'").groupBy(F.col("record_id").alias("of"))
              .agg(F.first("page_id").alias("of_page"), F.first("payload_bytes").alias("of_bytes")))
-    revisit = F.col("record_type") == "revisit"
-    return (rows.join(first, rows["refers_to"] == first["of"], "left")
-            .select("page_id", F.when(revisit, F.col("of_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-                    "payload_digest", "record_type", F.when(revisit, F.col("of_page")).alias("refers_to")))
+    revisits = rows.where("record_type = 'revisit'")
+    return (own.select("page_id", "payload_bytes", "payload_digest", "record_type",
+                       F.lit(None).cast("long").alias("refers_to"))
+            .unionByName(revisits.join(first, revisits["refers_to"] == first["of"], "left")
+                         .select("page_id", F.col("of_bytes").alias("payload_bytes"), "payload_digest", "record_type",
+                                 F.col("of_page").alias("refers_to"))))
