@@ -26,10 +26,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.store import dropped, stored
 from riskloom.llm.transducer import Lexicon, compile_lexicon
 from riskloom.session import ship_package
 
 LEXICON_WORDS = 200_000
+COUNT_BINS = 100_000
 CHUNK = 1 << 21        # characters whose words are looked up together
 WORDS_HELD = 300_000   # words a task keeps before it hands on their counts, or merged words it remembers
 # characters on which every Unicode version agrees: NFC leaves them alone, classes are settled
@@ -157,11 +159,21 @@ def _count_words(sent):
 
 
 def build_lexicon(docs: DataFrame, sent, size: int = LEXICON_WORDS) -> bytes:
-    """Transducer of the ``size`` most frequent words of all documents (ties: smaller word)."""
-    top = (docs.select("text").mapInPandas(_count_words(sent), "word string, n long")
-           .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word"))
+    """Transducer of the most frequent words of all documents: all with a count that at most ``size`` words reach."""
+    counts = stored(docs.select("text").mapInPandas(_count_words(sent), "word string, n long")
+                    .groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # the smallest count that at most ``size`` words reach; high counts share a bin
+    bins = counts.groupBy(F.least("n", F.lit(COUNT_BINS)).alias("n")).agg(F.count("*").alias("words"))
+    least, held = COUNT_BINS + 1, 0
+    for r in sorted(bins.collect(), key=lambda r: -r["n"]):
+        held += r["words"]
+        if held > size:
+            break
+        least = r["n"]
     tok = sent.value
-    return compile_lexicon({w.encode(): tok.merge(w) for w in (r["word"] for r in top.collect())})
+    top = counts.where(F.col("n") >= least).select("word").collect()
+    dropped(counts)
+    return compile_lexicon({w.encode(): tok.merge(w) for w in (r["word"] for r in top)})
 
 
 def _send_file(spark, block: bytes) -> str:
@@ -175,23 +187,25 @@ def _send_file(spark, block: bytes) -> str:
 
 
 class _Coder:
-    """Looks up the words of a chunk: transducer first, exact merges for the rest."""
+    """Ids and decoded text of words: transducer first, exact merges for the rest.
+
+    Remembers up to WORDS_HELD words between the chunks of a task.
+    """
 
     def __init__(self, tok: Tokenizer, lexicon: Lexicon):
-        self.tok, self.lexicon, self.rare = tok, lexicon, {}
-
-    def table(self, words: list[str]) -> dict[str, list[int]]:
-        out = {}
-        for w, n in zip(words, self.lexicon.numbers([w.encode() for w in words])):
-            if n >= 0:
-                out[w] = self.lexicon.sequence(n)
-            else:
-                if w not in self.rare:
-                    if len(self.rare) > WORDS_HELD:
-                        self.rare.clear()
-                    self.rare[w] = self.tok.merge(w)
-                out[w] = self.rare[w]
-        return out
+        self.tok, self.lexicon = tok, lexicon
+        self.ids: dict[str, str] = {}
+        self.plain: dict[str, str] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.ids) > WORDS_HELD:
+            self.ids.clear()
+            self.plain.clear()
+        new = [w for w in words if w not in self.ids]
+        for w, n in zip(new, self.lexicon.numbers([w.encode() for w in new]).tolist()):
+            ids = self.lexicon.sequence(n) if n >= 0 else self.tok.merge(w)
+            self.ids[w] = " ".join(map(str, ids))
+            self.plain[w] = self.tok.decode(ids)
 
 
 def _chunks(texts) -> Iterator[tuple[int, int]]:
@@ -213,16 +227,15 @@ def _encode(sent, name: str, with_ids: bool, keep: list[str]):
             texts = pdf["text"].tolist()
             for a, b in _chunks(texts):
                 split = [tok.words(t) if t else [] for t in texts[a:b]]
-                table = coder.table(list(set().union(*split)))
-                shown = {w: " ".join(map(str, ids)) for w, ids in table.items()}
-                plain = {w: tok.decode(ids) for w, ids in table.items()}
+                coder.learn(set().union(*split))
+                shown, plain = coder.ids.__getitem__, coder.plain.__getitem__
                 rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
                 for ws in split:
-                    line = " ".join([shown[w] for w in ws])
+                    line = " ".join(map(shown, ws))
                     rows["n_tokens"].append(line.count(" ") + 1 if line else 0)
                     rows["ids_sha256"].append(hashlib.sha256(line.encode()).hexdigest())
                     rows["decoded_sha256"].append(
-                        hashlib.sha256(" ".join([plain[w] for w in ws]).encode()).hexdigest())
+                        hashlib.sha256(" ".join(map(plain, ws)).encode()).hexdigest())
                     if with_ids:
                         rows["ids"].append(np.fromstring(line, np.int32, sep=" ") if line else np.zeros(0, np.int32))
                 if not with_ids:
