@@ -122,12 +122,11 @@ def _evidence(sent, order: int, keep: list[str]):
             total, count = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
             for i, text in enumerate(pdf["text"]):
                 ws = words(text)
-                for w in ws:
-                    if w not in known:
-                        if len(known) > WORDS_HELD:
-                            known.clear()
-                        known[w] = sum(model.get(g, 0.0) for g in grams(w, order))
-                    total[i] += known[w]
+                if len(known) > WORDS_HELD:
+                    known.clear()
+                for w in set(ws).difference(known):
+                    known[w] = sum(model.get(g, 0.0) for g in grams(w, order))
+                total[i] = sum(map(known.__getitem__, ws))
                 count[i] = len(ws)
             yield pdf[keep].assign(total=total, words=count)
     return run
