@@ -15,13 +15,13 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,10 @@ COUNT_BINS = 100_000
 CHUNK = 1 << 21        # characters whose words are looked up together
 WORDS_HELD = 300_000   # words a task keeps before it hands on their counts, or merged words it remembers
 # characters on which every Unicode version agrees: NFC leaves them alone, classes are settled
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ſ]*")
+# the letters and numbers among them, after lower-casing (fixed values)
+_LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
+_NUMBERS = "0-9²³¹¼-¾"
 
 
 def byte_letters() -> dict[int, str]:
@@ -59,11 +62,11 @@ class Tokenizer:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.merges = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
         self.merged = [self.vocab[a + b] for a, b in pairs]
-        self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"]
-                                          if p["type"] == "Split"))
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.pattern = re.compile(pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS))
         self.letters = byte_letters()
         self.bytes = {c: b for b, c in self.letters.items()}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.library = None
 
     def __reduce__(self):
