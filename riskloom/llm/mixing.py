@@ -99,7 +99,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
     rows = docs.select(*names, *key, word_count(F.col("text")).alias("__size"))
     copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
     words = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    cut = F.regexp_extract("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"),
+    cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"),
                                             words.cast("string"), F.lit("}+")), F.lit(0))
     out = (rows.join(taken, ["__id", "__no_id", "__src", "__no_src", "__size"])
            .withColumn("__copy", F.explode(copies))
