@@ -28,10 +28,13 @@ from riskloom.sources import files as S
 from riskloom.streaming.kyc_refresh import KYC_SCHEMA
 
 COMPANIES_DB = T.StructType([
-    T.StructField("company_number", T.LongType()), T.StructField("company_name", T.StringType()),
+    T.StructField("company_number", T.StringType()), T.StructField("company_name", T.StringType()),
     T.StructField("company_status", T.StringType()), T.StructField("country", T.StringType()),
     T.StructField("accounts_overdue", T.BooleanType()),
 ])
+# company numbers are text: prefixes (SC, NI) and leading zeros belong to them
+KYC_DB = T.StructType([T.StructField(f.name, T.StringType() if f.name == "company_number" else f.dataType)
+                       for f in KYC_SCHEMA])
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -59,7 +62,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.appName("riskloom").getOrCreate()
     if args.cmd == "portfolio":
         out = portfolio_reports_job(spark, _table(spark, args.companies, COMPANIES_DB),
-                                    _table(spark, args.kyc, KYC_SCHEMA), args.out)
+                                    _table(spark, args.kyc, KYC_DB), args.out)
         print(json.dumps(out))
         return out
     profiles = spark.read.schema(S.PROFILE_JSON).json(args.profiles)

@@ -44,7 +44,12 @@ def dedupe_companies(companies: DataFrame) -> DataFrame:
 
 
 def portfolio_rows(companies: DataFrame, kyc: DataFrame) -> DataFrame:
-    """Every company with its latest KYC review (NULLs when it has none) — J1 + W1."""
+    """Every company with its latest KYC review (NULLs when it has none) — J1 + W1.
+
+    The flag column may carry its stored name, ``panama_papers_hit``.
+    """
+    if "leak_hit" not in kyc.columns:
+        kyc = kyc.withColumnRenamed("panama_papers_hit", "leak_hit")
     k = latest_kyc(kyc).select("company_number", "risk_tier", "risk_score", "leak_hit",
                                F.col("status").alias("kyc_status"))
     c = dedupe_companies(companies).select("company_number", "company_name", "company_status")

@@ -47,7 +47,7 @@ class TxnFilter:
     sender_wildcards: bool = False            # True: % and _ act as LIKE wildcards
     types: tuple[str, ...] | None = None
     risk: str | None = None                   # 'low' | 'medium' | 'high'
-    limit_per_company: int | None = 5000      # newest first
+    limit_per_company: int | None = None      # newest first; None: every matching row
     extra: tuple = field(default_factory=tuple)
 
 
@@ -80,7 +80,7 @@ def txn_predicates(f: TxnFilter) -> list[Column]:
 
 
 def filter_transactions(txn: DataFrame, f: TxnFilter) -> DataFrame:
-    """F1-F6 + O1: matching rows, newest first, at most ``limit_per_company`` per company."""
+    """Every matching row; O1: with ``limit_per_company`` only the newest of each company."""
     preds = txn_predicates(f)
     out = txn.filter(reduce(lambda a, b: a & b, preds)) if preds else txn
     out = out.select(*TXN_COLUMNS)
@@ -128,13 +128,17 @@ def high_risk_summary(risk: DataFrame, txn: DataFrame,
     Same result as ``risk r LEFT JOIN txn t ON (company, date) WHERE r.score >
     threshold`` then ``COUNT(*)`` and ``COALESCE(SUM(amount), 0)``: a risk row
     with k matching transactions counts k times, with none it counts once.
+    A company without a day above the threshold has 0 and 0.0.
     """
     per_day = (txn.groupBy("company_id", "transaction_date")
                .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("transaction_amount").cast(MONEY)).alias("amt")))
-    hot = risk.filter(F.col("risk_score") > threshold).select("company_id", "transaction_date")
-    j = hot.join(per_day, ["company_id", "transaction_date"], "left")
+    # days below the threshold meet no transactions; they keep their company in the result
+    hot = F.col("risk_score") > threshold
+    days = risk.select("company_id", F.when(hot, F.col("transaction_date")).alias("transaction_date"),
+                       F.coalesce(hot, F.lit(False)).alias("hot"))
+    j = days.join(per_day, ["company_id", "transaction_date"], "left")
     return j.groupBy("company_id").agg(
-        F.sum(F.coalesce(F.col("n"), F.lit(1))).cast("bigint").alias("high_risk_dates"),
+        F.sum(F.when(F.col("hot"), F.coalesce(F.col("n"), F.lit(1))).otherwise(0)).cast("bigint").alias("high_risk_dates"),
         F.coalesce(F.sum("amt"), F.lit(0).cast(MONEY)).cast("double").alias("total_high_risk_value"))
 
 

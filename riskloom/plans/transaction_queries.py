@@ -22,9 +22,7 @@ _FILTER_SQL = """
     SELECT * FROM dd_txn
     WHERE transaction_date >= DATE '1996-01-01' AND transaction_date <= DATE '1999-12-31'
       AND contains(lower(sender_account), 'supplier#00000001')
-      AND transaction_type IN ('A', 'R') AND financial_risk > 0.7
-    QUALIFY row_number() OVER (PARTITION BY company_id
-              ORDER BY transaction_date DESC, transaction_id DESC, transaction_amount DESC) <= 5000"""
+      AND transaction_type IN ('A', 'R') AND financial_risk > 0.7"""
 
 _TXN_OUT_SQL = """strftime(transaction_date, '%Y-%m-%d') AS transaction_date, transaction_type,
     company_id, sender_account, recipient_account, transaction_amount, transaction_id,
@@ -50,6 +48,24 @@ def txn_filter_summary(spark, d):
     return X.filter_summary(_filtered(spark, d))
 
 
+@query("txn_newest", f"""
+    SELECT {_TXN_OUT_SQL} FROM dd_txn
+    QUALIFY row_number() OVER (PARTITION BY company_id
+              ORDER BY transaction_date DESC, transaction_id DESC, transaction_amount DESC) <= 20""", ("dd_txn",))
+def txn_newest(spark, d):
+    """The newest rows of each company, as an analyst's first page."""
+    newest = X.filter_transactions(T.transactions(spark, d), X.TxnFilter(limit_per_company=20))
+    return X.render_dates(newest)
+
+
+@query("txn_one_company", f"SELECT {_TXN_OUT_SQL} FROM dd_txn WHERE company_id = (SELECT min(company_id) FROM dd_txn)",
+       ("dd_txn",))
+def txn_one_company(spark, d):
+    txn = T.transactions(spark, d)
+    first = txn.agg(F.min("company_id")).first()[0]
+    return X.render_dates(X.filter_transactions(txn, X.TxnFilter(company_ids=(first,))))
+
+
 @query("txn_types", """
     SELECT DISTINCT company_id, transaction_type FROM dd_txn
     WHERE transaction_type IS NOT NULL""", ("dd_txn",))
@@ -66,13 +82,18 @@ def risk_band_counts(spark, d):
 
 
 @query("high_risk_summary", """
-    SELECT r.company_id, CAST(count(*) AS BIGINT) AS high_risk_dates,
-           CAST(coalesce(sum(CAST(t.transaction_amount AS DECIMAL(18,2))), 0) AS DOUBLE)
-             AS total_high_risk_value
-    FROM dd_risk r LEFT JOIN dd_txn t
-      ON r.company_id = t.company_id AND r.transaction_date = t.transaction_date
-    WHERE r.risk_score > 0.7
-    GROUP BY r.company_id""", ("dd_risk", "dd_txn"))
+    WITH day AS (
+      SELECT company_id, transaction_date, count(*) AS n, sum(CAST(transaction_amount AS DECIMAL(18,2))) AS amt
+      FROM dd_txn GROUP BY ALL
+    ),
+    hot AS (
+      SELECT s.company_id, CASE WHEN day.n IS NULL THEN 1 ELSE day.n END AS n, day.amt
+      FROM (SELECT * FROM dd_risk WHERE risk_score > 0.7) s LEFT JOIN day USING (company_id, transaction_date)
+    ),
+    summed AS (SELECT company_id, sum(n) AS n, sum(amt) AS amt FROM hot GROUP BY company_id)
+    SELECT c.company_id, CAST(coalesce(n, 0) AS BIGINT) AS high_risk_dates,
+           CAST(coalesce(amt, 0) AS DOUBLE) AS total_high_risk_value
+    FROM (SELECT DISTINCT company_id FROM dd_risk) c LEFT JOIN summed USING (company_id)""", ("dd_risk", "dd_txn"))
 def high_risk_summary(spark, d):
     return X.high_risk_summary(T.risk_scores(spark, d), T.transactions(spark, d))
 

@@ -50,7 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
-    # Unset: a local test session. A cluster always names a shared folder.
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir="/tmp")
     sc.setCheckpointDir(scratch)
     return scratch

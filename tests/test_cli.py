@@ -46,15 +46,15 @@ def test_portfolio_from_csv(spark):
     d = tempfile.mkdtemp(prefix="riskloom-cli-", dir="/tmp")
     with open(os.path.join(d, "companies.csv"), "w") as f:
         f.write("company_number,company_name,company_status,country,accounts_overdue\n"
-                "1,Acme,active,Iran,true\n2,Beta,dissolved,France,false\n3,Gamma,active,,\n")
+                "00012345,Acme,active,Iran,true\nSC123456,Beta,dissolved,France,false\nNI000777,Gamma,active,,\n")
     with open(os.path.join(d, "kyc.csv"), "w") as f:
         f.write("id,company_number,risk_tier,risk_score,leak_hit,status\n"
-                "10,1,LOW,10,false,old\n11,1,HIGH,70,true,new\n12,2,MEDIUM,40,,ok\n")
+                "10,00012345,LOW,10,false,old\n11,00012345,HIGH,70,true,new\n12,SC123456,MEDIUM,40,,ok\n")
     out = main(["portfolio", "--companies", f"{d}/companies.csv", "--kyc", f"{d}/kyc.csv",
                 "--out", f"{d}/out"], spark)
     rows = {r["company_number"]: r for r in spark.read.parquet(out["portfolio"]).collect()}
-    assert (rows[1]["risk_tier"], rows[1]["risk_score"], rows[1]["leak_hit"]) == ("HIGH", 70, "YES")
-    assert (rows[3]["risk_score"], rows[3]["leak_hit"]) == (0, "No")
+    assert (rows["00012345"]["risk_tier"], rows["00012345"]["risk_score"], rows["00012345"]["leak_hit"]) == ("HIGH", 70, "YES")
+    assert (rows["NI000777"]["risk_score"], rows["NI000777"]["leak_hit"]) == (0, "No")
     comp = spark.read.parquet(out["compliance"]).first()
     assert (comp["overdue"], comp["on_track"]) == (1, 1)
     tiers = {r["risk_tier"]: r["companies"] for r in spark.read.parquet(out["tiers"]).collect()}
