@@ -33,8 +33,7 @@ COMPANIES_DB = T.StructType([
     T.StructField("accounts_overdue", T.BooleanType()),
 ])
 # company numbers are text: prefixes (SC, NI) and leading zeros belong to them
-KYC_DB = T.StructType([T.StructField(f.name, T.StringType() if f.name == "company_number" else f.dataType)
-                       for f in KYC_SCHEMA])
+KYC_DB = KYC_SCHEMA
 
 
 def _parser() -> argparse.ArgumentParser:

@@ -1,12 +1,11 @@
 """Isolation forest (M1; Liu, Ting & Zhou 2008) with Spark doing the partitioning.
 
-* Subsamples: for a small input each (row, tree) pair gets a hash
-  ``xxhash64(id, tree, seed)`` and a tree's sample is its ``max_samples``
-  smallest hashes; for a large input (``n >= 4 * trees * max_samples``) each
-  row is dealt to one tree by one hash and ranked by a second, so nothing is
-  exploded. Either way hashes far above what any tree needs are dropped
-  map-side, then a per-tree ``row_number() <= max_samples`` (WindowGroupLimit)
-  picks the sample. The result does not depend on partitioning.
+* Subsamples: each (row, tree) pair gets a hash ``xxhash64(id, tree, seed)``
+  and a tree's sample is its ``max_samples`` smallest hashes, at every input
+  size. Hashes far above what any tree needs are dropped inside the row, before
+  anything is exploded, so about ``8 * trees * max_samples`` rows move; a
+  per-tree ``row_number() <= max_samples`` (WindowGroupLimit) picks the sample.
+  The result does not depend on partitioning.
 * Fitting: ``groupBy(tree).applyInPandas`` grows each tree on its <= 256 rows.
 * Scoring: the forest (<= trees x 511 nodes, a fixed bound) is collected and
   broadcast; ``mapInPandas`` walks every row through every tree in NumPy.
@@ -28,6 +27,7 @@ from riskloom.session import cut_lineage, ship_package
 
 EULER = 0.5772156649015329
 MAX_NODES_PER_TREE = 511
+OVERDRAW = 8.0   # candidates per tree, as a multiple of its sample
 
 
 def c_factor(n):
@@ -80,25 +80,16 @@ def fit_forest(df: DataFrame, cols=FEATURES, n_trees: int = 100, max_samples: in
         return empty
     m = min(max_samples, n)
     max_depth = max(1, math.ceil(math.log2(max(m, 2))))
-    if n >= 4 * n_trees * m:
-        # large input: every row joins at most one tree (by one hash) and the
-        # map side keeps only the lowest share of a second hash, ~8x what a tree needs
-        keep = min(1.0, 8.0 * m * n_trees / n)
-        tree = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_trees)).cast("int")
-        h2 = F.xxhash64(F.col(id_col), F.lit(seed + 1))
-        pairs = df.select(F.col(id_col), *[F.col(c).cast("double").alias(c) for c in cols],
-                          tree.alias("tree"), h2.alias("h"))
-    else:
-        # small input: each tree draws from all rows; keep a (row, tree) pair when its hash
-        # is in the lowest share that still leaves every tree ~8x the rows it needs
-        keep = min(1.0, 8.0 * m / max(n, 1))
-        h = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                        lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(id_col), t, F.lit(seed)).alias("h")))
-        pairs = (df.select(F.col(id_col), *[F.col(c).cast("double").alias(c) for c in cols],
-                           F.explode(h).alias("th"))
-                 .select(id_col, *cols, "th.tree", "th.h"))
-    if keep < 1.0:
-        pairs = pairs.filter(F.col("h") < F.lit(int(-(2 ** 63) + keep * (2 ** 64))))
+    # every tree draws from all rows, at every size: a row is a candidate of a tree when its
+    # hash for that tree is in the lowest share, which leaves a tree OVERDRAW times the rows it needs
+    # on average (fewer than it needs is then practically impossible), and the tree takes the lowest
+    share = min(1.0, OVERDRAW * m / n)
+    bound = F.lit(2 ** 63 - 1 if share == 1.0 else int(-(2 ** 63) + share * (2 ** 64)))
+    h = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                    lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(id_col), t, F.lit(seed)).alias("h")))
+    pairs = (df.select(F.col(id_col), *[F.col(c).cast("double").alias(c) for c in cols],
+                       F.explode(F.filter(h, lambda x: x["h"] <= bound)).alias("th"))
+             .select(id_col, *cols, "th.tree", "th.h"))
     w = Window.partitionBy("tree").orderBy("h", id_col)
     sample = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= m).drop("rn")
 
@@ -119,12 +110,15 @@ def fit_forest(df: DataFrame, cols=FEATURES, n_trees: int = 100, max_samples: in
     return rows
 
 
-def _path_lengths(X: np.ndarray, forest: pd.DataFrame) -> np.ndarray:
+def _tree_arrays(forest: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """Per tree its columns as arrays in node order."""
+    names = ("feature", "threshold", "left", "right", "size")
+    return [tuple(t.sort_values("node")[c].to_numpy() for c in names) for _, t in forest.groupby("tree")]
+
+
+def _path_lengths(X: np.ndarray, trees: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     total = np.zeros(len(X))
-    for _, t in forest.groupby("tree"):
-        t = t.sort_values("node")
-        feat = t["feature"].to_numpy(); thr = t["threshold"].to_numpy()
-        left = t["left"].to_numpy(); right = t["right"].to_numpy(); size = t["size"].to_numpy()
+    for feat, thr, left, right, size in trees:
         node = np.zeros(len(X), dtype=int)
         depth = np.zeros(len(X))
         active = feat[node] >= 0
@@ -136,7 +130,7 @@ def _path_lengths(X: np.ndarray, forest: pd.DataFrame) -> np.ndarray:
             depth[idx] += 1
             active = feat[node] >= 0
         total += depth + c_factor(size[node])
-    return total / forest["tree"].nunique()
+    return total / len(trees)
 
 
 def score_forest(df: DataFrame, forest: pd.DataFrame, cols=FEATURES, id_col: str = "id") -> DataFrame:
@@ -147,14 +141,14 @@ def score_forest(df: DataFrame, forest: pd.DataFrame, cols=FEATURES, id_col: str
     cn = float(c_factor([forest.attrs.get("max_samples", 256)])[0])
 
     def score(it):
-        f = bc.value
+        trees = _tree_arrays(bc.value)   # once per task
         for pdf in it:
             X = pdf[list(cols)].to_numpy(dtype=float)
-            eh = _path_lengths(X, f)
+            eh = _path_lengths(X, trees)
             yield pd.DataFrame({id_col: pdf[id_col], "iforest_score": np.power(2.0, -eh / cn)})
 
     return df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]) \
-        .mapInPandas(score, schema=f"{id_col} long, iforest_score double")
+        .mapInPandas(score, schema=f"{id_col} {df.schema[id_col].dataType.simpleString()}, iforest_score double")
 
 
 def isolation_flags(df: DataFrame, cols=FEATURES, contamination: float = 0.05, n_trees: int = 100,
@@ -162,7 +156,7 @@ def isolation_flags(df: DataFrame, cols=FEATURES, contamination: float = 0.05, n
     """(id, iforest_score, iforest_flag): flag 1 for the top ``contamination`` share of scores."""
     forest = fit_forest(df, cols, n_trees, max_samples, seed, id_col)
     if forest.empty:   # no rows: nothing to fit, an empty result with the full schema
-        return df.select(F.col(id_col).cast("long").alias(id_col),
+        return df.select(F.col(id_col),
                          F.lit(None).cast("double").alias("iforest_score"),
                          F.lit(0).alias("iforest_flag"))
     scored = score_forest(df, forest, cols, id_col)

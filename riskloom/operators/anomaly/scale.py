@@ -40,9 +40,11 @@ def exact_quantiles(df: DataFrame, cols, q: float, accuracy: int = 100_000) -> d
     ``percentile`` keeps every value of a group in one aggregation buffer. Here
     one aggregation counts each column and brackets the target rank with
     ``percentile_approx`` (rank error at most ``n / accuracy``), a second counts
-    the rows below and up to each bracket, and only the rows inside the
-    brackets (about ``4 n / accuracy`` per column) are ranked exactly, all
-    columns in one window job. A bracket that misses its rank is widened.
+    the rows below and up to each bracket, and the distinct values inside the
+    brackets are counted and ranked by their running counts, all columns in
+    one job. Ties are one row each, however many there are, so at most about
+    ``4 n / accuracy`` untied values of a column plus the tied ones' single
+    rows are ranked. A bracket that misses its rank is widened.
     """
     cols = list(cols)
     vals = {c: F.col(c).cast("double") for c in cols}
@@ -89,19 +91,23 @@ def exact_quantiles(df: DataFrame, cols, q: float, accuracy: int = 100_000) -> d
     out: dict[str, float | None] = {c: None for c in cols}
     if not bounds:
         return out
-    # the slices are small by construction: rank them exactly in one window job
     slices = None
     for c, (lo, hi, below) in bounds.items():
         sl = df.select(F.lit(c).alias("col"), vals[c].alias("v"), F.lit(below).alias("below")) \
             .filter(ok[c] & (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
         slices = sl if slices is None else slices.unionByName(sl)
-    w = Window.partitionBy("col").orderBy("v")
-    ranked = slices.withColumn("r", F.row_number().over(w) - 1 + F.col("below"))
+    counts = slices.groupBy("col", "below", "v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("upto", F.sum("n").over(w) + F.col("below"))
     picks = F.lit(False)
     for c in bounds:
         k0, k1, _ = want[c]
-        picks = picks | ((F.col("col") == c) & F.col("r").isin(k0, k1))
-    got: dict[tuple[str, int], float] = {(r["col"], r["r"]): r["v"] for r in ranked.filter(picks).collect()}
+        # a value holds the ranks from upto - n to upto - 1
+        for k in (k0, k1):
+            picks = picks | ((F.col("col") == c) & (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k))
+    rows = ranked.filter(picks).collect()   # at most two values per column
+    got = {(c, k): r["v"] for c in bounds for k in want[c][:2] for r in rows
+           if r["col"] == c and r["upto"] - r["n"] <= k < r["upto"]}
     for c in bounds:
         k0, k1, frac = want[c]
         v0, v1 = got[(c, k0)], got[(c, k1)]

@@ -1,17 +1,16 @@
 """Joins whose small side is broadcast only after its size has been measured.
 
-``join_bounded(big, small, ...)`` materialises ``small`` once (persisted,
-so its lineage stays and a lost executor recomputes it), measures its size
-in that same pass, and broadcasts it when it is under the limit, so the big
-side (for example every post's full text) is streamed without a shuffle.
-Beyond the limit the cached copy is released, ``small`` is written to the
-shared checkpoint folder instead, and the join is an ordinary shuffle join.
+``join_bounded(big, small, ...)`` writes ``small`` once to the shared
+checkpoint folder, measures it there, and broadcasts it when it is under the
+limit, so the big side (for example every post's full text) is streamed
+without a shuffle. Beyond the limit the join is an ordinary shuffle join.
+Nothing stays in the cache: the written rows go when the frame is no longer
+referenced (``spark.cleaner.referenceTracking.cleanCheckpoints``).
 The limit is ``riskloom.broadcast.maxBytes`` from the session (default 256 MB).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +46,5 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner",
                  limit_bytes: int | None = None) -> DataFrame:
     """``big.join(small, on, how)``, broadcasting ``small`` only when measured under the limit."""
     limit = broadcast_limit(big) if limit_bytes is None else limit_bytes
-    cached = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if measured_bytes(cached) <= limit:      # this pass also fills the cache
-        return big.join(F.broadcast(cached), on, how)
-    stored = cut_lineage(cached)             # written from the cache, not recomputed
-    cached.unpersist()
-    return big.join(stored, on, how)
+    stored = cut_lineage(small)
+    return big.join(F.broadcast(stored) if measured_bytes(stored) <= limit else stored, on, how)

@@ -6,33 +6,39 @@ with the name taken literally — computed as a *vocabulary join*:
 
 1. Texts become (post, token) rows: distinct whitespace-split tokens of the
    lower-cased text (``\\s+``, the same split used for names).
-2. Each name contributes one *key run* (a maximal non-whitespace run of the
-   lower-cased name) with a mode fixed by what surrounds it in the name:
-   whitespace on both sides → it equals a whole text token (``eq``);
-   only before → it is a prefix of a text token (``prefix``); only after →
-   a suffix (``suffix``); neither (the name has no whitespace) → a substring
-   of one token (``sub``). Long interior runs are preferred, then long
-   boundary runs; runs shorter than four characters (``of``, ``the``) are a
-   last resort, so a common word never becomes the key of a long name.
-3. ``eq`` keys equi-join the (post, token) rows. The other modes match the
-   *distinct vocabulary* through bounded-length prefix / gram keys (a
-   necessary condition), then the exact ``startswith``/``endswith``/
-   ``contains`` test, and the matching tokens equi-join back to the posts.
-4. Every candidate pair is verified with ``contains`` on the whole text, so the
-   result is exact; the key choice only affects how many candidates there are.
-
-Names that are empty after lower-casing are dropped (``LIKE '%%'`` would match
-every post); names made only of whitespace go through a broadcast nested loop
-over their *distinct* values, which is size-checked.
+2. Every maximal non-whitespace *run* of a lower-cased name has a mode fixed
+   by what surrounds it in the name: whitespace on both sides → it equals a
+   whole text token (``eq``); only before → it is a prefix of a text token
+   (``prefix``); only after → a suffix (``suffix``); neither (the name has no
+   whitespace) → a substring of one token (``sub``).
+3. The distinct runs are matched against the *distinct vocabulary* of the posts
+   with its document counts: ``eq`` by equality, the others through
+   bounded-length prefix / gram keys (a necessary condition) and then the exact
+   ``startswith``/``endswith``/``contains`` test. A run's cost is the number of
+   posts its matching tokens occur in, and each name's *rarest* run becomes its
+   key, so ``Acme Limited`` is looked up by ``acme``. A name with a run that
+   matches no token occurs in no post and leaves here.
+4. Only the tokens of chosen keys go back to the posts, and every candidate pair
+   is verified with ``contains`` on the whole text: the result is exact, and the
+   key choice only affects how many candidates there are.
+
+Names made only of whitespace are one ``sub`` run looked up in the posts'
+whitespace runs. Names that are empty after lower-casing mention nothing
+(``LIKE '%%'`` would match every post); ``sentiment_summary`` lists them with
+no mentions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions.text import python_title
 from riskloom.operators.joins import join_bounded
+from riskloom.session import cut_lineage
 
 # The five fraud keywords of the keyword panel, its labels, and
 # the post badge classes (a score of at least 0.5 is good).
@@ -46,8 +52,6 @@ BADGE_GOOD, BADGE_BAD = "success", "danger"
 WS = r"\s+"
 PREFIX_KEY_LEN = 8      # prefix/suffix keys use at most this many leading chars
 GRAM_LEN = 3            # substring keys use a gram of at most this many chars
-MAX_BLANK_NAMES = 1000  # distinct whitespace-only names taken by the nested loop
-SHORT_KEY = 4           # key runs shorter than this are common words: used only as a last resort
 
 
 def company_name_lookup(companies: DataFrame, id_col: str = "company_id",
@@ -67,10 +71,17 @@ def post_tokens(posts: DataFrame, text_col: str = "post_content", id_col: str =
             .filter(F.col("tok") != ""))
 
 
-def name_keys(names: DataFrame, name_col: str = "company_name", id_col: str = "company_id") -> DataFrame:
-    """One key run per name: (company_id, name_l, key, mode)."""
+def post_spaces(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id") -> DataFrame:
+    """(post_id, tok): distinct maximal whitespace runs per post."""
+    runs = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"({WS})"), 1)
+    return posts.select(F.col(id_col).alias("post_id"), F.explode(F.array_distinct(runs)).alias("tok"))
+
+
+def name_runs(names: DataFrame, name_col: str = "company_name", id_col: str = "company_id") -> DataFrame:
+    """All runs of each name: (company_id, name_l, i, key, mode, blank); NULL and empty names have none."""
     name_l = F.lower(F.col(name_col))
     core = F.regexp_replace(name_l, r"^\s+|\s+$", "")
+    blank = core == ""
     lead = name_l.rlike(r"^\s")
     trail = name_l.rlike(r"\s$")
     toks = F.split(core, WS)
@@ -81,108 +92,96 @@ def name_keys(names: DataFrame, name_col: str = "company_name", id_col: str = "c
         after = (i < k - 1) | trail
         mode = (F.when(before & after, "eq").when(before, "prefix")
                 .when(after, "suffix").otherwise("sub"))
-        # selective keys first: long whole-token keys, then long boundary keys; runs
-        # shorter than SHORT_KEY (stop words such as 'of') only when nothing else exists
-        short = F.length(t) < SHORT_KEY
-        prio = (F.when(~short & (mode == "eq"), 0).when(~short & mode.isin("prefix", "suffix"), 1)
-                .when(mode == "eq", 2).when(mode.isin("prefix", "suffix"), 3).otherwise(4))
-        return F.struct(prio.alias("prio"), (-F.length(t)).alias("neg_len"), i.alias("i"),
-                        t.alias("key"), mode.alias("mode"))
+        return F.struct(i.alias("i"), t.alias("key"), mode.alias("mode"))
 
-    best = F.array_min(F.transform(toks, describe))
-    return (names.select(F.col(id_col).alias("company_id"), name_l.alias("name_l"),
-                         core.alias("core"), best.alias("b"))
-            .filter(F.col("name_l").isNotNull() & (F.col("name_l") != "") & (F.col("core") != ""))
-            .select("company_id", "name_l", F.col("b.key").alias("key"), F.col("b.mode").alias("mode")))
+    whole = F.array(F.struct(F.lit(0).alias("i"), name_l.alias("key"), F.lit("sub").alias("mode")))
+    return (names.filter(name_l != "")
+            .select(F.col(id_col).alias("company_id"), name_l.alias("name_l"), blank.alias("blank"),
+                    F.explode(F.when(blank, whole).otherwise(F.transform(toks, describe))).alias("r"))
+            .select("company_id", "name_l", "r.i", "r.key", "r.mode", "blank"))
 
 
 def _vocab_prefixes(vocab: DataFrame, reverse: bool) -> DataFrame:
-    """(tok, p): every prefix of length 1..PREFIX_KEY_LEN of each (reversed) vocabulary token."""
+    """(tok, df, p): every prefix of length 1..PREFIX_KEY_LEN of each (reversed) vocabulary token."""
     t = F.reverse(F.col("tok")) if reverse else F.col("tok")
     n = F.least(F.length(t), F.lit(PREFIX_KEY_LEN))
-    return vocab.select("tok", F.explode(F.transform(F.sequence(F.lit(1), n),
-                                                     lambda l: F.substring(t, 1, l))).alias("p"))
+    return vocab.select("tok", "df", F.explode(F.transform(F.sequence(F.lit(1), n),
+                                                           lambda l: F.substring(t, 1, l))).alias("p"))
 
 
 def _vocab_grams(vocab: DataFrame) -> DataFrame:
-    """(tok, g): every substring of length 1..GRAM_LEN of each vocabulary token."""
+    """(tok, df, g): every substring of length 1..GRAM_LEN of each vocabulary token."""
     t = F.col("tok")
     starts = F.sequence(F.lit(1), F.length(t))
     grams = F.flatten(F.transform(starts, lambda s: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(GRAM_LEN), F.length(t) - s + 1)),
         lambda l: F.substring(t, s, l))))
-    return vocab.select("tok", F.explode(F.array_distinct(grams)).alias("g"))
+    return vocab.select("tok", "df", F.explode(F.array_distinct(grams)).alias("g"))
 
 
-def candidate_pairs(tokens: DataFrame, keys: DataFrame, modes: set[str]) -> DataFrame:
-    """(company_id, post_id) candidates from the key runs (a superset of the answer)."""
+def key_tokens(vocab: DataFrame, keys: DataFrame, modes: set[str]) -> DataFrame:
+    """(key, mode, tok, df): the vocabulary tokens that each distinct key matches, exactly."""
     parts = []
     if "eq" in modes:
-        eq = keys.filter(F.col("mode") == "eq").select("company_id", F.col("key").alias("tok"))
-        parts.append(tokens.join(eq, "tok").select("company_id", "post_id"))
-    other = modes - {"eq"}
-    if other:
-        vocab = tokens.select("tok").distinct()
-        matched = []
-        for mode, rev in (("prefix", False), ("suffix", True)):
-            if mode not in other:
-                continue
-            ks = keys.filter(F.col("mode") == mode)
-            kk = F.reverse(F.col("key")) if rev else F.col("key")
-            ks = ks.select("company_id", "key",
-                           F.substring(kk, 1, PREFIX_KEY_LEN).alias("p"))
-            m = _vocab_prefixes(vocab, rev).join(ks, "p")
-            test = F.col("tok").endswith(F.col("key")) if rev else F.col("tok").startswith(F.col("key"))
-            matched.append(m.filter(test).select("company_id", "tok"))
-        if "sub" in other:
-            ks = keys.filter(F.col("mode") == "sub").select(
-                "company_id", "key", F.substring("key", 1, GRAM_LEN).alias("g"))
-            m = _vocab_grams(vocab).join(ks, "g").filter(F.col("tok").contains(F.col("key")))
-            matched.append(m.select("company_id", "tok"))
-        hit_toks = matched[0]
-        for x in matched[1:]:
-            hit_toks = hit_toks.unionByName(x)
-        parts.append(tokens.join(hit_toks.distinct(), "tok").select("company_id", "post_id"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+        parts.append(keys.filter(F.col("mode") == "eq").withColumn("tok", F.col("key")).join(vocab, "tok"))
+    for mode, rev in (("prefix", False), ("suffix", True)):
+        if mode not in modes:
+            continue
+        kk = F.reverse(F.col("key")) if rev else F.col("key")
+        ks = keys.filter(F.col("mode") == mode).withColumn("p", F.substring(kk, 1, PREFIX_KEY_LEN))
+        test = F.col("tok").endswith(F.col("key")) if rev else F.col("tok").startswith(F.col("key"))
+        parts.append(_vocab_prefixes(vocab, rev).join(ks, "p").filter(test))
+    if "sub" in modes:
+        ks = keys.filter(F.col("mode") == "sub").withColumn("g", F.substring("key", 1, GRAM_LEN))
+        parts.append(_vocab_grams(vocab).join(ks, "g").filter(F.col("tok").contains(F.col("key"))))
+    return reduce(DataFrame.unionByName, [p.select("key", "mode", "tok", "df") for p in parts])
+
+
+def rarest_keys(runs: DataFrame, matches: DataFrame) -> DataFrame:
+    """(company_id, name_l, key, mode): per name the run whose tokens occur in the fewest posts.
+
+    Names with a run that no token matches are left out: no post contains them.
+    """
+    cost = matches.groupBy("key", "mode").agg(F.sum("df").alias("cost"))
+    # a run that most names share (limited) is a hot key: the costs, one row per distinct run, are broadcast
+    best = (join_bounded(runs, cost, ["key", "mode"], "left").groupBy("company_id", "name_l")
+            .agg(F.min(F.struct("cost", "i", "key", "mode")).alias("b")))
+    # a run without a match has a NULL cost, which is the least
+    return best.filter(F.col("b.cost").isNotNull()).select("company_id", "name_l", "b.key", "b.mode")
+
+
+def candidate_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_content",
+                    name_col: str = "company_name") -> DataFrame | None:
+    """(company_id, name_l, post_id): a superset of the answer; None when no name has a run."""
+    runs = name_runs(names, name_col)
+    # one small job: which modes occur (at most 4), and whether any name is only whitespace
+    stats = runs.agg(F.collect_set("mode").alias("modes"), F.max("blank").alias("blank")).first()
+    if not stats["modes"]:
+        return None
+    tokens = post_tokens(posts, text_col)
+    if stats["blank"]:
+        tokens = tokens.unionByName(post_spaces(posts, text_col))
+    vocab = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    # read twice, for the costs and for the chosen keys: stored once, small next to the posts
+    matches = cut_lineage(key_tokens(vocab, runs.select("key", "mode").distinct(), set(stats["modes"])))
+    chosen = rarest_keys(runs, matches)
+    wanted = (matches.join(chosen, ["key", "mode"]).select("tok", "company_id", "name_l"))
+    return join_bounded(tokens, wanted, "tok").select("company_id", "name_l", "post_id").distinct()
 
 
 def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_content",
                   name_col: str = "company_name") -> DataFrame:
     """Exact (company_id, post_id) pairs where the post contains the company name."""
-    keys = name_keys(names, name_col)
-    blank = (names.select(F.col("company_id"), F.lower(F.col(name_col)).alias("name_l"))
-             .filter((F.col("name_l") != "") & (F.regexp_replace("name_l", r"\s", "") == "")))
-    distinct_blank = blank.select("name_l").distinct()
-    # one small job: which key modes occur (at most 4) and how many distinct blank names
-    stats = (keys.select("mode", F.lit(None).cast("string").alias("b"))
-             .unionByName(blank.select(F.lit(None).cast("string").alias("mode"), F.col("name_l").alias("b")))
-             .agg(F.collect_set("mode").alias("modes"), F.countDistinct("b").alias("n_blank")).first())
-    modes, n_blank = set(stats["modes"]), stats["n_blank"]
-    tokens = post_tokens(posts, text_col)
-    found = None
-    if modes:
-        cand = (candidate_pairs(tokens, keys, modes)
-                .join(keys.select("company_id", "name_l").distinct(), "company_id"))
-        # verify against the whole text; the candidates are broadcast when measured small,
-        # so the texts are streamed instead of shuffled, and only candidate posts are lower-cased
-        texts = posts.select(F.col("post_id"), F.col(text_col).alias("_text"))
-        found = (join_bounded(texts, cand, "post_id")
-                 .filter(F.lower(F.col("_text")).contains(F.col("name_l")))
-                 .select("company_id", "post_id"))
-    if n_blank:
-        if n_blank > MAX_BLANK_NAMES:
-            raise ValueError(f"{n_blank} distinct whitespace-only names")
-        texts = posts.select("post_id", F.lower(F.col(text_col)).alias("text_l"))
-        hits = (texts.join(F.broadcast(distinct_blank), F.col("text_l").contains(F.col("name_l")))
-                .select("post_id", "name_l"))
-        extra = hits.join(blank, "name_l").select("company_id", "post_id")
-        found = extra if found is None else found.unionByName(extra)
-    if found is None:
-        return posts.sparkSession.createDataFrame([], "company_id bigint, post_id bigint")
-    return found.distinct()
+    cand = candidate_pairs(posts, names, text_col, name_col)
+    if cand is None:
+        return posts.sparkSession.createDataFrame(
+            [], T.StructType([names.schema["company_id"], posts.schema["post_id"]]))
+    # verify against the whole text; the candidates are broadcast when measured small,
+    # so the texts are streamed instead of shuffled, and only candidate posts are lower-cased
+    texts = posts.select(F.col("post_id"), F.col(text_col).alias("_text"))
+    return (join_bounded(texts, cand, "post_id")
+            .filter(F.lower(F.col("_text")).contains(F.col("name_l")))
+            .select("company_id", "post_id").distinct())
 
 
 def mention_posts(pairs: DataFrame, posts: DataFrame) -> DataFrame:
@@ -209,15 +208,21 @@ def mentions_with_sentiment(posts: DataFrame, names: DataFrame, text_col: str =
             .withColumn("sentiment_score", score_column(F.col(text_col))).drop("_s"))
 
 
-def sentiment_summary(mentioned: DataFrame, score_col: str = "sentiment_score") -> DataFrame:
-    """G2 + P17: average sentiment and post count per company; band and delta to neutral."""
+def sentiment_summary(mentioned: DataFrame, names: DataFrame, score_col: str = "sentiment_score") -> DataFrame:
+    """G2 + P17: average sentiment and post count per company; band and delta to neutral.
+
+    Every company of ``names`` has a row; one without mentions has count 0 and
+    NULL average, band, delta and alert.
+    """
     from riskloom.functions.bands import sentiment_band
     agg = mentioned.groupBy("company_id").agg(
         F.avg(F.col(score_col).cast("double")).alias("avg_sentiment"),
         F.count(F.lit(1)).cast("bigint").alias("post_count"))
+    agg = names.select("company_id").distinct().join(agg, "company_id", "left")
     avg = F.round(F.col("avg_sentiment"), 6)
-    return agg.select("company_id", avg.alias("avg_sentiment"), "post_count",
-                      sentiment_band(avg).alias("sentiment_band"),
+    return agg.select("company_id", avg.alias("avg_sentiment"),
+                      F.coalesce("post_count", F.lit(0).cast("bigint")).alias("post_count"),
+                      F.when(avg.isNotNull(), sentiment_band(avg)).alias("sentiment_band"),
                       F.round(avg - F.lit(0.5), 6).alias("delta_to_neutral"),
                       (avg < 0.4).alias("below_alert"))
 

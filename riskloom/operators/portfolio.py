@@ -31,8 +31,14 @@ def latest_per_key(df: DataFrame, key: str | list[str], order: list[Column]) ->
 
 
 def latest_kyc(kyc: DataFrame) -> DataFrame:
-    """Newest KYC review per company (largest id; a NULL id sorts first, as DESC does in SQL)."""
-    return latest_per_key(kyc, "company_number", [F.col("id").desc_nulls_first()])
+    """Newest KYC review per company (largest id; a NULL id sorts first, as DESC does in SQL).
+
+    Equal ids are settled by the other columns, the largest values first, so
+    the stream and the batch agree on the same row.
+    """
+    rest = [F.col(c).desc_nulls_last() for c in ("risk_tier", "risk_score", "leak_hit", "status")
+            if c in kyc.columns]
+    return latest_per_key(kyc, "company_number", [F.col("id").desc_nulls_first(), *rest])
 
 
 def dedupe_companies(companies: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ negation within the three preceding tokens scales a valence, the valence sum
 rounded to 4 places, as FLOAT. NULL or blank text scores 0.5.
 
 Plan: tokens are exploded with their positions; only tokens found in the
-lexicon (a small table with a checked size, broadcast) and the few
+lexicon (broadcast when measured under the limit) and the few
 negation/booster tokens survive the joins, and the "three preceding tokens"
 rule is an equi-join on (post, position) — no window over whole posts, so a
 very long post is never sorted as one group. Valences are DECIMAL so sums do
@@ -49,25 +49,17 @@ NEGATION_SCALAR = -0.74
 ALPHA = 15
 WINDOW = 3
 BOOST_DECAY = (1.0, 0.95, 0.9)   # booster one, two, three tokens before
-MAX_LEXICON = 100_000
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}'_-]+"
 
 
 def lexicon_df(spark: SparkSession, lexicon: dict[str, float] | DataFrame | None = None) -> DataFrame:
     """The lexicon as a (tok, valence DECIMAL) table: the built-in one, a dict, or a
-    DataFrame with ``tok``/``valence`` columns (lower-cased tokens). It is broadcast,
-    so its size is checked first."""
-    if isinstance(lexicon, DataFrame):
-        lex = lexicon.select(F.lower(F.col("tok")).alias("tok"), F.col("valence"))
-        if lex.count() > MAX_LEXICON:
-            raise ValueError("lexicon too large to broadcast")
-        return lex.select("tok", F.col("valence").cast("decimal(12,6)").alias("valence"))
-    lex = LEXICON if lexicon is None else lexicon
-    if len(lex) > MAX_LEXICON:
-        raise ValueError("lexicon too large to broadcast")
-    return spark.createDataFrame([(k, float(v)) for k, v in lex.items()], "tok string, valence double") \
-        .select("tok", F.col("valence").cast("decimal(12,6)").alias("valence"))
+    DataFrame with ``tok``/``valence`` columns (lower-cased here). Any size works."""
+    if not isinstance(lexicon, DataFrame):
+        lex = LEXICON if lexicon is None else lexicon
+        lexicon = spark.createDataFrame([(k, float(v)) for k, v in lex.items()], "tok string, valence double")
+    return lexicon.select(F.lower(F.col("tok")).alias("tok"), F.col("valence").cast("decimal(12,6)").alias("valence"))
 
 
 def _modifiers(spark: SparkSession) -> DataFrame:
@@ -83,11 +75,14 @@ def tokens_with_pos(posts: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def post_valence_sums(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id",
-                      lexicon: dict[str, float] | None = None) -> DataFrame:
+                      lexicon: dict[str, float] | DataFrame | None = None) -> DataFrame:
     """(post_id, s): the valence sum of every post with at least one lexicon word."""
     spark = posts.sparkSession
     toks = tokens_with_pos(posts, text_col, id_col)
-    hits = toks.join(F.broadcast(lexicon_df(spark, lexicon)), "tok").select("post_id", "pos", "valence")
+    lex = lexicon_df(spark, lexicon)
+    # a lexicon table is measured before it is broadcast; the built-in one has a fixed size
+    hits = join_bounded(toks, lex, "tok") if lexicon is not None else toks.join(F.broadcast(lex), "tok")
+    hits = hits.select("post_id", "pos", "valence")
     mods = toks.join(F.broadcast(_modifiers(spark)), "tok")
     # each modifier reaches the next WINDOW positions: (post, target pos, distance)
     scope = mods.select("post_id", "kind", "boost", F.col("pos").alias("src"),
@@ -116,7 +111,7 @@ def score_column(text: Column) -> Column:
 
 
 def with_sentiment(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id",
-                   lexicon: dict[str, float] | None = None) -> DataFrame:
+                   lexicon: dict[str, float] | DataFrame | None = None) -> DataFrame:
     """Posts with ``sentiment_score``. The per-post sums are broadcast when measured small,
     so the posts (with their texts) are not shuffled."""
     sums = post_valence_sums(posts, text_col, id_col, lexicon).withColumnRenamed("post_id", id_col)
@@ -125,7 +120,7 @@ def with_sentiment(posts: DataFrame, text_col: str = "post_content", id_col: str
 
 
 def sentiment_scores(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id",
-                     lexicon: dict[str, float] | None = None) -> DataFrame:
+                     lexicon: dict[str, float] | DataFrame | None = None) -> DataFrame:
     """(post_id, sentiment_score FLOAT) for every post.
 
     The sums are joined to a slim (id, blank-flag) projection of the posts, so

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from riskloom.operators import mentions as M
 from riskloom.operators import sentiment as SE
 from riskloom.plans.registry import query
@@ -71,16 +73,33 @@ _MENTIONED_SQL = f"""
 
 
 @query("sentiment_summary", f"""
-    SELECT company_id, round(avg(CAST(sentiment_score AS DOUBLE)), 6) AS avg_sentiment,
-           CAST(count(*) AS BIGINT) AS post_count,
-           CASE WHEN round(avg(CAST(sentiment_score AS DOUBLE)), 6) < 0.4 THEN 'negative'
-                WHEN round(avg(CAST(sentiment_score AS DOUBLE)), 6) < 0.6 THEN 'neutral'
-                ELSE 'positive' END AS sentiment_band,
-           round(round(avg(CAST(sentiment_score AS DOUBLE)), 6) - 0.5, 6) AS delta_to_neutral,
-           round(avg(CAST(sentiment_score AS DOUBLE)), 6) < 0.4 AS below_alert
-    FROM ({_MENTIONED_SQL}) GROUP BY company_id""")
+    WITH per AS (SELECT company_id, count(*) AS n, round(avg(CAST(sentiment_score AS DOUBLE)), 6) AS a
+                 FROM ({_MENTIONED_SQL}) GROUP BY company_id)
+    SELECT b.item_id AS company_id, per.a AS avg_sentiment, CAST(coalesce(per.n, 0) AS BIGINT) AS post_count,
+           CASE WHEN per.a < 0.4 THEN 'negative' WHEN per.a < 0.6 THEN 'neutral'
+                WHEN per.a IS NOT NULL THEN 'positive' END AS sentiment_band,
+           round(per.a - 0.5, 6) AS delta_to_neutral, per.a < 0.4 AS below_alert
+    FROM (SELECT DISTINCT item_id FROM benchmark) b LEFT JOIN per ON per.company_id = b.item_id""")
 def sentiment_summary(spark, d):
-    return M.sentiment_summary(_mentioned(spark, d))
+    return M.sentiment_summary(_mentioned(spark, d), _names(spark, d))
+
+
+# Short names taken from the documents themselves: the opening two words of each.
+_SHORT_SQL = r"""
+    WITH names AS (SELECT DISTINCT regexp_extract(lower(text), '^([a-z]+) [a-z]+', 1) || ' '
+                                || regexp_extract(lower(text), '^[a-z]+ ([a-z]+)', 1) AS name
+                   FROM documents WHERE regexp_matches(lower(text), '^[a-z]+ [a-z]+'))
+    SELECT n.name AS company_id, d.doc_id AS post_id
+    FROM names n JOIN documents d ON contains(lower(d.text), n.name)"""
+
+
+@query("mention_join_short", _SHORT_SQL)
+def mention_join_short(spark, d):
+    """Names of two words, the opening words of every document, looked up in all documents."""
+    posts = T.posts(spark, d)
+    phrase = F.regexp_extract(F.lower("post_content"), "^([a-z]+ [a-z]+)", 1)
+    names = posts.select(phrase.alias("company_name")).filter(F.col("company_name") != "").distinct()
+    return M.mention_pairs(posts, names.withColumn("company_id", F.col("company_name")))
 
 
 @query("recent_mentions", f"""

@@ -39,7 +39,7 @@ def _flags_sql() -> str:
                                         lambda x: contains(x, '75-to-100-percent'))) > 0) AS n_high
                FROM dd_psc GROUP BY 1),
     filagg AS (SELECT company_number, count(*) AS n_filings,
-                      max(TRY_CAST(date AS DATE)) AS newest FROM dd_filing GROUP BY 1),
+                      TRY_CAST(arg_min(date, pos) AS DATE) AS newest FROM dd_filing GROUP BY 1),
     base AS (SELECT p.*, coalesce(ps.n_psc, 0) AS n_psc, coalesce(ps.n_high, 0) AS n_high,
                     coalesce(f.n_filings, 0) AS n_filings, f.newest, coalesce(h.n_hits, 0) AS n_hits,
                     lower(coalesce(p.company_status, '')) AS st,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from riskloom.plans.portfolio_queries import _LATEST_SQL
 from riskloom.plans.registry import query
 from riskloom.session import ensure_checkpoint_dir
@@ -21,4 +23,4 @@ def stream_latest_kyc(spark, d):
     ST.land(T.kyc_status(spark, d), f"{base}/landing", files=4)
     latest = ST.run_available(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint",
                               max_files_per_trigger=1)
-    return latest.select("id", "company_number", "risk_tier", "risk_score", "leak_hit", "status")
+    return latest.select("id", F.col("company_number").cast("bigint").alias("company_number"), "risk_tier", "risk_score", "leak_hit", "status")

@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 KYC_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
-    T.StructField("company_number", T.LongType()),
+    T.StructField("company_number", T.StringType()),
     T.StructField("risk_tier", T.StringType()),
     T.StructField("risk_score", T.IntegerType()),
     T.StructField("leak_hit", T.BooleanType()),
@@ -57,7 +57,15 @@ def read_latest(spark: SparkSession, state_dir: str, table: str = "latest") -> D
     return spark.read.parquet(f"{state_dir}/{table}/v={vs[-1]}")
 
 
-def _merge_batch(state_dir: str):
+def _drop_old(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete all but the newest ``keep`` committed versions under ``path``."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for v in _versions(spark, path)[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}"), True)
+
+
+def _merge_batch(state_dir: str, keep_versions: int):
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         changed = batch.select("company_number", *[F.col(f"r.{c}").alias(c) for c in _VALUE_COLS])
@@ -73,20 +81,29 @@ def _merge_batch(state_dir: str):
         (latest.filter(F.col("risk_tier").isNotNull()).groupBy("risk_tier")
          .agg(F.count(F.lit(1)).cast("bigint").alias("companies"))
          .write.mode("overwrite").parquet(f"{state_dir}/tiers/v={batch_id}"))
+        for table in ("latest", "tiers"):
+            _drop_old(spark, f"{state_dir}/{table}", keep_versions)
     return merge
 
 
 def start_kyc_refresh(spark: SparkSession, landing_dir: str, state_dir: str, checkpoint_dir: str,
-                      trigger: dict | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the refresh stream. ``trigger`` defaults to a 60-second processing-time trigger."""
+                      trigger: dict | None = None, max_files_per_trigger: int | None = None,
+                      keep_versions: int = 5) -> StreamingQuery:
+    """Start the refresh stream. ``trigger`` defaults to a 60-second processing-time trigger.
+
+    The newest ``keep_versions`` (at least 2) versions stay, for a retried
+    batch and for readers that still hold an older one.
+    """
     reader = spark.readStream.schema(KYC_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     rows = reader.parquet(landing_dir)
-    newest = rows.groupBy("company_number").agg(F.max(F.struct(*_VALUE_COLS)).alias("r"))
+    # a NULL id ranks first, as in the batch query
+    order = F.struct(F.col("id").isNull().alias("no_id"), *_VALUE_COLS)
+    newest = rows.groupBy("company_number").agg(F.max(order).alias("r"))
     w = (newest.writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint_dir)
-         .foreachBatch(_merge_batch(state_dir)))
+         .foreachBatch(_merge_batch(state_dir, max(2, keep_versions))))
     w = w.trigger(**(trigger or {"processingTime": "60 seconds"}))
     return w.start()
 
@@ -106,7 +123,12 @@ def run_available(spark: SparkSession, landing_dir: str, state_dir: str, checkpo
 
 
 def land(df: DataFrame, landing_dir: str, files: int = 4, seed: int = 7) -> None:
-    """Write rows to the landing folder as several files, each company's rows spread over them."""
+    """Write rows to the landing folder as several files, each company's rows spread over them.
+
+    The flag column may carry its stored name, ``panama_papers_hit``.
+    """
+    if "leak_hit" not in df.columns:
+        df = df.withColumnRenamed("panama_papers_hit", "leak_hit")
     (df.select(*[F.col(f.name).cast(f.dataType) for f in KYC_SCHEMA.fields])
      .repartition(files, F.xxhash64(F.col("id"), F.lit(seed)))
      .write.mode("append").parquet(landing_dir))

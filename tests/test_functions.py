@@ -57,3 +57,13 @@ def test_join_nonempty_and_yes_no(spark):
     rows = df.select(join_nonempty(", ", *[F.col(c) for c in ("p1", "p2", "p3", "p4")]),
                      yes_no(F.col("f"))).collect()
     assert [tuple(r) for r in rows] == [("a, b", "YES"), ("", "No")]
+
+
+def test_very_many_jurisdiction_terms_give_the_same_result(spark):
+    from riskloom.functions.jurisdiction import DEFAULT_LISTS, JurisdictionList, jurisdiction_risk
+    padding = JurisdictionList("Other", "Low", tuple(f"nowhere-{i}" for i in range(2500)) + ("",))
+    df = spark.createDataFrame([("Somalia",), ("Iran",), ("France",), ("NaN",), (None,), ("nowhere-2400",)], "c string")
+    rows = df.select("c", jurisdiction_risk(df.c, (*DEFAULT_LISTS, padding)).alias("r")).collect()
+    got = {r["c"]: r["r"] and tuple(r["r"]) for r in rows}
+    assert got == {"Somalia": ("FATF Grey List", "High"), "Iran": ("FATF Black List", "Critical"),
+                   "France": None, "NaN": None, None: None, "nowhere-2400": ("Other", "Low")}

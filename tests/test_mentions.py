@@ -7,7 +7,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from riskloom.operators.mentions import keyword_flags, mention_pairs, name_keys
+from riskloom.operators.mentions import candidate_pairs, keyword_flags, mention_pairs, name_runs
 
 POSTS = [
     (1, "Acme Holdings Ltd reported record growth."),
@@ -57,14 +57,41 @@ def test_fixture_equals_nested_loop(spark):
     assert run(spark, POSTS, NAMES) == brute(POSTS, NAMES)
 
 
-def test_key_modes(spark):
+def test_run_modes(spark):
     n = spark.createDataFrame(NAMES, "company_id long, company_name string")
-    modes = {r["company_id"]: (r["key"], r["mode"]) for r in name_keys(n).collect()}
-    assert modes[10] == ("holdings", "eq")
-    assert modes[11][1] in ("prefix", "suffix")
-    assert modes[12] == ("beta-corp", "sub")
-    assert 16 not in modes and 17 not in modes and 15 not in modes
-    assert modes[21] == ("bank", "suffix")
+    modes = {}
+    for r in name_runs(n).collect():
+        modes.setdefault(r["company_id"], {})[r["key"]] = r["mode"]
+    assert modes[10]["holdings"] == "eq"
+    assert set(modes[11].values()) == {"prefix", "suffix"}
+    assert modes[12] == {"beta-corp": "sub"}
+    assert modes[21]["bank"] == "suffix"
+
+
+def test_names_sharing_a_last_word_are_looked_up_by_the_rare_one(spark):
+    posts = [(i, f"firm{i} limited and some limited others") for i in range(60)]
+    names = [(i, f"Firm{i} Limited") for i in range(60)] + [(900, "Absent Limited")]
+    p = spark.createDataFrame(posts, "post_id long, post_content string")
+    n = spark.createDataFrame(names, "company_id long, company_name string")
+    true = brute(posts, names)
+    assert {(r["company_id"], r["post_id"]) for r in mention_pairs(p, n).collect()} == true
+    # 'firm1' also ends 'firm1' only; no candidate comes from 'limited'
+    assert candidate_pairs(p, n).count() == len(true) == 60
+
+
+def test_many_whitespace_names_and_only_empty_names(spark):
+    posts = [(1, "a  b"), (2, "a b"), (3, "a\t b"), (4, None), (5, "")]
+    names = [(1, " "), (2, "  "), (3, "\t "), (4, ""), (5, None)] + [(100 + i, " " * (3 + i)) for i in range(1200)]
+    assert run(spark, posts, names) == brute(posts, names)
+    assert run(spark, posts, [(1, ""), (2, None)]) == set()
+
+
+def test_company_without_mentions_has_a_row(spark):
+    from riskloom.operators.mentions import sentiment_summary
+    names = spark.createDataFrame([(1, "x"), (2, "y")], "company_id long, company_name string")
+    m = spark.createDataFrame([(1, 0.75)], "company_id long, sentiment_score float")
+    got = {r["company_id"]: tuple(r)[1:] for r in sentiment_summary(m, names).collect()}
+    assert got == {1: (0.75, 1, "positive", 0.25, False), 2: (None, 0, None, None, None)}
 
 
 WORDS = ["ab", "abc", "bca", "cab", "a", "b", "c", "xa", "by", "z"]
