@@ -32,7 +32,6 @@ KINDS = ("email", "ip", "card", "phone", "reveal", "hint")
 WINDOW = 60           # code points looked at on either side of an entity
 MIN_CONTEXTS = 3
 REMOVE, GENERALISE = 0.8, 0.5
-TERMS_BROADCAST = 1_000_000   # candidate terms (about 30 bytes each) up to which they are broadcast
 SHOWN = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "reveal": "", "hint": "[TERM]"}
 
 
@@ -105,12 +104,10 @@ def disclosure(docs: DataFrame, found: DataFrame, mentions: DataFrame, min_conte
     pairs = stored(mentions.groupBy("entity", "term", "context").agg(F.lit(1).alias("one"))
                    .groupBy("entity", "term").agg(F.count("*").alias("contexts"))
                    .where(F.col("contexts") >= min_contexts), "pairs")
-    terms = pairs.select("term").distinct()
-    if terms.count() <= TERMS_BROADCAST:
-        terms = F.broadcast(terms)
+    # documents of every term of the corpus, added up in each task before rows move or meet a candidate
     every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    with_term = every.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    with_term = every.groupBy("term").agg(F.count("*").alias("n_t"))
     copies = mentions.groupBy("key", "entity", "term").agg(F.first("copies").alias("copies"))
     with_both = copies.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"))
     with_entity = (mentions.groupBy("key", "entity").agg(F.first("copies").alias("copies"))
