@@ -31,8 +31,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                     WHEN '4-NOT SPECIFIED' THEN NULL ELSE FALSE END AS leak_hit,
                CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'in-review'
                     ELSE 'pending' END AS status
-        FROM orders
-        WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')""", ()),
+        FROM orders""", ()),
     "dd_txn": ("""
         SELECT o_custkey AS company_id,
                CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS transaction_id,
@@ -69,7 +68,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date,
                o_orderpriority AS type, 'order ' || CAST(o_orderkey AS VARCHAR) AS description,
                lower(substring(o_orderpriority, 3, 100)) AS category
-        FROM orders WHERE o_orderstatus = 'F'""", ()),
+        FROM orders""", ()),
     "dd_leaked": ("""
         SELECT '  ' || upper(s_name) || ' ' AS name FROM supplier WHERE s_acctbal < 0""", ()),
     "dd_profile": (f"""
@@ -100,8 +99,8 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
             FROM orders GROUP BY o_custkey) a ON c.c_custkey = a.o_custkey""", ()),
 }
 
-for _line in (1, 2):
-    VIEWS[f"dd_party{_line}"] = (f"""
+for _kind, _lines in (("1", "l_quantity < 25"), ("2", "l_quantity >= 25")):
+    VIEWS[f"dd_party{_kind}"] = (f"""
         SELECT o_custkey AS company_number, s_suppkey, s_name AS name, s_acctbal,
                sn.n_name AS nationality, cn.n_name AS country_of_residence,
                min(o_orderkey) AS pos, min(CAST(o_orderdate AS DATE)) AS first_date,
@@ -112,7 +111,7 @@ for _line in (1, 2):
              JOIN customer ON o_custkey = c_custkey
              JOIN nation sn ON s_nationkey = sn.n_nationkey
              JOIN nation cn ON c_nationkey = cn.n_nationkey
-        WHERE l_linenumber = {_line}
+        WHERE {_lines}
         GROUP BY o_custkey, s_suppkey, s_name, s_acctbal, sn.n_name, cn.n_name""", ())
 
 

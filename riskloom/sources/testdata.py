@@ -3,8 +3,8 @@
 The library's operators work on the domain schema (companies, KYC history,
 transactions, officers, PSCs, filings, leaked names, posts, features). For the
 driver data we derive each domain table from the given tables with Spark, so
-every query's work grows with the data. Subsets come from attribute values
-(market segment, order status, line number, balances), never from id ranges.
+every query's work grows with the data. All rows are used: order lines are
+officers or PSCs by their quantity; only the leak list is a subset by nature.
 
 ``riskloom.plans.oracle_views`` holds the same definitions in DuckDB SQL.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the driver data: the newest order date is the review date.
 AS_OF = dt.date(2001, 8, 1)
+LARGE_LINE = 25
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -53,12 +54,10 @@ def companies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kyc_status(spark: SparkSession, d: str) -> DataFrame:
-    """KYC review history: one row per order of a non-retail customer."""
+    """KYC review history: one row per order."""
     o = read(spark, d, "orders")
-    reviewed = read(spark, d, "customer").filter(F.col("c_mktsegment") != "HOUSEHOLD")
     score = F.floor(o.o_totalprice / 5000).cast("int")
-    return (o.join(reviewed, o.o_custkey == reviewed.c_custkey, "left_semi")
-            .select(o.o_orderkey.alias("id"),
+    return o.select(o.o_orderkey.alias("id"),
                     o.o_custkey.alias("company_number"),
                     F.when(score >= 85, "CRITICAL").when(score >= 60, "HIGH")
                      .when(score >= 35, "MEDIUM").otherwise("LOW").alias("risk_tier"),
@@ -68,7 +67,7 @@ def kyc_status(spark: SparkSession, d: str) -> DataFrame:
                      .otherwise(F.lit(False)).alias("leak_hit"),
                     F.when(o.o_orderstatus == "F", "approved")
                      .when(o.o_orderstatus == "O", "in-review")
-                     .otherwise("pending").alias("status")))
+                     .otherwise("pending").alias("status"))
 
 
 def transactions(spark: SparkSession, d: str) -> DataFrame:
@@ -95,13 +94,16 @@ def risk_scores(spark: SparkSession, d: str) -> DataFrame:
                     (o.o_totalprice / 500000).alias("risk_score"))
 
 
-def _parties(spark: SparkSession, d: str, line: int) -> DataFrame:
-    """Suppliers on a given order line, per customer: the company's parties.
+def _parties(spark: SparkSession, d: str, large: bool) -> DataFrame:
+    """Suppliers of a customer's large or other order lines: the company's parties.
 
+    A line of LARGE_LINE pieces or more makes its supplier a person with
+    significant control, any other an officer, so that every line is used.
     Lines and orders are aggregated per (customer, supplier) first; the
     dimension attributes are joined to that narrower result.
     """
-    li = read(spark, d, "lineitem").filter(F.col("l_linenumber") == line)
+    li = read(spark, d, "lineitem")
+    li = li.filter(li.l_quantity >= LARGE_LINE if large else li.l_quantity < LARGE_LINE)
     o = read(spark, d, "orders")
     agg = (li.join(o, li.l_orderkey == o.o_orderkey)
            .groupBy(o.o_custkey.alias("company_number"), li.l_suppkey.alias("s_suppkey"))
@@ -122,7 +124,7 @@ def _parties(spark: SparkSession, d: str, line: int) -> DataFrame:
 
 
 def officers(spark: SparkSession, d: str) -> DataFrame:
-    p = _parties(spark, d, 1)
+    p = _parties(spark, d, large=False)
     return p.select(
         "company_number", "pos",
         F.col("s_name").alias("name"),
@@ -134,7 +136,7 @@ def officers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pscs(spark: SparkSession, d: str) -> DataFrame:
-    p = _parties(spark, d, 2)
+    p = _parties(spark, d, large=True)
     natures = (F.when(p.s_acctbal > 9000, F.array(F.lit("ownership-of-shares-75-to-100-percent")))
                .when(p.s_acctbal < 1000, F.array(F.lit("ownership-of-shares-25-to-50-percent"),
                                                  F.lit("significant-influence-or-control")))
@@ -149,8 +151,8 @@ def pscs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
-    """Filing history: fulfilled orders, newest first by position."""
-    o = read(spark, d, "orders").filter(F.col("o_orderstatus") == "F")
+    """Filing history: orders, newest first by position."""
+    o = read(spark, d, "orders")
     return o.select(o.o_custkey.alias("company_number"),
                     o.o_orderkey.alias("pos"),
                     F.to_date(o.o_orderdate).cast("string").alias("date"),
