@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.screening import flag_hits, screened_parties
+from riskloom.operators.screening import flag_hits
 
 # Node styling (class precedence leak > company > officer > psc).
 NODE_SIZE = {"company": 24, "leak": 20, "other": 16}
@@ -23,11 +23,12 @@ NODE_SYMBOL = {"company": "square", "leak": "star", "other": "circle"}
 
 def _party_nodes(officers: DataFrame, pscs: DataFrame, leaked: DataFrame) -> DataFrame:
     """Officer and PSC rows with their attributes and a global add order (officers first)."""
-    o = officers.select("company_number", "pos", F.coalesce("name", F.lit("Unknown")).alias("name"),
+    named = F.col("name").isNotNull().alias("named")
+    o = officers.select("company_number", "pos", named, F.coalesce("name", F.lit("Unknown")).alias("name"),
                         F.lit(1).alias("ord"), F.lit("officer").alias("node_type"),
                         F.coalesce("officer_role", F.lit("")).alias("role"),
                         F.lit(None).cast("string").alias("noc"))
-    p = pscs.select("company_number", "pos", F.coalesce("name", F.lit("Unknown PSC")).alias("name"),
+    p = pscs.select("company_number", "pos", named, F.coalesce("name", F.lit("Unknown PSC")).alias("name"),
                     F.lit(2).alias("ord"), F.lit("psc").alias("node_type"),
                     F.lit(None).cast("string").alias("role"),
                     F.array_join(F.coalesce("natures_of_control", F.array().cast("array<string>")), ", ")
@@ -51,8 +52,7 @@ def ownership_nodes(profiles: DataFrame, officers: DataFrame, pscs: DataFrame,
                     leaked: DataFrame) -> DataFrame:
     """N1 + N3-N6: merged nodes with type, role, control, leak flag and styling."""
     parties = _party_nodes(officers, pscs, leaked)
-    hits = (flag_hits(screened_parties(officers, pscs), leaked).filter("leak_hit")
-            .select("company_number", "name_key").distinct())
+    hits = parties.filter("leak_hit and named").select("company_number", "name_key").distinct()
     # The company node's leak flag tests its own name against its parties' hits
     own = hits.select("company_number", F.col("name_key").alias("own_key"), F.lit(True).alias("own_hit"))
     comp = (profiles.select("company_number", F.col("company_name").alias("name"))
