@@ -1,14 +1,16 @@
-"""PII: pattern spans, and information-theoretic sanitisation of the terms around them.
+"""PII: pattern spans, and information-theoretic sanitisation of the terms that go with them.
 
 Personal data found by pattern (email, ip, card, phone) are the protected
-entities. A term that stands near an entity in at least MIN_CONTEXTS different
-contexts may give the entity away even where the entity itself is removed.
-How strongly is estimated from the whole corpus: the pointwise mutual
-information of term and entity, log2(n_te * N / (n_t * n_e)) over documents,
-as a share of the entity's information content log2(N / n_e). 1 means that the
-term stands nowhere but with the entity. From REMOVE on a term's mentions near
-that entity are removed (kind ``reveal``), from GENERALISE on generalised (kind
-``hint``). Copies of one context count once as evidence.
+entities. A term that stands in the same document as an entity, at any distance,
+in at least MIN_CONTEXTS different texts may give the entity away even where the
+entity itself is removed. How strongly is estimated from the whole corpus: the
+pointwise mutual information of term and entity, log2(n_te * N / (n_t * n_e))
+over documents, as a share of the entity's information content log2(N / n_e).
+1 means that the term stands nowhere but with the entity. From REMOVE on all
+mentions of the term in documents with that entity are removed (kind
+``reveal``), from GENERALISE on generalised (kind ``hint``). Terms are those of
+the whole text outside its pattern spans. Copies of one text count once as
+evidence.
 
 DataFrame functions only.
 """
@@ -29,8 +31,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]{3,}+"
 KINDS = ("email", "ip", "card", "phone", "reveal", "hint")
-WINDOW = 60           # code points looked at on either side of an entity
-MIN_CONTEXTS = 3
+MIN_CONTEXTS = 3      # different texts
 REMOVE, GENERALISE = 0.8, 0.5
 SHOWN = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "reveal": "", "hint": "[TERM]"}
 
@@ -63,71 +64,98 @@ def base_spans(text: Column) -> Column:
         (("email", email), ("ip", ip), ("card", card), ("phone", phone)))]))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with every code point of the non-overlapping ``spans`` made a space."""
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
+        return F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(gap, F.repeat(F.lit(" "), x["e"] - x["s"])))
+                        .alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(
+        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, near): key names the text if it has spans; near holds their surroundings."""
+    """(doc_id, key, base, rest, terms): key names the text if it has spans, rest is then the text
+    with them blanked; terms are the distinct terms of the whole text outside its spans."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    text = F.col("text")
-    near = F.transform("base", lambda x: F.struct(
-        F.concat_ws(":", x["kind"], F.lower(x["m"])).alias("entity"),
-        F.greatest(x["s"] - WINDOW, F.lit(0)).alias("from"), x["e"].alias("to"),
-        F.substring(text, F.greatest(x["s"] - WINDOW, F.lit(0)) + 1, F.least(x["s"], F.lit(WINDOW))).alias("left"),
-        F.substring(text, x["e"] + 1, F.lit(WINDOW)).alias("right")))
-    return stored(rows.select("doc_id", F.when(F.size("base") > 0, F.md5("text")).alias("key"), "base",
-                              near.alias("near"), F.length("text").alias("chars")), "pii")
-
-
-def _mentions(found: DataFrame) -> DataFrame:
-    """(key, copies, entity, context, term, s, e) of every term near an entity, once for equal texts."""
-    texts = (found.where("key is not null").groupBy("key")
-             .agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("near").alias("near"),
-                  F.first("chars").alias("chars")))
-    one = texts.select("key", "copies", "base", "chars", F.explode("near").alias("n")).select(
-        "key", "copies", "base", "chars", "n.*")
-    word = F.lit(True)
-    # a term cut by the window's outer edge is no term
-    left = F.filter(matches(F.col("left"), TERM, word), lambda x: (x["s"] > 0) | (F.col("from") == 0))
-    right = F.filter(matches(F.col("right"), TERM, word), lambda x: (
-        (x["e"] < F.length("right")) | (F.col("to") + F.length("right") >= F.col("chars"))))
-    shift = lambda c, by: F.transform(c, lambda x: F.struct(
-        (x["s"] + F.col(by)).alias("s"), (x["e"] + F.col(by)).alias("e"), F.lower(x["m"]).alias("term")))
-    context = F.md5(F.concat_ws("\n", F.lower("left"), F.lower("right")))
-    return (one.withColumn("context", context)
-            .withColumn("t", F.explode(F.concat(shift(left, "from"), shift(right, "to"))))
-            .where(~F.exists("base", lambda x: (x["s"] < F.col("t.e")) & (F.col("t.s") < x["e"])))
-            .select("key", "copies", "entity", "context", "t.term", "t.s", "t.e"))
-
-
-def disclosure(docs: DataFrame, found: DataFrame, mentions: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(entity, term, share): how much of the entity's information the term gives away, over the whole corpus."""
-    pairs = stored(mentions.groupBy("entity", "term", "context").agg(F.lit(1).alias("one"))
-                   .groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-                   .where(F.col("contexts") >= min_contexts), "pairs")
+    has = F.size("base") > 0
+    rows = rows.withColumn("rest", F.when(has, _blanked(F.col("text"), joined(F.col("base")))).otherwise(F.col("text")))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), F.lower))
+    return stored(rows.select("doc_id", F.when(has, F.md5("text")).alias("key"), "base",
+                              F.when(has, F.col("rest")).alias("rest"), terms.alias("terms")), "pii")
+
+
+def _texts(found: DataFrame) -> DataFrame:
+    """(key, copies, entities, terms, rest) of every text with spans, once for equal texts."""
+    entities = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["kind"], F.lower(x["m"]))))
+    return stored(found.where("key is not null").groupBy("key")
+                  .agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("terms").alias("terms"),
+                       F.first("rest").alias("rest"))
+                  .select("key", "copies", entities.alias("entities"), "terms", "rest"), "texts")
+
+
+def _pairs(found: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(key, copies, entity, term, n_t, n_e) of the entities and terms of every text.
+
+    Left out are only terms so frequent that their share stays under GENERALISE
+    even if all documents of the entity hold them, and entities of all documents.
+    """
+    most = F.col("n_e") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    with_entity = stored(texts.select("copies", F.explode("entities").alias("entity"))
+                         .groupBy("entity").agg(F.sum("copies").alias("n_e"))
+                         .where(F.col("n_e") < n).withColumn("most", most), "entities")
+    top = with_entity.agg(F.max("most")).first()[0] or 0.0
     # documents of every term of the corpus, added up in each task before rows move or meet a candidate
-    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    with_term = every.groupBy("term").agg(F.count("*").alias("n_t"))
-    copies = mentions.groupBy("key", "entity", "term").agg(F.first("copies").alias("copies"))
-    with_both = copies.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"))
-    with_entity = (mentions.groupBy("key", "entity").agg(F.first("copies").alias("copies"))
-                   .groupBy("entity").agg(F.sum("copies").alias("n_e")))
-    n = found.count()
-    return (pairs.join(with_both, ["entity", "term"]).join(with_entity, "entity").join(with_term, "term")
-            .withColumn("share", F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-                        / F.log2(F.lit(float(n)) / F.col("n_e")))
-            .select("entity", "term", "share"))
-
-
-def _term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, more): the added spans of each text that has any."""
-    mentions = stored(_mentions(found), "mentions")
-    strong = disclosure(docs, found, mentions).where(F.col("share") >= GENERALISE)
+    with_term = (found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+                 .where(F.col("n_t") <= top))
+    holds = texts.select("key", "copies", F.explode("entities").alias("entity")).join(with_entity, "entity")
+    terms = texts.select("key", F.explode("terms").alias("term")).join(with_term, "term")
+    return stored(holds.join(terms, "key").where("n_t <= most")
+                  .select("key", "copies", "entity", "term", "n_t", "n_e"), "pairs")
+
+
+def disclosure(pairs: DataFrame, n: int, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    """(entity, term, share): how much of the entity's information the term gives away, over the whole corpus."""
+    share = 1 + F.log2(F.col("n_te") / F.col("n_t")) / F.log2(F.lit(float(n)) / F.col("n_e"))
+    return (pairs.groupBy("entity", "term")
+            .agg(F.sum("copies").alias("n_te"), F.count("*").alias("contexts"), F.first("n_t").alias("n_t"),
+                 F.first("n_e").alias("n_e"))
+            .where(F.col("contexts") >= min_contexts).select("entity", "term", share.alias("share")))
+
+
+def _places(text: Column, kinds: Column) -> Column:
+    """Sorted array of struct(s, k, e, kind, m) of every mention of a term that ``kinds`` maps to its k."""
+    pieces = F.arrays_zip(F.split(text, TERM, -1).alias("gap"),
+                          F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("hit"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,kind:string,m:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.length(x["gap"])
+        e = s + F.length(x["hit"])
+        k = F.try_element_at(kinds, F.lower(x["hit"]))
+        one = F.struct(s.alias("s"), k.alias("k"), e.alias("e"),
+                       F.element_at(F.array(*map(F.lit, KINDS)), k + 1).alias("kind"), F.lit("").alias("m"))
+        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.when(k.isNull(), acc["out"]).otherwise(
+            F.concat(acc["out"], F.array(one))).alias("out")))
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+
+def _term_spans(found: DataFrame) -> DataFrame:
+    """(key, more): the added spans of each text that has any, wherever in the text they stand."""
+    n, texts = found.count(), _texts(found)
+    pairs = _pairs(found, texts, n)
+    strong = disclosure(pairs, n).where(F.col("share") >= GENERALISE)
     kind = F.when(F.col("share") >= REMOVE, F.lit(4)).otherwise(F.lit(5))
-    return stored(mentions.join(strong, ["entity", "term"]).groupBy("key", "s", "e").agg(F.min(kind).alias("k"))
-                  .groupBy("key").agg(F.array_sort(F.collect_list(F.struct(
-                      "s", "k", "e", F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1).alias("kind"),
-                      F.lit("").alias("m")))).alias("more")), "terms")
+    kinds = (pairs.select("key", "entity", "term").join(strong, ["entity", "term"])
+             .groupBy("key", "term").agg(F.min(kind).alias("k"))
+             .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("kinds")))
+    return stored(texts.select("key", "rest").join(kinds, "key")
+                  .select("key", _places(F.col("rest"), F.col("kinds")).alias("more")), "terms")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -141,7 +169,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     table gives no rows. Other columns are not read.
     """
     found = _found(docs)
-    more = _term_spans(docs, found)
+    more = _term_spans(found)
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(found.schema["base"].dataType))))
     rows = found.select("doc_id", "key", "base").join(more, "key", "left").withColumn("spans_all", spans)
     return rows.select(
@@ -159,7 +187,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     found = _found(docs)
-    more = _term_spans(docs, found)
+    more = _term_spans(found)
     rows = docs.withColumn("__base", base_spans(F.coalesce(F.col("text").cast("string"), F.lit("")))) \
         .withColumn("__key", F.when(F.size("__base") > 0, F.md5("text")))
     rows = rows.join(more.withColumnRenamed("key", "__key").withColumnRenamed("more", "__more"), "__key", "left")

@@ -317,6 +317,19 @@ def test_revealing_terms(spark):
     assert "Zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == docs[5][1]
 
 
+def test_revealing_terms_far_from_the_entity(spark):
+    far = " ".join(f"common{k}" for k in range(40))
+    docs = [(k, f"Zorblax begins {far} alone{k} {far} mail boss@corp.example {far} Zorblax ends") for k in range(5)]
+    docs += [(10 + k, f"begins {far} mail {far} ends") for k in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in rows(pii.find_personal_data(df))}
+    for i, text in docs[:5]:
+        assert {f"reveal:{m.start()}:{m.end()}" for m in re.finditer("Zorblax", text)} <= set(got[i])
+    assert got[10] == [""]
+    clean = {r["doc_id"]: r["text"] for r in rows(pii.sanitised(df))}
+    assert all("Zorblax" not in clean[k] and "begins" in clean[k] for k in range(5)) and clean[10] == docs[5][1]
+
+
 def test_ownership_tells_examples_from_credentials(spark):
     live, copied = "aB3dE5fG7hJ9kL1mN2pQ4rS6", "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2"
     docs = [(1, f"key {live} end", "o1"), (2, f"again {live}", "o1")] + [(10 + k, f"see {copied}", f"o{k}") for k in range(4)]
