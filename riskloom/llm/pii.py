@@ -2,15 +2,15 @@
 
 Personal data found by pattern (email, ip, card, phone) are the protected
 entities. A term that stands in the same document as an entity, at any distance,
-in at least MIN_CONTEXTS different texts may give the entity away even where the
-entity itself is removed. How strongly is estimated from the whole corpus: the
-pointwise mutual information of term and entity, log2(n_te * N / (n_t * n_e))
-over documents, as a share of the entity's information content log2(N / n_e).
-1 means that the term stands nowhere but with the entity. From REMOVE on all
-mentions of the term in documents with that entity are removed (kind
-``reveal``), from GENERALISE on generalised (kind ``hint``). Terms are those of
-the whole text outside its pattern spans. Copies of one text count once as
-evidence.
+may give the entity away even where the entity itself is removed. How strongly
+is estimated from the whole corpus: the pointwise mutual information of term and
+entity, log2(n_te * N / (n_t * n_e)) over documents, as a share of the entity's
+information content log2(N / n_e). 1 means that the term stands nowhere but with
+the entity. n_te / n_t is lowered by ERRORS standard errors, so that few texts
+lower the share but none is left out; copies of one text count once as evidence.
+From REMOVE on all mentions of the term in documents with that entity are
+removed (kind ``reveal``), from GENERALISE on generalised (kind ``hint``). Terms
+are those of the whole text outside its pattern spans.
 
 DataFrame functions only.
 """
@@ -31,7 +31,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]{3,}+"
 KINDS = ("email", "ip", "card", "phone", "reveal", "hint")
-MIN_CONTEXTS = 3      # different texts
+ERRORS = 1.0          # standard errors by which few texts lower an estimate
 REMOVE, GENERALISE = 0.8, 0.5
 SHOWN = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "reveal": "", "hint": "[TERM]"}
 
@@ -118,13 +118,20 @@ def _pairs(found: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                   .select("key", "copies", "entity", "term", "n_t", "n_e"), "pairs")
 
 
-def disclosure(pairs: DataFrame, n: int, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(entity, term, share): how much of the entity's information the term gives away, over the whole corpus."""
-    share = 1 + F.log2(F.col("n_te") / F.col("n_t")) / F.log2(F.lit(float(n)) / F.col("n_e"))
+def disclosure(pairs: DataFrame, n: int, errors: float = ERRORS) -> DataFrame:
+    """(entity, term, share): how much of the entity's information the term gives away, over the whole corpus.
+
+    n_te / n_t is lowered by ``errors`` standard errors (Wilson's lower bound),
+    the texts that hold both being its evidence: few texts lower the share.
+    """
+    p, z = F.col("n_te") / F.col("n_t"), F.lit(float(errors ** 2))
+    trials = F.col("contexts") / p
+    low = (p + z / (2 * trials) - F.sqrt(z * (p * (1 - p) / trials + z / (4 * trials * trials)))) / (1 + z / trials)
+    share = 1 + F.log2(low) / F.log2(F.lit(float(n)) / F.col("n_e"))
     return (pairs.groupBy("entity", "term")
             .agg(F.sum("copies").alias("n_te"), F.count("*").alias("contexts"), F.first("n_t").alias("n_t"),
                  F.first("n_e").alias("n_e"))
-            .where(F.col("contexts") >= min_contexts).select("entity", "term", share.alias("share")))
+            .select("entity", "term", "contexts", share.alias("share")))
 
 
 def _places(text: Column, kinds: Column) -> Column:
@@ -149,7 +156,7 @@ def _term_spans(found: DataFrame) -> DataFrame:
     """(key, more): the added spans of each text that has any, wherever in the text they stand."""
     n, texts = found.count(), _texts(found)
     pairs = _pairs(found, texts, n)
-    strong = disclosure(pairs, n).where(F.col("share") >= GENERALISE)
+    strong = disclosure(pairs, n).where(F.col("share") >= GENERALISE).drop("contexts")
     kind = F.when(F.col("share") >= REMOVE, F.lit(4)).otherwise(F.lit(5))
     kinds = (pairs.select("key", "entity", "term").join(strong, ["entity", "term"])
              .groupBy("key", "term").agg(F.min(kind).alias("k"))

@@ -330,6 +330,19 @@ def test_revealing_terms_far_from_the_entity(spark):
     assert all("Zorblax" not in clean[k] and "begins" in clean[k] for k in range(5)) and clean[10] == docs[5][1]
 
 
+def test_few_texts_lower_a_share_without_zeroing_it(spark):
+    docs = [(1, "Quillon asks boss@corp.example today"), (2, "Vantor and Mirelle ask at +1 234 567 8901 today"),
+            (3, "Vantor again at +1 234 567 8901 today")] + [(10 + k, "they ask and again at home today") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in rows(pii.find_personal_data(df))}
+    assert "reveal:0:7" in got[1] and "reveal:0:6" in got[2] and "reveal:0:6" in got[3] and got[10] == ""
+    found = pii._found(df)
+    pairs = pii._pairs(found, pii._texts(found), len(docs))
+    share = {r["term"]: r["share"] for r in pii.disclosure(pairs, len(docs)).collect()}
+    assert 0.5 < share["mirelle"] < share["vantor"] < 1 and share["quillon"] < 1
+    assert pii.find_personal_data(df.where("doc_id = 1")).first()["n_reveal"] == 0  # the entity of all documents says nothing
+
+
 def test_ownership_tells_examples_from_credentials(spark):
     live, copied = "aB3dE5fG7hJ9kL1mN2pQ4rS6", "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2"
     docs = [(1, f"key {live} end", "o1"), (2, f"again {live}", "o1")] + [(10 + k, f"see {copied}", f"o{k}") for k in range(4)]
