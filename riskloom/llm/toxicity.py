@@ -6,8 +6,9 @@ mark). Counts are in how many documents a word stands, so that a repeated line
 counts once. The longest n-grams are counted by class and discounted; what the
 discount frees goes to the next shorter n-gram, whose Kneser-Ney continuation
 counts (in how many distinct contexts it stands) are shared by both classes.
-N-grams found in fewer than ``min_count`` documents of both classes together are
-left to the shared counts in both models, so they say nothing for either class.
+All n-grams of the training rows are kept. One that was never seen is left to
+the shared counts in both models, times what each class frees in its context, so
+it says how much more one class frees there than the other.
 
 A text's evidence is the difference of its log-likelihoods under the toxic and
 the ordinary model, divided by its number of words. One logistic function, fit
@@ -29,13 +30,14 @@ from riskloom.llm.store import stored
 from riskloom.session import ship_package
 
 ORDER = 5
-MIN_COUNT = 5
+MIN_COUNT = 1
 DISCOUNT = 0.75
 LABELS_BROADCAST = 2_000_000   # rows of labels (16 bytes each); more are joined by a shuffle
 MODEL_SLICE = 500_000          # n-grams of the model that one scoring pass broadcasts
 FIT_ROWS = 20_000              # labelled rows the logistic function is fit on
 WORDS_HELD = 300_000           # words a task keeps before it hands on their counts
 BEGIN, END = "\x02", "\x03"
+OTHER = "\x00"   # stands in the model for every character not seen after a context
 _WORD = re.compile(r"\w+")
 
 
@@ -77,6 +79,10 @@ def train(labelled: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT,
           discount: float = DISCOUNT) -> DataFrame:
     """(gram, llr): log of toxic over ordinary probability of the n-gram's last character.
 
+    A context followed by OTHER has the log of toxic over ordinary backoff weight,
+    for n-grams that are not in the model (unseen, or in fewer than ``min_count``
+    documents of both classes together).
+
     ``labelled`` has text and toxic (0 or 1), one row per document; all rows
     are counted. Null texts count nothing. No rows give an empty model.
     """
@@ -111,8 +117,13 @@ def train(labelled: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT,
             F.greatest(F.col(c) - discount, F.lit(0.0)) + F.lit(discount) * F.col(f"{c}_kinds") * F.col("shared"))
             / F.col(f"{c}_all")).otherwise(F.col("shared"))
 
-    return stored(top.where(F.col("ordinary") + F.col("toxic") >= min_count).join(by_ctx, "ctx").join(chain, "gram")
-                  .select("gram", F.log(prob("toxic") / prob("ordinary")).alias("llr")), "model")
+    def rest(c: str) -> Column:
+        return F.when(F.col(f"{c}_all") > 0, F.lit(discount) * F.col(f"{c}_kinds") / F.col(f"{c}_all")).otherwise(1.0)
+
+    seen = (top.where(F.col("ordinary") + F.col("toxic") >= min_count).join(by_ctx, "ctx").join(chain, "gram")
+            .select("gram", F.log(prob("toxic") / prob("ordinary")).alias("llr")))
+    return stored(seen.unionByName(by_ctx.select(F.concat("ctx", F.lit(OTHER)).alias("gram"),
+                                                 F.log(rest("toxic") / rest("ordinary")).alias("llr"))), "model")
 
 
 def _evidence(sent, order: int, keep: list[str]):
@@ -125,7 +136,7 @@ def _evidence(sent, order: int, keep: list[str]):
                 if len(known) > WORDS_HELD:
                     known.clear()
                 for w in set(ws).difference(known):
-                    known[w] = sum(model.get(g, 0.0) for g in grams(w, order))
+                    known[w] = sum(model[g] if g in model else model.get(g[:-1] + OTHER, 0.0) for g in grams(w, order))
                 total[i] = sum(map(known.__getitem__, ws))
                 count[i] = len(ws)
             yield pdf[keep].assign(total=total, words=count)
@@ -148,7 +159,8 @@ def evidence(docs: DataFrame, model: DataFrame, keep: str, order: int = ORDER) -
         keep, names = keep + ", __row long", [*names, "__row"]
     parts = None
     for k in range(slices):
-        part = model.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k).toPandas()
+        # all n-grams of a context and its backoff weight are in one slice
+        part = model.where(F.pmod(F.xxhash64(F.expr("substring(gram, 1, length(gram) - 1)")), F.lit(slices)) == k).toPandas()
         sent = spark.sparkContext.broadcast(dict(zip(part["gram"], part["llr"])))
         got = docs.mapInPandas(_evidence(sent, order, names), f"{keep}, total double, words long")
         parts = got if parts is None else parts.unionByName(got)

@@ -156,6 +156,21 @@ def test_toxicity_slices_add_up(spark, docs, monkeypatch):
     assert whole == parts
 
 
+def test_rare_and_unseen_expressions_count(spark, monkeypatch):
+    texts = [(k, f"calm lake{k} meadow", 0) for k in range(40)] + [(100, "calm grolk", 1), (101, "calm grolt", 1)]
+    labelled = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.train(labelled.select("text", "toxic"))
+    d = spark.createDataFrame([(1, "grolk"), (2, "grolx"), (3, "meadow"), (4, "zzz")], "doc_id long, text string")
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.evidence(d, model, "doc_id long").collect()}
+    assert got[1] > 1 and got[1] > got[2] > 0 > got[3]
+    llr = {r["gram"]: r["llr"] for r in model.collect()}
+    ctx = toxicity.BEGIN + "gro"
+    assert ctx + "l" in llr and math.isclose(llr[ctx + toxicity.OTHER], math.log(0.75 / 2))
+    monkeypatch.setattr(toxicity, "MODEL_SLICE", max(1, model.count() // 3))
+    parts = {r["doc_id"]: r["evidence"] for r in toxicity.evidence(d, model, "doc_id long").collect()}
+    assert all(math.isclose(got[k], parts[k], abs_tol=1e-9) for k in got)
+
+
 def test_toxicity_and_quality_odd_rows(spark, docs):
     labels = spark.createDataFrame([(6, 1, 1), (8, 0, 0), (9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity_scores(docs, labels).count() == len(TEXTS)
