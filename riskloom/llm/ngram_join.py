@@ -287,11 +287,25 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
 
 def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group of near copies.
+    """One document of each group of near copies in ``docs``: that of the smallest doc_id, null ids last.
 
-    A row with a null doc_id is kept; rows repeating a doc_id that is kept stay.
+    A document is a doc_id and a text, so that rows of other texts under one id
+    are judged each. Rows that repeat the kept doc_id and its text stay; of a
+    group without ids one row stays. Rows without words are in no group and stay.
     Columns of ``docs`` are returned as they are, whatever else they are named.
     """
-    comp = (ngram_components(docs, width, percent).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("__dropped")).distinct())
-    return docs.join(comp, docs["doc_id"] == comp["__dropped"], "left_anti")
+    node = F.xxhash64(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    comp = (ngram_components(docs.select(node.alias("doc_id"), "text"), width, percent).where("n_shingles > 0")
+            .select(F.col("doc_id").alias("__node"), "component_id").distinct())
+    members = stored(docs.where(words).select(F.col("doc_id").alias("__id"), node.alias("__node")).distinct()
+                     .join(comp, "__node"), "members")
+    first = members.groupBy("component_id").agg(
+        F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__node")).alias("first"))
+    dropped = (members.join(first, "component_id")
+               .where(~(F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__node") == F.col("first.__node"))))
+               .select("__id", F.col("__node").alias("__dropped")))
+    rows = docs.withColumn("__node", node).withColumn("__single", F.col("doc_id").isNull() & words)
+    rows = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["__id"]) & (rows["__node"] == dropped["__dropped"]), "left_anti")
+    return (rows.where(~F.col("__single")).unionByName(rows.where("__single").dropDuplicates(["__node"]))
+            .select(*docs.columns))

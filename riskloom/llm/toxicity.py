@@ -204,29 +204,40 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> D
     ignored; rows that repeat a doc_id are scored each; without labels of both
     classes scores follow the evidence alone; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _judged(docs, labels, order).select("doc_id", "held_out", "score", "predicted")
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
+    """``toxicity_scores`` with the digest of the row's text, on which alone the score depends."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       _digest(F.col("text")).alias("digest"))
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
     if labels.count() <= LABELS_BROADCAST:
         known = F.broadcast(known)
     model = train(docs.join(known, "doc_id"), order)
-    rows = stored(evidence(docs, model, "doc_id long", order), "evidence")
+    rows = stored(evidence(docs, model, "doc_id long, digest string", order), "evidence")
     fit = (rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "evidence").limit(FIT_ROWS)
            .select("evidence", "toxic").toPandas())
     slope, shift = fit_logistic(fit["evidence"].to_numpy(float), fit["toxic"].to_numpy(float))
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(shift))))
     return (rows.withColumn("score", score)
-            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+            .select("doc_id", "digest", held_out(F.col("doc_id")).alias("held_out"), "score",
                     (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns.
 
-    Rows that repeat a doc_id go together: all stay if none is toxic. Rows with
-    a null doc_id are judged by the same scores and dropped if any such row is.
+    Every row is judged by its own text, whatever rows share its doc_id or have
+    none either.
     """
-    toxic = (toxicity_scores(docs, labels).where("predicted = 1")
-             .select(F.col("doc_id").alias("__toxic")).distinct())
-    return docs.join(toxic, docs["doc_id"].cast("long").eqNullSafe(toxic["__toxic"]), "left_anti")
+    toxic = (_judged(docs, labels).where("predicted = 1")
+             .select(F.col("doc_id").alias("__toxic"), F.col("digest").alias("__digest")).distinct())
+    return docs.join(toxic, docs["doc_id"].cast("long").eqNullSafe(toxic["__toxic"])
+                     & (_digest(docs["text"]) == toxic["__digest"]), "left_anti")

@@ -374,6 +374,23 @@ def test_replaced_spans_overlap(spark):
     assert out == "0C67I9"
 
 
+def test_filters_judge_rows_not_ids(spark, monkeypatch):
+    long = " ".join(f"word{k}" for k in range(30))
+    other = " ".join(f"thing{k}" for k in range(30))
+    third = " ".join(f"item{k}" for k in range(30))
+    df = spark.createDataFrame([(3, long, 0), (5, long, 1), (5, other, 2), (None, long, 3), (None, third, 4), (None, third, 5),
+                                (None, None, 6), (7, other + " end", 7), (None, "", 8)], "doc_id long, text string, n int")
+    got = {r["n"] for r in ngram_join.keep_one_per_group(df).collect()}
+    assert got in ({0, 2, 4, 6, 8}, {0, 2, 5, 6, 8})
+    bad = spark.createDataFrame([(k, f"calm lake{k} meadow", 0) for k in range(60)] + [(100 + k, f"vile grolk{k} scum", 1) for k in range(30)],
+                                "doc_id long, text string, toxic int")
+    odd = spark.createDataFrame([(None, "vile grolk scum"), (None, "calm lake meadow"), (1000, "vile grolk scum"), (1000, "calm lake meadow")],
+                                "doc_id long, text string")
+    out = toxicity.without_toxic(bad.select("doc_id", "text").unionByName(odd), bad.select("doc_id", "toxic"))
+    left = [tuple(r) for r in out.where("doc_id is null or doc_id = 1000").collect()]
+    assert sorted(left, key=str) == [(1000, "calm lake meadow"), (None, "calm lake meadow")]
+
+
 # --- pipeline --------------------------------------------------------------------
 
 def test_pipeline_stages(spark, docs):
