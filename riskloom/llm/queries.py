@@ -61,7 +61,7 @@ def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(_table(spark, sf_dir, "documents"), owner="source", repo=["lang"])
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"), owner="source")  # no repository column
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (

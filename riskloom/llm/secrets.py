@@ -2,10 +2,12 @@
 
 Pattern spans (assign, access, hex) and, beyond them, long mixed tokens are
 candidates. Each candidate value's hash is counted over the whole corpus by
-distinct repositories and distinct owners. A value that many owners have is a
-copied example; a live-looking value (random, no placeholder) that belongs to
-one owner is taken for a credential. Mixed tokens that are such credentials
-become spans of kind ``blob``; pattern spans stay whatever their ownership.
+distinct repositories and distinct owners. A value that many owners have, or
+that stands in many repositories of few owners, is a copied example; any other
+live-looking value (random, no placeholder) is taken for a credential, also if
+two owners share it, as a missed credential costs more than a marked copy.
+Mixed tokens that are such credentials become spans of kind ``blob``; pattern
+spans stay whatever their ownership.
 
 DataFrame functions only.
 """
@@ -25,7 +27,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 BLOB = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+"
 KINDS = ("assign", "access", "hex", "blob")
 EXAMPLE_OWNERS = 3     # owners from which on a value is a copied example
-LIVE_OWNERS = 1        # owners up to which a live-looking value is a credential
+EXAMPLE_REPOS = 10     # repositories of an owner from which on a value is a copied example
 MIN_ENTROPY = 3.0      # bits a character
 PLACEHOLDER = r"(?i)example|sample|change_?me|your|dummy|placeholder|x{4,}|0{6,}|1234567"
 
@@ -62,16 +64,19 @@ def _blobs(text: Column, base: Column) -> Column:
 def ownership(candidates: DataFrame) -> DataFrame:
     """(hash, owners, repos, verdict) of every value: example, live or other.
 
-    ``candidates`` has hash, value_live (boolean), owner, repo. Counted over
-    distinct (hash, owner, repo) rows, so that a value that stands in a third of
-    all documents is aggregated before it moves. Null owners are one owner.
+    ``candidates`` has hash, live (boolean), owner, repo. Counted over distinct
+    (hash, owner, repo) rows, so that a value that stands in a third of all
+    documents is aggregated before it moves. Null owners are one owner. ``repos``
+    are those of the owner with the most: from EXAMPLE_REPOS on, as from
+    EXAMPLE_OWNERS owners on, the value is an example. With less, one or two
+    owners alike, it is live if it looks so.
     """
     own = candidates.groupBy("hash", "owner", "repo").agg(F.max("live").alias("live"))
     owners = own.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.max("live").alias("live"))
-    return (owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"),
+    return (owners.groupBy("hash").agg(F.count("*").alias("owners"), F.max("repos").alias("repos"),
                                        F.max("live").alias("live"))
-            .withColumn("verdict", F.when(F.col("owners") >= EXAMPLE_OWNERS, "example")
-                        .when((F.col("owners") <= LIVE_OWNERS) & F.col("live"), "live").otherwise("other")))
+            .withColumn("verdict", F.when((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS), "example")
+                        .when(F.col("live"), "live").otherwise("other")))
 
 
 def find_secrets(docs: DataFrame, owner: str = "source", repo: list[str] | None = None) -> DataFrame:
@@ -80,7 +85,8 @@ def find_secrets(docs: DataFrame, owner: str = "source", repo: list[str] | None
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_blob,
     n_live and n_example (candidates of the row by their ownership). ``spans``
     lists kind:start:end (code points, end exclusive) by start, then kind. A
-    repository is the combination of ``repo`` columns within its owner.
+    repository is the combination of ``repo`` columns within its owner; without
+    them each document (doc_id, or the text where that is null) is one.
 
     Defined cases: a null or empty text has no spans (digest of the empty
     string); rows that repeat a doc_id or a text are answered each; null owners
@@ -88,9 +94,10 @@ def find_secrets(docs: DataFrame, owner: str = "source", repo: list[str] | None
     read.
     """
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (repo or [])]
+    document = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(F.col("text").cast("string")), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
-                       F.concat_ws("\n", *parts).alias("repo") if parts else F.lit("").alias("repo"),
+                       (F.concat_ws("\n", *parts) if parts else document).alias("repo"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     rows = rows.withColumn("blobs", _blobs(F.col("text"), F.col("base")))

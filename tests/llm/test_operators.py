@@ -367,6 +367,16 @@ def test_ownership_tells_examples_from_credentials(spark):
     assert all(got[10 + k] == ("", 0, 1) for k in range(4))
 
 
+def test_repositories_and_two_owners_decide(spark):
+    wide, shared = "aB3dE5fG7hJ9kL1mN2pQ4rS6", "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2"
+    docs = [(k, f"see {wide}", "o1", f"l{k % 3}") for k in range(12)] + [(100, f"key {shared}", "o1", "l0"), (101, f"my {shared}", "o2", "l0")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: (r["n_blob"], r["n_live"], r["n_example"]) for r in rows(secrets.find_secrets(df))}
+    assert all(got[k] == (0, 0, 1) for k in range(12)) and got[100] == got[101] == (1, 1, 0)
+    by_lang = {r["doc_id"]: r["n_live"] for r in rows(secrets.find_secrets(df, repo=["lang"]))}
+    assert by_lang[0] == 1  # three repositories of one owner
+
+
 def test_replaced_spans_overlap(spark):
     df = spark.createDataFrame([("0123456789",)], "t string")
     s = "array(named_struct('s',1,'e',4,'kind','card'), named_struct('s',3,'e',6,'kind','phone'), named_struct('s',8,'e',9,'kind','ip'))"
