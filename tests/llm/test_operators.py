@@ -309,6 +309,24 @@ TRICKY = ["a@b.c_x@y.z", "x@y x@y.z@w.v", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003
           "PassWord == 12345678 apikey=\"x.y/z+w=====\"", "AKIA" * 9, "deadbeef" * 5 + "G" + "0123456789abcdef" * 2, "é😀 a@b.co +49 (0)30 1234567"]
 
 
+def test_a_task_folds_its_pairs(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    held = []
+    fold = embed_dedup._merged
+    monkeypatch.setattr(embed_dedup, "_merged", lambda label, x, y: held.append(len(x)) or fold(label, x, y))
+    rng = np.random.default_rng(2)
+    n = 1500
+    vecs = np.ones((n, 8)) + rng.normal(size=(n, 8)) * 1e-3
+    vecs[n // 2:, 0] = -3
+    pdf = pd.DataFrame({"node": rng.permutation(n).astype("int64"), "mult": 1, "home": True, "part": 0, "vec": [v.astype("<f8") for v in vecs]})
+    monkeypatch.setattr(embed_dedup, "matrix", lambda v, dim: np.stack(v.to_numpy()))
+    got = embed_dedup._link(0.95, 8)((8, 0, "c", 0, 0), pdf).set_index("node")
+    want = {k: pdf["node"][:n // 2].min() if i < n // 2 else pdf["node"][n // 2:].min() for i, k in enumerate(pdf["node"])}
+    assert (got["links"] == n // 2 - 1).all() and got["root"].to_dict() == want
+    assert len(held) == 3 and max(held) <= 512 * n
+
+
 @pytest.mark.parametrize("find, brute", [(pii.find_personal_data, pii_spans), (secrets.find_secrets, secret_spans)])
 def test_base_spans_by_brute_force(spark, real, find, brute):
     texts = real | {10_000 + k: t for k, t in enumerate(TRICKY)} | {20_000 + k: t for k, (_, t) in enumerate(TEXTS)}
