@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe, embed_dedup, importance, mixing, ngram_join, pii, secrets, toxicity, vptree, warc
+from riskloom.llm import (bpe, divergence, embed_dedup, importance, mixing, ngram_join, packing, pii, secrets, toxicity,
+                          vptree, warc, whitening)
 from riskloom.llm.store import scratch_path
 
 
-def tokenizer_file() -> str:
-    """The public tokenizer's file; any other path can be given to ``bpe.encode``."""
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file; any other path can be given to ``bpe.encode`` and ``packing.pack``."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +65,22 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"), owner="source")  # no repository column
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_mix_sources, op3_toxicity, op4_warc_transactions, op5_bpe_transducer,
     op6_importance_resampling, op7_vantage_point_trees, op8_embedding_pigeonhole, op9_pii_disclosure,
-    op10_secret_ownership)}
+    op10_secret_ownership, op11_embedding_whitening, op12_min_slack_packing, op13_source_divergence)}
 
 _COMPONENTS = """
 reach AS (
@@ -169,4 +182,41 @@ FROM embeddings d
 LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT x AS id FROM links UNION ALL SELECT y FROM links) GROUP BY id) l
   ON l.id = d.vec_id
 JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) c ON c.id = d.vec_id""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+w AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+),
+kept AS (SELECT lang, term, count(*) AS all_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(all_n) AS lang_n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(total, 0) AS total, lang_n
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN langs USING (lang) LEFT JOIN totals USING (lang, source)
+),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (g.total + 2 * g.v) AS p,
+    1 + (1000000000 * (k.all_n + 2)::HUGEINT) // (g.lang_n + 2 * g.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM found)
+WHERE part = 'pair' OR rank <= 10""",
 }
