@@ -22,9 +22,11 @@ only the ids of rests that are cut are read again.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -39,15 +41,16 @@ from riskloom.session import ship_package
 
 SIZE = 1024
 END = 0
-WORDS_HELD = 300_000   # pieces whose ids a task remembers
+WORDS_HELD = 400_000   # pieces whose ids a worker remembers
 CHUNK = 1 << 20        # characters of a text that are split at once
 RANK_BITS = 48
 # Characters that every Unicode version classes alike, for which the pattern below splits as the byte-level one does
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞₠-₿]*")
 _L = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
-# fixed value: the byte-level vocabulary's split pattern, with its classes of letters and numbers spelt out
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+# fixed value: the byte-level vocabulary's split pattern, with its classes of letters and numbers spelt out (words first:
+# no two of the first three alternatives begin alike)
+_SPLIT = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 # before a space between two letters a piece always ends
 _SAFE = re.compile("(?<=[a-zA-Z])(?= [a-zA-Z])")
 
@@ -95,26 +98,31 @@ class Encoder:
         for part in self._parts(text):
             if self.split and _PLAIN.fullmatch(part):
                 words = _SPLIT.findall(part)
-                try:
-                    out.append(b"".join(map(self.known.__getitem__, words)))
-                except KeyError:
-                    if len(self.known) > WORDS_HELD:
-                        self.known.clear()
-                    new = [w for w in dict.fromkeys(words) if w not in self.known]
+                if len(self.known) > WORDS_HELD:
+                    self.known.clear()
+                new = list(set(words).difference(self.known))
+                if new:
                     self.known.update(zip(new, self._library(new)))
-                    out.append(b"".join(map(self.known.__getitem__, words)))
+                out.append(b"".join(map(self.known.__getitem__, words)))
             else:
                 out += self._library([part])
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def _encoder(content: str) -> Encoder:
+    """One for all tasks of a worker, which uses one core: the library's own threads would only wait."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(content)
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def _tokenized(sent, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(sent.value)
+        enc = _encoder(sent.value)
         task, row, windows = TaskContext.get().partitionId(), 0, 0
         seen = np.zeros(size, np.int64)
         last = np.array([end], enc.kind).tobytes()
