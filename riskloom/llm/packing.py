@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -68,7 +69,7 @@ class Encoder:
         self.tok = Tokenizer.from_str(content)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.kind = np.dtype(np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32)
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         # the split is known only of the plain byte-level kind
@@ -78,7 +79,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.kind.char, e.ids).tobytes() for e in found]
 
     def _parts(self, text: str) -> Iterator[str]:
         a = 0
@@ -90,23 +92,25 @@ class Encoder:
             a = m.start()
         yield text[a:]
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian numbers of ``kind``."""
-        if self.special is not None and self.special.search(text):
-            return self._library([text])[0]
-        out = []
-        for part in self._parts(text):
-            if self.split and _PLAIN.fullmatch(part):
-                words = _SPLIT.findall(part)
-                if len(self.known) > WORDS_HELD:
-                    self.known.clear()
-                new = list(set(words).difference(self.known))
-                if new:
-                    self.known.update(zip(new, self._library(new)))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            else:
-                out += self._library([part])
-        return b"".join(out)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as numbers of ``kind``."""
+        split: list[list[list[str] | str]] = []
+        pieces: set[str] = set()
+        for text in texts:
+            if self.special is not None and self.special.search(text):
+                split.append([text])
+                continue
+            split.append([_SPLIT.findall(p) if self.split and _PLAIN.fullmatch(p) else p for p in self._parts(text)])
+            for p in split[-1]:
+                if not isinstance(p, str):
+                    pieces.update(p)
+        if len(self.known) > WORDS_HELD:
+            self.known.clear()
+        new = list(pieces.difference(self.known))
+        self.known.update(zip(new, self._library(new)))
+        known = self.known.__getitem__
+        return [b"".join(self._library([p])[0] if isinstance(p, str) else b"".join(map(known, p)) for p in parts)
+                for parts in split]
 
 
 @lru_cache(maxsize=1)
@@ -120,6 +124,18 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _encoded(enc: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """The texts' ids in order, about CHUNK characters at a time."""
+    some, held = [], 0
+    for text in texts:
+        some.append(text.as_py() or "")
+        held += len(some[-1])
+        if held > CHUNK:
+            yield from enc.encode(some)
+            some, held = [], 0
+    yield from enc.encode(some)
+
+
 def _tokenized(sent, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value)
@@ -129,8 +145,8 @@ def _tokenized(sent, size: int, end: int):
         for b in batches:
             out: list[tuple] = []
             held = 0
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = np.frombuffer(enc.encode(text.as_py() or "") + last, enc.kind)
+            for i, raw in zip(b.column("doc_id").to_pylist(), _encoded(enc, b.column("text"))):
+                ids = np.frombuffer(raw + last, enc.kind)
                 whole, rest = divmod(len(ids), size)
                 tail = ids[whole * size:]
                 out.append((i, len(ids), [_crc(ids[k * size:(k + 1) * size]) for k in range(whole)], windows, rest,
