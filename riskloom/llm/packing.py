@@ -22,12 +22,12 @@ only the ids of rests that are cut are read again.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.bpe import byte_letters
 from riskloom.llm.store import dropped, stored
 from riskloom.operators.joins import join_bounded
 from riskloom.session import ship_package
@@ -56,15 +57,50 @@ _SPLIT = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_L}{_N}]
 _SAFE = re.compile("(?<=[a-zA-Z])(?= [a-zA-Z])")
 
 
+def byte_ranks(content: str) -> dict[bytes, int] | None:
+    """Every token's bytes and id, if ids alone say how pieces are merged; else None.
+
+    Merging the neighbours whose union has the smallest id gives what the
+    ordered merge rules give, if each token has one rule, later rules make
+    larger ids, a rule's parts come before it, and each token's own letters
+    merge into that token. For then, where two neighbours make a known token,
+    nothing was merged across their edges, so they are what that token's own
+    letters come to before the last merge: the two parts of its rule.
+    """
+    spec = json.loads(content)["model"]
+    odd = ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "dropout", "byte_fallback", "ignore_merges")
+    if spec.get("type") != "BPE" or any(spec.get(k) for k in odd):
+        return None
+    letters = {c: bytes([b]) for b, c in byte_letters().items()}
+    vocab, rules = spec["vocab"], {}
+    if not all(c in vocab for c in letters):
+        return None
+    seen, last = set(letters), max(vocab[c] for c in letters)
+    for rule in spec["merges"]:
+        a, b = rule.split(" ") if isinstance(rule, str) else rule
+        if a not in seen or b not in seen or a + b in seen or vocab.get(a + b, -1) <= last:
+            return None
+        last = rules[a, b] = vocab[a + b]
+        seen.add(a + b)
+        parts = list(a + b)
+        while len(parts) > 1:
+            least, i = min((rules.get((x, y), 1 << 60), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+            if least == 1 << 60:
+                return None
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+    return {b"".join(map(letters.__getitem__, t)): vocab[t] for t in seen}
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, without special tokens added.
 
-    Plain texts are split here, and each different piece is encoded once; other
-    texts, and those that hold a special token's string, go to the library whole
-    (long ones in parts that end where a piece does).
+    Plain texts are split here and each different piece is merged once, by
+    ``ranks`` if there are any; other texts, and those that hold a special
+    token's string, go to the library whole (long ones in parts that end where
+    a piece does).
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, ranks: dict[bytes, int] | None = None):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(content)
         self.tok.no_truncation()
@@ -77,6 +113,10 @@ class Encoder:
         self.split = self.tok.normalizer is None and pre.startswith("ByteLevel(") and \
             "add_prefix_space=False" in pre and "use_regex=True" in pre
         self.known: dict[str, bytes] = {}
+        self.merge = None
+        if ranks:
+            from tiktoken import Encoding
+            self.merge = Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
@@ -107,17 +147,25 @@ class Encoder:
         if len(self.known) > WORDS_HELD:
             self.known.clear()
         new = list(pieces.difference(self.known))
-        self.known.update(zip(new, self._library(new)))
+        kind = self.kind.char
+        self.known.update(zip(new, (array(kind, self.merge(w)).tobytes() for w in new) if self.merge else self._library(new)))
         known = self.known.__getitem__
         return [b"".join(self._library([p])[0] if isinstance(p, str) else b"".join(map(known, p)) for p in parts)
                 for parts in split]
 
 
-@lru_cache(maxsize=1)
-def _encoder(content: str) -> Encoder:
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(sent) -> Encoder:
     """One for all tasks of a worker, which uses one core: the library's own threads would only wait."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(content)
+    content, ranks = sent.value
+    key = hash(content)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(content, ranks)
+    return _encoders[key]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -138,7 +186,7 @@ def _encoded(enc: Encoder, texts: pa.Array) -> Iterator[bytes]:
 
 def _tokenized(sent, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(sent.value)
+        enc = _encoder(sent)
         task, row, windows = TaskContext.get().partitionId(), 0, 0
         seen = np.zeros(size, np.int64)
         last = np.array([end], enc.kind).tobytes()
@@ -352,7 +400,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = END)
         content = f.read()
     kind = Encoder(content).kind.str
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                  .mapInArrow(_tokenized(spark.sparkContext.broadcast(content), size, end), _TOKENS), "tokens")
+                  .mapInArrow(_tokenized(spark.sparkContext.broadcast((content, byte_ranks(content))), size, end), _TOKENS), "tokens")
     # at most ``size`` rows for each task
     counts = rows.groupBy("rest", "task").agg(F.count("*").alias("count"))
     before = F.coalesce(F.sum("count").over(Window.partitionBy("rest").orderBy("task").rowsBetween(

@@ -106,14 +106,28 @@ def tokenizer():
 def test_encoder_equals_library(tokenizer, monkeypatch):
     import pyarrow.parquet as pq
     path, tok = tokenizer
-    enc = packing.Encoder(open(path, encoding="utf-8").read())
+    content = open(path, encoding="utf-8").read()
+    ranks = packing.byte_ranks(content)
+    assert len(ranks) == 50_256
     texts = [t or "" for t in pq.read_table(f"{SF_MED}/documents.parquet", columns=["text"])["text"].to_pylist()[:300]]
     texts += [t or "" for _, t in TEXTS] + [
         "  x", "a\n\n b  ", "it's don't I'LL we've 's 't", "x¼ 12³ ™ — ‘q’ €5 a b", "\x1c \x85  ", "!!!   \t\n??? x",
         " " * 50 + "a", "ªµº ×÷ ǅ ɏ", "<|endoftext|>"]
     monkeypatch.setattr(packing, "CHUNK", 500)  # also across the parts of long texts
-    for t, ids in zip(texts, enc.encode(texts)):
-        assert np.frombuffer(ids, enc.kind).tolist() == tok.encode(t, add_special_tokens=False).ids
+    for enc in (packing.Encoder(content, ranks), packing.Encoder(content)):
+        for t, ids in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(ids, enc.kind).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_ranks_only_where_they_say_it_all():
+    import json
+    letters = {c: i for i, c in enumerate(packing.byte_letters().values())}
+    spec = lambda merges, more: json.dumps({"model": {"type": "BPE", "vocab": letters | more, "merges": merges}})
+    good = spec(["a b", "ab c"], {"ab": 256, "abc": 257})
+    assert packing.byte_ranks(good)[b"abc"] == 257
+    assert packing.byte_ranks(spec(["a b", "ab c"], {"ab": 257, "abc": 256})) is None       # ids out of order
+    assert packing.byte_ranks(spec(["b c", "a b", "ab c"], {"bc": 256, "ab": 257, "abc": 258})) is None  # bc goes first
+    assert packing.byte_ranks(spec(["ab c"], {"abc": 256})) is None                         # a part of unknown origin
 
 
 def test_fullest_by_brute_force():
