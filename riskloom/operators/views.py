@@ -76,13 +76,13 @@ def psc_view(pscs: DataFrame, leaked: DataFrame, lists=DEFAULT_LISTS) -> DataFra
 
 
 def filings_top(filings: DataFrame, n: int = 15) -> DataFrame:
-    """The newest ``n`` filings per company (date desc, then position).
+    """The first ``n`` filings per company in the order the feed delivers them (``pos``).
 
     ``row_number() <= n`` plans as a WindowGroupLimit: at most n rows per
     company leave each map task, whatever the company's size.
     """
-    w = Window.partitionBy("company_number").orderBy(F.col("date").desc_nulls_last(),
-                                                     F.col("pos").asc())
+    # equal positions (a page that was landed twice) are settled by the newest date
+    w = Window.partitionBy("company_number").orderBy(F.col("pos").asc_nulls_last(), F.col("date").desc_nulls_last())
     return (filings.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= n)
             .select("company_number", F.col("rank").cast("int").alias("rank"),

@@ -132,11 +132,14 @@ def score_histogram(spark, d):
     return P.score_histogram(T.kyc_status(spark, d))
 
 
-@query("filing_compliance", """
+_COMPLIANCE_SQL = """
     SELECT CAST(sum(CASE WHEN accounts_overdue THEN 1 ELSE 0 END) AS BIGINT) AS overdue,
            CAST(sum(CASE WHEN NOT accounts_overdue THEN 1 ELSE 0 END) AS BIGINT) AS on_track
     FROM (SELECT DISTINCT ON (company_number) company_number, accounts_overdue FROM dd_company
-          ORDER BY company_number, company_name, company_status, country)""", ("dd_company",))
+          ORDER BY company_number, company_name, company_status, country)"""
+
+
+@query("filing_compliance", _COMPLIANCE_SQL, ("dd_company",))
 def filing_compliance(spark, d):
     return P.filing_compliance(T.companies(spark, d))
 

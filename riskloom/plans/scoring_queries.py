@@ -32,8 +32,10 @@ def _flags_sql() -> str:
     return f"""
     WITH leak AS ({_LEAK}),
     parties AS ({_PARTIES}),
-    hitagg AS (SELECT p.company_number, count(*) AS n_hits FROM parties p
-               JOIN leak l ON lower(trim(p.name)) = l.name_key GROUP BY 1),
+    hits AS (SELECT p.*, row_number() OVER (PARTITION BY p.company_number ORDER BY p.party_type, p.pos, p.name) AS r
+             FROM parties p JOIN leak l ON lower(trim(p.name)) = l.name_key),
+    hitagg AS (SELECT company_number, count(*) AS n_hits,
+                      string_agg(name, ', ' ORDER BY r) FILTER (WHERE r <= 100) AS hit_names FROM hits GROUP BY 1),
     pscagg AS (SELECT company_number, count(*) AS n_psc,
                       count(*) FILTER (WHERE len(list_filter(natures_of_control,
                                         lambda x: contains(x, '75-to-100-percent'))) > 0) AS n_high
@@ -41,7 +43,7 @@ def _flags_sql() -> str:
     filagg AS (SELECT company_number, count(*) AS n_filings,
                       TRY_CAST(arg_min(date, pos) AS DATE) AS newest FROM dd_filing GROUP BY 1),
     base AS (SELECT p.*, coalesce(ps.n_psc, 0) AS n_psc, coalesce(ps.n_high, 0) AS n_high,
-                    coalesce(f.n_filings, 0) AS n_filings, f.newest, coalesce(h.n_hits, 0) AS n_hits,
+                    coalesce(f.n_filings, 0) AS n_filings, f.newest, coalesce(h.n_hits, 0) AS n_hits, h.hit_names,
                     lower(coalesce(p.company_status, '')) AS st,
                     TRY_CAST(p.date_of_creation AS DATE) AS created,
                     {lab(country)} AS jl, {sev(country)} AS js
@@ -108,8 +110,8 @@ def _flags_sql() -> str:
     FROM base WHERE n_filings > 0 AND newest IS NOT NULL AND datediff('day', newest, {_ASOF}) / 30.0 > 18
     UNION ALL
     SELECT company_number, 'K12', 10, 0,
-           CAST(n_hits AS VARCHAR) || ' name(s) matched in leaked entity data', 'Critical',
-           'Leaked Entity Data', 30
+           CAST(n_hits AS VARCHAR) || ' name(s) matched in Panama Papers leak: ' || hit_names, 'Critical',
+           'Panama Papers', 30
     FROM base WHERE n_hits > 0"""
 
 
@@ -294,7 +296,7 @@ def party_counts(spark, d):
 
 @query("filings_top15", """
     SELECT company_number, CAST(rank AS INTEGER) AS rank, date, type, description, category FROM (
-      SELECT *, row_number() OVER (PARTITION BY company_number ORDER BY date DESC NULLS LAST, pos) AS rank
+      SELECT *, row_number() OVER (PARTITION BY company_number ORDER BY pos NULLS LAST, date DESC NULLS LAST) AS rank
       FROM dd_filing) WHERE rank <= 15""", ("dd_filing",))
 def filings_top15(spark, d):
     return V.filings_top(T.filings(spark, d), 15)

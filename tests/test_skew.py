@@ -45,12 +45,12 @@ def test_high_risk_summary_equals_fan_out_join(spark, txn):
             .withColumn("risk_score", F.abs(F.hash("company_id", "transaction_date") % 100).cast("double") / 100))
     risk = risk.unionByName(risk.filter(F.col("company_id") == 0))   # duplicated risk rows too
     got = {r[0]: (r[1], r[2]) for r in X.high_risk_summary(risk, txn).collect()}
-    naive = (risk.alias("r").join(txn.alias("t"), ["company_id", "transaction_date"], "left")
-             .filter(F.col("risk_score") > 0.7)
-             .groupBy("company_id")
-             .agg(F.count(F.lit(1)).alias("n"),
-                  F.coalesce(F.sum(F.col("transaction_amount").cast("decimal(18,2)")), F.lit(0))
-                  .cast("double").alias("v")))
+    hot = (risk.join(txn, ["company_id", "transaction_date"], "left").filter(F.col("risk_score") > 0.7)
+           .groupBy("company_id")
+           .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("transaction_amount").cast("decimal(18,2)")).alias("v")))
+    # a company without hot days is asked for all the same: no rows, and a sum of 0
+    naive = (risk.select("company_id").distinct().join(hot, "company_id", "left")
+             .select("company_id", F.coalesce("n", F.lit(0)), F.coalesce("v", F.lit(0)).cast("double")))
     want = {r[0]: (r[1], r[2]) for r in naive.collect()}
     assert got == want and 0 in got
 
