@@ -14,13 +14,17 @@ with the name taken literally — computed as a *vocabulary join*:
 3. The distinct runs are matched against the *distinct vocabulary* of the posts
    with its document counts: ``eq`` by equality, the others through
    bounded-length prefix / gram keys (a necessary condition) and then the exact
-   ``startswith``/``endswith``/``contains`` test. A run's cost is the number of
-   posts its matching tokens occur in, and each name's *rarest* run becomes its
-   key, so ``Acme Limited`` is looked up by ``acme``. A name with a run that
-   matches no token occurs in no post and leaves here.
-4. Only the tokens of chosen keys go back to the posts, and every candidate pair
-   is verified with ``contains`` on the whole text: the result is exact, and the
-   key choice only affects how many candidates there are.
+   ``startswith``/``endswith``/``contains`` test. A name with a run (or pair of
+   runs) that matches nothing occurs in no post and leaves here.
+4. A name of several runs is looked up by two neighbouring ones: the posts'
+   pairs of adjacent tokens (*bigrams*) are indexed like the tokens, a name's
+   pair of runs matches the bigrams whose first token ends in (or equals) the
+   one and whose second begins with (or equals) the other, and the name's rarest
+   pair becomes its key. ``of the`` alone is in every post; ``bank of`` and
+   ``the north`` are in few. Names of one run keep the run as key.
+5. Only the tokens and bigrams of chosen keys go back to the posts, and every
+   candidate pair is verified with ``contains`` on the whole text: the result is
+   exact, and the key choice only affects how many candidates there are.
 
 Names made only of whitespace are one ``sub`` run looked up in the posts'
 whitespace runs. Names that are empty after lower-casing mention nothing
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.text import python_title
-from riskloom.operators.joins import join_bounded
+from riskloom.operators.joins import broadcast_limit, join_bounded, measured_bytes
 from riskloom.session import cut_lineage
 
 # The five fraud keywords of the keyword panel, its labels, and
@@ -78,7 +82,10 @@ def post_spaces(posts: DataFrame, text_col: str = "post_content", id_col: str =
 
 
 def name_runs(names: DataFrame, name_col: str = "company_name", id_col: str = "company_id") -> DataFrame:
-    """All runs of each name: (company_id, name_l, i, key, mode, blank); NULL and empty names have none."""
+    """All runs of each name: (company_id, name_l, i, key, mode, blank, runs, key2, mode2); key2 is the next run.
+
+    NULL and empty names have none.
+    """
     name_l = F.lower(F.col(name_col))
     core = F.regexp_replace(name_l, r"^\s+|\s+$", "")
     blank = core == ""
@@ -97,8 +104,22 @@ def name_runs(names: DataFrame, name_col: str = "company_name", id_col: str = "c
     whole = F.array(F.struct(F.lit(0).alias("i"), name_l.alias("key"), F.lit("sub").alias("mode")))
     return (names.filter(name_l != "")
             .select(F.col(id_col).alias("company_id"), name_l.alias("name_l"), blank.alias("blank"),
-                    F.explode(F.when(blank, whole).otherwise(F.transform(toks, describe))).alias("r"))
-            .select("company_id", "name_l", "r.i", "r.key", "r.mode", "blank"))
+                    F.when(blank, whole).otherwise(F.transform(toks, describe)).alias("rs"))
+            .select("company_id", "name_l", "blank", "rs", F.size("rs").alias("runs"), F.explode("rs").alias("r"))
+            # the run after it, null for the last
+            .withColumn("next", F.get("rs", F.col("r.i") + 1))
+            .select("company_id", "name_l", "r.i", "r.key", "r.mode", "blank", "runs",
+                    F.col("next.key").alias("key2"), F.col("next.mode").alias("mode2")))
+
+
+def post_bigrams(posts: DataFrame, text_col: str = "post_content", id_col: str = "post_id") -> DataFrame:
+    """(post_id, gram): distinct pairs of adjacent tokens per post, as ``first second`` (tokens hold no space)."""
+    t = F.split(F.lower(F.col(text_col)), WS)
+    n = F.size(t) - 1
+    grams = F.when(n > 0, F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda x, y: F.concat(x, F.lit(" "), y)))
+    return (posts.select(F.col(id_col).alias("post_id"), F.explode(F.array_distinct(grams)).alias("gram"))
+            # no token before a leading or after a trailing space
+            .filter(~F.col("gram").startswith(" ") & ~F.col("gram").endswith(" ")))
 
 
 def _vocab_prefixes(vocab: DataFrame, reverse: bool) -> DataFrame:
@@ -150,23 +171,54 @@ def rarest_keys(runs: DataFrame, matches: DataFrame) -> DataFrame:
     return best.filter(F.col("b.cost").isNotNull()).select("company_id", "name_l", "b.key", "b.mode")
 
 
+def _bigram_candidates(posts: DataFrame, runs: DataFrame, matches: DataFrame, text_col: str) -> DataFrame:
+    """(company_id, name_l, post_id) for names of several runs, by each name's rarest pair of adjacent runs."""
+    pairs = runs.filter(F.col("key2").isNotNull()).select("company_id", "name_l", "i", "key", "mode", "key2", "mode2")
+    at = ["key", "mode", "key2", "mode2"]
+    wanted = pairs.select(*at).distinct()
+    first = matches.select("key", "mode", F.col("tok").alias("t1"))
+    second = matches.select(F.col("key").alias("key2"), F.col("mode").alias("mode2"), F.col("tok").alias("t2"))
+    grams = post_bigrams(posts, text_col)
+    t1, t2 = F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1)
+    # with few names most bigrams begin with a token that no name asks for: leave those in the posts
+    starts = cut_lineage(first.join(wanted.select("key", "mode").distinct(), ["key", "mode"], "left_semi").select("t1").distinct())
+    if measured_bytes(starts) <= broadcast_limit(posts):
+        grams = (grams.withColumn("t1", t1).join(F.broadcast(starts), "t1", "left_semi").drop("t1"))
+    vocab = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("t1", t1).withColumn("t2", t2)
+    # a token matches no more keys than it has prefixes or suffixes, so neither join multiplies much
+    hits = cut_lineage(vocab.join(first, "t1").join(second, "t2").join(wanted, at, "left_semi").select("gram", "df", *at))
+    cost = hits.groupBy(*at).agg(F.sum("df").alias("cost"))
+    best = (join_bounded(pairs, cost, at, "left").groupBy("company_id", "name_l")
+            .agg(F.min(F.struct("cost", "i", *at)).alias("b")))
+    # a pair without a match has a NULL cost, which is the least: no post has that name
+    chosen = best.filter(F.col("b.cost").isNotNull()).select("company_id", "name_l", *[f"b.{c}" for c in at])
+    return (join_bounded(grams, hits.join(chosen, at).select("gram", "company_id", "name_l"), "gram")
+            .select("company_id", "name_l", "post_id"))
+
+
 def candidate_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_content",
                     name_col: str = "company_name") -> DataFrame | None:
     """(company_id, name_l, post_id): a superset of the answer; None when no name has a run."""
     runs = name_runs(names, name_col)
-    # one small job: which modes occur (at most 4), and whether any name is only whitespace
-    stats = runs.agg(F.collect_set("mode").alias("modes"), F.max("blank").alias("blank")).first()
+    # one small job: which modes occur (at most 4), whether any name is only whitespace, and the names' lengths
+    stats = runs.agg(F.collect_set("mode").alias("modes"), F.max("blank").alias("blank"),
+                     F.min("runs").alias("fewest"), F.max("runs").alias("most")).first()
     if not stats["modes"]:
         return None
     tokens = post_tokens(posts, text_col)
     if stats["blank"]:
         tokens = tokens.unionByName(post_spaces(posts, text_col))
     vocab = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    # read twice, for the costs and for the chosen keys: stored once, small next to the posts
+    # read several times, for the costs and for the chosen keys: stored once, small next to the posts
     matches = cut_lineage(key_tokens(vocab, runs.select("key", "mode").distinct(), set(stats["modes"])))
-    chosen = rarest_keys(runs, matches)
-    wanted = (matches.join(chosen, ["key", "mode"]).select("tok", "company_id", "name_l"))
-    return join_bounded(tokens, wanted, "tok").select("company_id", "name_l", "post_id").distinct()
+    parts = []
+    if stats["fewest"] == 1:
+        single = runs.filter(F.col("runs") == 1).select("company_id", "name_l", "i", "key", "mode")
+        wanted = matches.join(rarest_keys(single, matches), ["key", "mode"]).select("tok", "company_id", "name_l")
+        parts.append(join_bounded(tokens, wanted, "tok").select("company_id", "name_l", "post_id"))
+    if stats["most"] > 1:
+        parts.append(_bigram_candidates(posts, runs.filter(F.col("runs") > 1), matches, text_col))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_content",
