@@ -16,12 +16,12 @@ with the name taken literally — computed as a *vocabulary join*:
    bounded-length prefix / gram keys (a necessary condition) and then the exact
    ``startswith``/``endswith``/``contains`` test. A name with a run (or pair of
    runs) that matches nothing occurs in no post and leaves here.
-4. A name of several runs is looked up by two neighbouring ones: the posts'
+4. A name is looked up by its *rarest* run, ``acme`` of ``Acme Limited``. If even
+   that is in more than ``RUN_POSTS`` posts, it is looked up by two neighbouring ones: the posts'
    pairs of adjacent tokens (*bigrams*) are indexed like the tokens, a name's
    pair of runs matches the bigrams whose first token ends in (or equals) the
    one and whose second begins with (or equals) the other, and the name's rarest
-   pair becomes its key. ``of the`` alone is in every post; ``bank of`` and
-   ``the north`` are in few. Names of one run keep the run as key.
+   pair becomes its key: ``of`` and ``the`` are in every post, ``bank of`` in few.
 5. Only the tokens and bigrams of chosen keys go back to the posts, and every
    candidate pair is verified with ``contains`` on the whole text: the result is
    exact, and the key choice only affects how many candidates there are.
@@ -55,6 +55,7 @@ BADGE_GOOD, BADGE_BAD = "success", "danger"
 
 WS = r"\s+"
 PREFIX_KEY_LEN = 8      # prefix/suffix keys use at most this many leading chars
+RUN_POSTS = 100         # a name whose rarest run is in more posts is looked up by two neighbouring runs
 GRAM_LEN = 3            # substring keys use a gram of at most this many chars
 
 
@@ -159,16 +160,16 @@ def key_tokens(vocab: DataFrame, keys: DataFrame, modes: set[str]) -> DataFrame:
 
 
 def rarest_keys(runs: DataFrame, matches: DataFrame) -> DataFrame:
-    """(company_id, name_l, key, mode): per name the run whose tokens occur in the fewest posts.
+    """(company_id, name_l, key, mode, cost, runs): per name the run whose tokens occur in the fewest posts.
 
     Names with a run that no token matches are left out: no post contains them.
     """
     cost = matches.groupBy("key", "mode").agg(F.sum("df").alias("cost"))
     # a run that most names share (limited) is a hot key: the costs, one row per distinct run, are broadcast
     best = (join_bounded(runs, cost, ["key", "mode"], "left").groupBy("company_id", "name_l")
-            .agg(F.min(F.struct("cost", "i", "key", "mode")).alias("b")))
+            .agg(F.min(F.struct("cost", "i", "key", "mode", "runs")).alias("b")))
     # a run without a match has a NULL cost, which is the least
-    return best.filter(F.col("b.cost").isNotNull()).select("company_id", "name_l", "b.key", "b.mode")
+    return best.filter(F.col("b.cost").isNotNull()).select("company_id", "name_l", "b.key", "b.mode", "b.cost", "b.runs")
 
 
 def _bigram_candidates(posts: DataFrame, runs: DataFrame, matches: DataFrame, text_col: str) -> DataFrame:
@@ -202,7 +203,7 @@ def candidate_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_co
     runs = name_runs(names, name_col)
     # one small job: which modes occur (at most 4), whether any name is only whitespace, and the names' lengths
     stats = runs.agg(F.collect_set("mode").alias("modes"), F.max("blank").alias("blank"),
-                     F.min("runs").alias("fewest"), F.max("runs").alias("most")).first()
+                     F.max("runs").alias("most")).first()
     if not stats["modes"]:
         return None
     tokens = post_tokens(posts, text_col)
@@ -211,13 +212,15 @@ def candidate_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_co
     vocab = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     # read several times, for the costs and for the chosen keys: stored once, small next to the posts
     matches = cut_lineage(key_tokens(vocab, runs.select("key", "mode").distinct(), set(stats["modes"])))
-    parts = []
-    if stats["fewest"] == 1:
-        single = runs.filter(F.col("runs") == 1).select("company_id", "name_l", "i", "key", "mode")
-        wanted = matches.join(rarest_keys(single, matches), ["key", "mode"]).select("tok", "company_id", "name_l")
-        parts.append(join_bounded(tokens, wanted, "tok").select("company_id", "name_l", "post_id"))
+    chosen = rarest_keys(runs, matches)
+    common = (F.col("runs") > 1) & (F.col("cost") > RUN_POSTS)
+    wanted = matches.join(chosen.filter(~common), ["key", "mode"]).select("tok", "company_id", "name_l")
+    parts = [join_bounded(tokens, wanted, "tok").select("company_id", "name_l", "post_id")]
     if stats["most"] > 1:
-        parts.append(_bigram_candidates(posts, runs.filter(F.col("runs") > 1), matches, text_col))
+        names_left = cut_lineage(chosen.filter(common).select("company_id", "name_l"))
+        if not names_left.isEmpty():
+            parts.append(_bigram_candidates(posts, runs.join(names_left, ["company_id", "name_l"], "left_semi"),
+                                            matches, text_col))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -230,9 +233,10 @@ def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_cont
             [], T.StructType([names.schema["company_id"], posts.schema["post_id"]]))
     # verify against the whole text; the candidates are broadcast when measured small,
     # so the texts are streamed instead of shuffled, and only candidate posts are lower-cased
-    texts = posts.select(F.col("post_id"), F.col(text_col).alias("_text"))
+    # a post is lower-cased once, not once per candidate
+    texts = posts.select(F.col("post_id"), F.lower(F.col(text_col)).alias("_text"))
     return (join_bounded(texts, cand, "post_id")
-            .filter(F.lower(F.col("_text")).contains(F.col("name_l")))
+            .filter(F.col("_text").contains(F.col("name_l")))
             .select("company_id", "post_id").distinct())
 
 
