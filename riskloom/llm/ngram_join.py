@@ -18,8 +18,12 @@ Every pair of texts with ``100 * |A n B| >= percent * |A u B|`` is found:
   has the key in the yet shorter prefix that partners no smaller need).
   Candidates between sets already connected are not tested. Star rounds test every set against one other of its lists
   (never all pairs of a list); what is left after them, between different
-  components, is then tested pair by pair. Each test counts the exact
-  intersection of the whole texts' shingles.
+  components, is then tested pair by pair. Of each set 256 bits are kept, which
+  tell for 256 hash classes whether it has an odd number of members there. Where
+  two sets' bits differ, the class holds a member of one set only, so pairs that
+  differ in more bits than linked sets have members of one only are no
+  candidates: sets that share a passage and little else leave the join there.
+  Each test counts the exact intersection of the whole texts' shingles.
 
 Equality of shingles is equality of 64-bit hashes. Shingle lists are never
 gathered: a key's rows meet only in partial aggregates and joins.
@@ -46,6 +50,8 @@ SKETCH_BITS = 20
 BLOCK_BITS = 16
 SIZE_BINS = 4096
 STAR_ROUNDS = 2
+ODD = ("odd0", "odd1", "odd2", "odd3")
+VERIFY_BYTES = 4 << 20   # of texts that a task compares at once
 
 
 def _needed(n, percent: int):
@@ -59,22 +65,26 @@ def _digests(width: int):
         for b in batches:
             n = np.zeros(len(b), np.int64)
             d = np.zeros((2, len(b)), np.uint64)
+            odd = np.zeros((len(b), 64 * len(ODD)), np.uint8)
             for i, s in shingle_sets(b.column("text"), width):
                 n[i] = len(s)
                 d[:, i] = np.sum(mix(s + U(1))), np.sum(mix(s ^ U(0xA5A5A5A5A5A5A5A5)) * U(3))
                 np.add.at(counts, (s & U((1 << SKETCH_BITS) - 1)).view(np.int64), 1)
+                odd[i] = np.bincount((mix(s) % U(odd.shape[1])).view(np.int64), minlength=odd.shape[1]) & 1
             none = pa.nulls(len(b), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n), pa.array(d[0].view(np.int64)),
-                 pa.array(d[1].view(np.int64)), none, pa.nulls(len(b), pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "block", "counts"])
+                 pa.array(d[1].view(np.int64)), none, pa.nulls(len(b), pa.binary()),
+                 *map(pa.array, np.packbits(odd, axis=1).view(np.int64).T)],
+                names=["doc_id", "n", "d1", "d2", "block", "counts", *ODD])
         if counts.any():
             parts = counts.reshape(-1, 1 << BLOCK_BITS)
             k = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(k, pa.int64())] * 4
-                + [pa.array(np.arange(k, dtype=np.int32)), pa.array([p.tobytes() for p in parts])],
-                names=["doc_id", "n", "d1", "d2", "block", "counts"])
+                + [pa.array(np.arange(k, dtype=np.int32)), pa.array([p.tobytes() for p in parts])]
+                + [pa.nulls(k, pa.int64())] * len(ODD),
+                names=["doc_id", "n", "d1", "d2", "block", "counts", *ODD])
     return run
 
 
@@ -175,7 +185,7 @@ def _signature_rows(rows: list[tuple]) -> pa.RecordBatch:
 def _linked(width: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a hub's text comes with every row of its star
-        whole = lru_cache(maxsize=64)(
+        whole = lru_cache(maxsize=16)(
             lambda text: next(shingle_sets(pa.array([text], pa.large_string()), width))[1])
         for pdf in batches:
             ok = np.zeros(len(pdf), bool)
@@ -188,10 +198,17 @@ def _linked(width: int, percent: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The linked ones of ``pairs``, written; texts reach a task's Python in batches bounded by bytes."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    return (pairs.select("a", "b").join(left, "a").join(right, "b")
-            .mapInPandas(_linked(width, percent), "a long, b long"))
+    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name, None)
+    conf.set(name, str(VERIFY_BYTES))
+    try:
+        return stored(pairs.select("a", "b").join(left, "a").join(right, "b")
+                      .mapInPandas(_linked(width, percent), "a long, b long"), "links")
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -209,10 +226,11 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(docs.mapInArrow(
-        _digests(width), "doc_id long, n long, d1 long, d2 long, block int, counts binary"), "digests")
-    sets = rows.where("block is null").select("doc_id", "n", "d1", "d2")
+        _digests(width), "doc_id long, n long, d1 long, d2 long, block int, counts binary, "
+        + ", ".join(f"{c} long" for c in ODD)), "digests")
+    sets = rows.where("block is null").select("doc_id", "n", "d1", "d2", *ODD)
     nodes = stored(sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
-                   .agg(F.min("doc_id").alias("node")), "nodes")
+                   .agg(F.min("doc_id").alias("node"), *(F.max(c).alias(c) for c in ODD)), "nodes")
 
     freq = _frequencies(rows)
     sizes = {r["s"]: r["c"] for r in nodes.groupBy(F.least("n", F.lit(SIZE_BINS)).cast("int").alias("s"))
@@ -257,16 +275,23 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
             pairs = (cand.groupBy("node").agg(F.min(F.struct("a", "b")).alias("p"))
                      .select("p.a", "p.b").distinct())
         else:
+            # repeated ids of other sets: no bits, which rule nothing out
+            bits = nodes.groupBy("node").agg(F.count("*").alias("sets"), *(F.max(c).alias(c) for c in ODD)) \
+                .where("sets = 1").drop("sets")
+            act = act.join(bits, "node", "left")
             left = act.where("first").select("sig", F.col("node").alias("other"), F.col("n").alias("m"),
-                                             F.col("slack").alias("others"), F.col("label").alias("theirs"))
+                                             F.col("slack").alias("others"), F.col("label").alias("theirs"),
+                                             *(F.col(c).alias(f"their_{c}") for c in ODD))
+            differ = " + ".join(f"coalesce(bit_count({c} ^ their_{c}), 0)" for c in ODD)
             pairs = (act.join(left, "sig").where("label <> theirs and m <= n").where(may)
+                     .where(f"{differ} <= n + m - 2 * {both}")
                      .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        found = stored(_verified(pairs, texts, width, percent), "links")
+        found = _verified(pairs, texts, width, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if turn < STAR_ROUNDS:
@@ -290,8 +315,8 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """One document of each group of near copies in ``docs``: that of the smallest doc_id, null ids last.
 
     A document is a doc_id and a text, so that rows of other texts under one id
-    are judged each. Rows that repeat the kept doc_id and its text stay; of a
-    group without ids one row stays. Rows without words are in no group and stay.
+    are judged each; of rows that repeat the kept doc_id and its text, and of a
+    group without ids, one row stays. Rows without words are in no group and stay.
     Columns of ``docs`` are returned as they are, whatever else they are named.
     """
     node = F.xxhash64(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
@@ -305,7 +330,8 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     dropped = (members.join(first, "component_id")
                .where(~(F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__node") == F.col("first.__node"))))
                .select("__id", F.col("__node").alias("__dropped")))
-    rows = docs.withColumn("__node", node).withColumn("__single", F.col("doc_id").isNull() & words)
+    rows = docs.withColumn("__node", node).withColumn("__single", words)
     rows = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["__id"]) & (rows["__node"] == dropped["__dropped"]), "left_anti")
-    return (rows.where(~F.col("__single")).unionByName(rows.where("__single").dropDuplicates(["__node"]))
+    # after the copies under other ids are gone, only rows of one id and text are equal here
+    return (rows.where(~F.col("__single")).unionByName(rows.where("__single").dropDuplicates(["doc_id", "__node"]))
             .select(*docs.columns))
