@@ -9,8 +9,10 @@ Grid method (Gunawan 2013; Gan & Tao 2015), all as joins and aggregations:
 1. Points go to fine cells of side ``eps / sqrt(d)``: any two points of one
    cell are within ``eps``, so a cell holding ``min_samples`` points is all
    core, with no pair ever formed.
-2. Points count per fine cell (a pre-aggregated table). A point of a sparse
-   cell explodes to the fine cells that can hold neighbours; cells entirely
+2. Points count per fine cell (a pre-aggregated table). Occupied cells are
+   paired with the occupied cells near them, through a coarse grid over three
+   of their coordinates, so any number of features runs; a point of a sparse
+   cell goes with the cells of its cell's pairs: those entirely
    inside its ``eps`` ball add their count, cells entirely outside add
    nothing, and only cells cut by the ball are checked point by point.
 3. Non-core points test the same way against core points only.
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from riskloom.session import cut_lineage
 
 _MARGIN = 1e-9
-MAX_OFFSETS = 20_000    # neighbour cells per point: 125 for the three features (d = 3)
+GRID_DIMS = 3           # dimensions of the coarse grid on which occupied cells meet: 27 neighbours at most
 
 
 def _cells(df: DataFrame, cols, side: float, prefix: str) -> list[Column]:
@@ -63,15 +66,32 @@ def _box_dists(cols, cell_cols, side: float) -> tuple[Column, Column]:
     return F.sqrt(mn), F.sqrt(mx)
 
 
+def _near_cells(counts: DataFrame, cc: list[str], reach: int, side: float, eps: float) -> DataFrame:
+    """(c0.., n0.., cnt): every occupied cell with every occupied cell that a ball around one of its points can reach.
+
+    Cells meet on a coarse grid over at most GRID_DIMS of their coordinates,
+    whose cells are ``reach`` wide, and are then compared in all coordinates.
+    The work goes by the occupied cells, whatever the number of dimensions.
+    """
+    grid = [F.floor(F.col(c) / reach).alias(f"g{i}") for i, c in enumerate(cc[:GRID_DIMS])]
+    keys = [f"g{i}" for i in range(len(grid))]
+    steps = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(keys, o)])
+                      for o in itertools.product((-1, 0, 1), repeat=len(keys))])
+    own = counts.select(*cc, *grid).withColumn("o", F.explode(steps)).select(
+        *cc, *[(F.col(k) + F.col(f"o.{k}")).alias(k) for k in keys])
+    other = counts.select(*[F.col(c).alias(f"n{i}") for i, c in enumerate(cc)], "cnt", *grid)
+    gaps = [F.greatest(F.abs(F.col(c) - F.col(f"n{i}")) - 1, F.lit(0)) for i, c in enumerate(cc)]
+    square = reduce(lambda a, b: a + b, [g * g for g in gaps])
+    return (own.join(other, keys).where(square * F.lit(side * side) <= eps * eps * (1 + _MARGIN) ** 2)
+            .select(*cc, *[f"n{i}" for i in range(len(cc))], "cnt"))
+
+
 def density_noise(df: DataFrame, cols, eps: float = 0.5, min_samples: int = 5,
                   id_col: str = "id") -> DataFrame:
     """(id, is_core, dbscan_flag) for every point; ``dbscan_flag`` is 1 for noise."""
     d = len(cols)
     side = eps / math.sqrt(d) * (1 - 1e-9)
     reach = math.ceil(eps / side)
-    if (2 * reach + 1) ** d > MAX_OFFSETS:
-        raise ValueError(f"{d} dimensions: the neighbour-cell grid is built for low dimensions")
-    offsets = list(itertools.product(range(-reach, reach + 1), repeat=d))
     cc = [f"c{i}" for i in range(d)]
     pts = df.select(F.col(id_col).alias("pid"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
     xs = [f"x{i}" for i in range(d)]
@@ -82,16 +102,13 @@ def density_noise(df: DataFrame, cols, eps: float = 0.5, min_samples: int = 5,
     dense = counts.filter(F.col("cnt") >= min_samples).select(*cc)
 
     sparse_pts = pts.join(dense, cc, "left_anti")
-    offs = F.explode(F.array(*[F.struct(*[F.lit(o[i]).alias(f"o{i}") for i in range(d)]) for o in offsets]))
-    nb = sparse_pts.select("pid", *xs, offs.alias("o")).select(
-        "pid", *xs, *[(F.col(f"o.o{i}") + F.floor(F.col(xs[i]) / F.lit(side)).cast("long")).alias(f"n{i}")
-                      for i in range(d)])
+    near = cut_lineage(_near_cells(counts, cc, reach, side, eps))
+    nb = sparse_pts.join(near, cc).select("pid", *xs, *[f"n{i}" for i in range(d)], "cnt")
     ncell = [f"n{i}" for i in range(d)]
     bmin, bmax = _box_dists(xs, ncell, side)
     # cells wholly outside the eps-ball (about half of the neighbour grid) are dropped map-side
     nb = nb.withColumn("bmin", bmin).filter(F.col("bmin") <= eps * (1 + _MARGIN)).withColumn("bmax", bmax)
-    cnt_r = counts.select(*[F.col(c).alias(n) for c, n in zip(cc, ncell)], "cnt")
-    withc = nb.join(cnt_r, ncell)
+    withc = nb
     full = (withc.filter(F.col("bmax") <= eps * (1 - _MARGIN))
             .groupBy("pid").agg(F.sum("cnt").alias("k_full")))
     # exact early exit: a point whose fully covered cells already hold min_samples is core
@@ -116,10 +133,8 @@ def density_noise(df: DataFrame, cols, eps: float = 0.5, min_samples: int = 5,
     # border test for non-core points: any core point within eps?
     core_counts = (flagged.filter("is_core").groupBy(*cc).agg(F.count(F.lit(1)).alias("ccnt"))
                    .select(*[F.col(c).alias(n) for c, n in zip(cc, ncell)], "ccnt"))
-    noncore = flagged.filter(~F.col("is_core")).select("pid", *xs)
-    nb2 = noncore.select("pid", *xs, offs.alias("o")).select(
-        "pid", *xs, *[(F.col(f"o.o{i}") + F.floor(F.col(xs[i]) / F.lit(side)).cast("long")).alias(f"n{i}")
-                      for i in range(d)])
+    nb2 = (flagged.filter(~F.col("is_core")).select("pid", *xs, *cc).join(near.drop("cnt"), cc)
+           .select("pid", *xs, *ncell))
     nb2 = nb2.withColumn("bmin", bmin).filter(F.col("bmin") <= eps * (1 + _MARGIN)).withColumn("bmax", bmax)
     w2 = nb2.join(core_counts, ncell)
     near_full = w2.filter(F.col("bmax") <= eps * (1 - _MARGIN)).select("pid").distinct()

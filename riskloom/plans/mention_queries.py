@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.operators import keywords as KW
 from riskloom.operators import mentions as M
 from riskloom.operators import sentiment as SE
 from riskloom.plans.registry import query
@@ -138,3 +139,14 @@ CUSTOM_KEYWORDS = ("license", "copyright", "@", "the")
 @query("keyword_flags_custom", f"SELECT * FROM ({_keyword_sql(CUSTOM_KEYWORDS)})")
 def keyword_flags_custom(spark, d):
     return M.keyword_flags(_mentioned(spark, d), CUSTOM_KEYWORDS)
+
+
+# Thousands of keywords: every word of four letters or more of the benchmark passages.
+@query("keyword_hits_many", r"""
+    WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS keyword FROM benchmark)
+    SELECT d.source AS platform, k.keyword, count(*) AS hits
+    FROM documents d JOIN k ON contains(lower(d.text), k.keyword) GROUP BY ALL""")
+def keyword_hits_many(spark, d):
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    keywords = T.read(spark, d, "benchmark").select(words.alias("keyword")).distinct()
+    return KW.keyword_counts(T.posts(spark, d), keywords, ["platform"])

@@ -109,3 +109,19 @@ def test_density_exact_distance_ties(spark, pts, eps, k):
     want = brute_noise(X, eps, k)
     got = density_noise(df, COLS, eps, k).orderBy("id").toPandas()
     assert got["dbscan_flag"].tolist() == want.tolist()
+
+
+def test_density_in_seven_dimensions_equals_brute_force(spark):
+    import numpy as np
+
+    from riskloom.operators.anomaly.density import density_noise
+    rng = np.random.default_rng(11)
+    cols = [f"f{i}" for i in range(7)]
+    for eps, k in ((0.5, 10), (0.25, 4)):
+        pts = np.concatenate([rng.normal(0.3, 0.05, (120, 7)), rng.uniform(0, 1, (80, 7)), np.full((15, 7), 0.9)])
+        df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], ["id", *cols])
+        got = {r["id"]: (r["is_core"], r["dbscan_flag"]) for r in density_noise(df, cols, eps, k).collect()}
+        near = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(2)) <= eps
+        core = near.sum(1) >= k
+        assert got == {i: (bool(core[i]), int(not core[i] and not near[i][core].any())) for i in range(len(pts))}
+        assert 0 < sum(f for _, f in got.values()) < len(pts)

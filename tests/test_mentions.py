@@ -146,3 +146,26 @@ def test_sentiment_with_lexicon_table(spark):
     assert got[2] == float(__import__("numpy").float32(norm(3.0 * -0.74)))
     assert got[3] == 0.5 and got[4] == 0.5
     assert got[5] == float(__import__("numpy").float32(norm(3.0 + 0.293)))
+
+
+def test_keywords_equal_contains(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from riskloom.operators import keywords as KW
+    rng = random.Random(4)
+    alphabet = "abAB é%_ "
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.choice([1, 2, 3, 5]))) for _ in range(300)]
+    texts = ["".join(rng.choice(alphabet) for _ in range(60)) for _ in range(40)] + ["", None, "x" * 5000 + "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "post_id long, post_content string")
+    kw = spark.createDataFrame([(w,) for w in words] + [(None,), ("",)], "keyword string")
+    low = {w.lower() for w in words} | {""}
+    want = sorted((i, w) for i, t in enumerate(texts) if t is not None for w in low if w in t.lower())
+    for chars in (KW.SLICE_CHARS, 200):  # one automaton, and several
+        assert sorted(map(tuple, KW.keyword_matches(df, kw, ["post_id"], slice_chars=chars).collect())) == want
+    assert KW.keyword_counts(df, kw.limit(0), ["post_id"]).collect() == []
+    # as large a plan for many keywords as for few
+    size = lambda k: len(KW.keyword_matches(df, k, ["post_id"])._jdf.queryExecution().analyzed().toString())
+    some = kw.where(F.length("keyword") > 0)
+    assert size(some) == size(some.limit(5))
