@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.ordering import running_totals
@@ -86,22 +86,33 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
     """The mix itself: rows of ``docs`` repeated, cut and left out as ``mix_sources`` says.
 
     Columns are those of ``docs``. The row at a source's cut ends after its
-    last taken word (n_chars, if there, follows). Rows that agree in doc_id,
-    source and size are one entry of the mix and share its words evenly.
+    last taken word (n_chars, if there, follows). Of rows that agree in doc_id,
+    source and size, null ids included, as many give as many words as rows of
+    the mix do, those of the smaller md5 of the text first.
     """
     names = docs.columns
+    # rows are numbered within what the mix cannot tell apart; so each is taken as one row of the mix is
+    alike = ["__id", "__no_id", "__src", "__no_src", "__size"]
     key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"),
            F.coalesce("source", F.lit("")).alias("__src"), F.col("source").isNull().alias("__no_src")]
-    taken = (mix_sources(docs, weights, percent, epochs, seed).where("taken > 0")
-             .select(*key, F.col("size").alias("__size"), "taken")
-             .groupBy("__id", "__no_id", "__src", "__no_src", "__size")
-             .agg(F.floor(F.avg("taken")).cast("long").alias("__taken")))
+    taken = mix_sources(docs, weights, percent, epochs, seed).select(*key, F.col("size").alias("__size"), "taken")
+    # of alike rows at most one is cut: rows of the same taken words are counted, and number ranges dealt to them
+    runs = (taken.groupBy(*alike, "taken").agg(F.count("*").alias("__rows"))
+            .withColumn("__to", F.sum("__rows").over(Window.partitionBy(*alike).orderBy(F.desc("taken"))))
+            .withColumn("__from", F.col("__to") - F.col("__rows")).where("taken > 0")
+            .select(*alike, "__from", "__to", F.col("taken").alias("__taken")))
     rows = docs.select(*names, *key, word_count(F.col("text")).alias("__size"))
     copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
     words = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
     cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"),
-                                            words.cast("string"), F.lit("}+")), F.lit(0))
-    out = (rows.join(taken, ["__id", "__no_id", "__src", "__no_src", "__size"])
+                                                            words.cast("string"), F.lit("}+")), F.lit(0))
+    # only ids that stand on several rows need a number
+    several = taken.groupBy(*alike).agg(F.count("*").alias("__all")).where("__all > 1").drop("__all")
+    several = stored(several, "alike")
+    order = F.row_number().over(Window.partitionBy(*alike).orderBy(F.md5("text"))) - 1
+    repeated = rows.join(several, alike, "left_semi").withColumn("__nth", order.cast("long"))
+    single = rows.join(several, alike, "left_anti").withColumn("__nth", F.lit(0).cast("long"))
+    out = (single.unionByName(repeated).join(runs, alike).where("__nth >= __from and __nth < __to")
            .withColumn("__copy", F.explode(copies))
            .withColumn("text", F.when(words < F.col("__size"), cut).otherwise(F.col("text"))))
     if "n_chars" in names:

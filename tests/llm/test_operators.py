@@ -148,7 +148,19 @@ def test_mix_odd_rows(spark, docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     words = out.select(F.sum(mixing.word_count(F.col("text")))).first()[0]
-    assert abs(words - sum(s[1] for s in by_source.values())) <= 2
+    assert words == sum(s[1] for s in by_source.values())
+
+
+@pytest.mark.parametrize("ident", [5, None])
+def test_mix_takes_exactly_its_words_from_equal_rows(spark, ident):
+    """Rows that repeat an id and size, also null ids, at the cut of their source."""
+    texts = [" ".join(f"w{k % 3}x{j}" for j in range(10)) for k in range(7)]
+    d = spark.createDataFrame([(ident, t, "a") for t in texts] + [(100 + k, "one two three", "b") for k in range(30)],
+                              "doc_id long, text string, source string")
+    for weights in ((3, 1, 2), (1, 3, 1), (5, 4, 1), (1, 9, 1), (1, 1, 1)):
+        want = {r["source"]: r["n"] for r in mixing.mix_sources(d, weights).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+        got = mixing.mixed_documents(d, weights).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n"))
+        assert {r["source"]: r["n"] for r in got.collect()} == {k: n for k, n in want.items() if n}
 
 
 # --- toxicity and quality -----------------------------------------------------------
