@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -169,3 +170,20 @@ def test_keywords_equal_contains(spark, monkeypatch):
     size = lambda k: len(KW.keyword_matches(df, k, ["post_id"])._jdf.queryExecution().analyzed().toString())
     some = kw.where(F.length("keyword") > 0)
     assert size(some) == size(some.limit(5))
+
+
+@pytest.mark.parametrize("limit", ["268435456", "0"])
+def test_pairs_of_runs_equal_nested_loop(spark, monkeypatch, limit):
+    """Every name of several words by its pairs of words, with and without broadcasts."""
+    from riskloom.operators import mentions as M
+    monkeypatch.setattr(M, "RUN_POSTS", 0)
+    spark.conf.set("riskloom.broadcast.maxBytes", limit)
+    try:
+        assert run(spark, POSTS, NAMES) == brute(POSTS, NAMES)
+        rnd = random.Random(77)
+        posts = [(i, "".join(rnd.choice(WORDS) + rnd.choice([" ", "  ", "\t"]) for _ in range(rnd.randint(0, 8)))) for i in range(30)]
+        names = [(100 + i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 4)))) for i in range(20)]
+        names += [(200, WORDS[0][1:] + " " + WORDS[1][:1]), (201, " " + WORDS[2] + " " + WORDS[3] + " ")]
+        assert run(spark, posts, names) == brute(posts, names)
+    finally:
+        spark.conf.unset("riskloom.broadcast.maxBytes")
