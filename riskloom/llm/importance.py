@@ -1,10 +1,16 @@
 """Quality classifier by importance resampling over hashed n-grams.
 
 Two generative models give every hashed word and word pair a probability: one
-from the target texts (labelled good), one from all raw texts. A document's log
+from the target texts (labelled good), one from all raw texts, whose counts are
+scaled to the same total before SMOOTH is added to both. A document's log
 importance weight is the sum of its n-grams' log ratios. Gumbel top-k (weight
 plus Gumbel noise derived from doc_id, the k largest win) samples k documents
 without replacement in proportion to the weights.
+
+The number of hash buckets is a power of two at or above the corpus's number of
+distinct n-grams (estimated from its smallest hashes), so it grows with the
+corpus and two n-grams seldom share a bucket at any size. Counts are a table;
+the weights of up to SLICE buckets at a time are sent to the tasks.
 """
 
 from __future__ import annotations
@@ -22,48 +28,96 @@ from riskloom.llm.store import stored
 from riskloom.llm.toxicity import LABELS_BROADCAST, held_out
 from riskloom.session import ship_package
 
-BUCKETS = 1 << 14
+LEAST = 1 << 14          # buckets of a small corpus
+SMOOTH = 16.0            # added to every count, so that n-grams of few texts weigh little
+SLICE = 1 << 23          # buckets whose weights one scoring pass broadcasts (4 bytes each)
+SMALLEST = 4096          # smallest hashes from which distinct n-grams are estimated (standard error 1.6 %)
+HELD = 1 << 21           # n-grams a task gathers before it hands on their counts
 _PAIR = U(0xC2B2AE3D27D4EB4F)
 
 
 def _ngrams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(index, buckets of all words and word pairs) of every text."""
+    """(index, 64-bit hashes of all words and word pairs) of every text."""
     for base, buf, offs in chunks(texts):
         h, at = word_hashes(buf, offs)
-        one = (h % U(BUCKETS)).astype(np.int64)
-        two = (mix(h[:-1] * _PAIR + h[1:]) % U(BUCKETS)).astype(np.int64) if len(h) > 1 else one[:0]
+        two = mix(h[:-1] * _PAIR + h[1:]) if len(h) > 1 else h[:0]
         for d in range(len(offs) - 1):
             a, b = at[d], at[d + 1]
-            yield base + d, np.concatenate([one[a:b], two[a:max(a, b - 1)]])
+            yield base + d, np.concatenate([h[a:b], two[a:max(a, b - 1)]])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, BUCKETS), np.int64)
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep = np.zeros(0, U)
     for b in batches:
-        good = b.column("good").to_pylist()
-        for i, g in _ngrams(b.column("text")):
-            n = np.bincount(g, minlength=BUCKETS) if len(g) > 4096 else None
-            for row in ([0, 1] if good[i] else [0]):
-                if n is None:
-                    np.add.at(total[row], g, 1)
-                else:
-                    total[row] += n
-    used = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])],
-                                     names=["bucket", "raw", "target"])
-
-
-def _weigh(sent):
+        for _, g in _ngrams(b.column("text")):
+            g >>= U(1)
+            if len(keep) == SMALLEST:
+                g = g[g < keep[-1]]
+            if len(g):
+                keep = np.unique(np.concatenate([keep, g]))[:SMALLEST]
+    yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int64))], names=["h"])
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """A power of two at or above the number of distinct words and word pairs of ``docs``, at least LEAST."""
+    least = [r["h"] for r in docs.select("text").mapInArrow(_least, "h long").distinct().orderBy("h").limit(SMALLEST).collect()]
+    n = len(least) if len(least) < SMALLEST else round((SMALLEST - 1) / (least[-1] / 2.0 ** 63))
+    return max(LEAST, 1 << (max(1, n) - 1).bit_length())
+
+
+def _count(buckets: int):
+    def added(held: list[tuple[np.ndarray, bool]]) -> pa.RecordBatch:
+        every = np.concatenate([g for g, _ in held])
+        good = np.repeat([x for _, x in held], [len(g) for g, _ in held])
+        used, at = np.unique(every, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.bincount(at, minlength=len(used))),
+                                           pa.array(np.bincount(at[good], minlength=len(used)))],
+                                          names=["bucket", "raw", "target"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            good = b.column("good").to_pylist()
+            for i, g in _ngrams(b.column("text")):
+                held.append(((g & U(buckets - 1)).astype(np.int64), good[i]))
+                size += len(g)
+                if size > HELD:
+                    yield added(held)
+                    held, size = [], 0
+        if size:
+            yield added(held)
+    return run
+
+
+def _weigh(sent, first: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = sent.value
         for b in batches:
             out = np.zeros(len(b))
             for i, g in _ngrams(b.column("text")):
-                out[i] = ratio[g].sum()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out)], names=["doc_id", "log_weight"])
+                at = (g & U(buckets - 1)).astype(np.int64) - first
+                out[i] = ratio[at if len(ratio) == buckets else at[(at >= 0) & (at < len(ratio))]].sum(dtype=float)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(out)],
+                                             names=["row", "doc_id", "log_weight"])
     return run
 
 
+def _weights(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, log_weight) of every row of ``docs``; one pass over the texts for every SLICE buckets, sums added."""
+    spark, parts = docs.sparkSession, None
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    for first in range(0, buckets, SLICE):
+        ratio = np.zeros(min(SLICE, buckets), np.float32)
+        part = ratios.where(F.col("bucket").between(first, first + SLICE - 1)).toArrow()
+        ratio[part.column("bucket").to_numpy() - first] = part.column("llr").to_numpy()
+        got = docs.mapInArrow(_weigh(spark.sparkContext.broadcast(ratio), first, buckets),
+                              "row long, doc_id long, log_weight double")
+        parts = got if parts is None else parts.unionByName(got)
+    if buckets > SLICE:
+        parts = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("log_weight").alias("log_weight"))
+    return parts.drop("row")
+
+
 def gumbel(doc_id: Column, seed: str) -> Column:
     """Standard Gumbel noise from the digest of seed and doc_id (52 bits)."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13),
@@ -77,15 +131,16 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     Target texts are those with quality 1 in ``labels`` (doc_id, quality),
     held-out rows excepted; raw texts are all of ``docs``. ``share`` of the rows
     are sampled; without it, the share of quality 1 among the labels learned
-    from. Counts go over all rows into BUCKETS counters a model.
+    from. Counts go over all rows.
 
     Defined cases: a null or empty text has weight 0 (log); a null doc_id hashes
     as empty and is no target; a doc_id labelled twice is good if all labels
     say so; ties in the key go to the smaller doc_id; without target texts all
-    weights are 0; an empty table gives no rows.
+    weights are 0; very long texts are counted and weighed whole; rows that
+    repeat are weighed each; other columns are not read, whatever their names;
+    an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min((F.col("quality") > 0).cast("int")).alias("good")))
@@ -93,17 +148,16 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
         share = known.agg(F.avg("good")).first()[0] or 0.0
     if labels.count() <= LABELS_BROADCAST:
         known = F.broadcast(known)
-    counts = (docs.join(known, "doc_id", "left").select("text", F.coalesce(F.col("good") == 1, F.lit(False)).alias("good"))
-              .mapInArrow(_count, "bucket long, raw long, target long")
-              .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())
-    n = np.zeros((2, BUCKETS))
-    for row, name in enumerate(("raw", "target")):
-        n[row][counts["bucket"].to_numpy()] = counts[name].to_numpy()
-    ratio = np.zeros(BUCKETS)
-    if n[1].any():
-        p = (n + 1) / (n.sum(1, keepdims=True) + BUCKETS)
-        ratio = np.log(p[1]) - np.log(p[0])
-    rows = docs.mapInArrow(_weigh(spark.sparkContext.broadcast(ratio)), "doc_id long, log_weight double")
+    buckets = buckets_for(docs)
+    counts = stored(docs.join(known, "doc_id", "left")
+                    .select("text", F.coalesce(F.col("good") == 1, F.lit(False)).alias("good"))
+                    .mapInArrow(_count(buckets), "bucket long, raw long, target long")
+                    .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "counts")
+    raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
+    # the raw counts are scaled to the target's total and smoothed alike, so that n-grams
+    # of few texts, which are most of them, have ratios near 1 in place of noise
+    llr = F.log((F.col("target") + SMOOTH) / (F.col("raw") * F.lit(float(target) / float(raw)) + SMOOTH)) if target else F.lit(0.0)
+    rows = _weights(docs, counts.select("bucket", llr.cast("float").alias("llr")), buckets)
     rows = stored(rows.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
                   .withColumn("less", -F.col("gumbel_key")).withColumn("one", F.lit(1)), "weights")
     k = round(share * rows.count())

@@ -3,13 +3,16 @@
 Personal data found by pattern (email, ip, card, phone) are the protected
 entities. A term that stands in the same document as an entity, at any distance,
 may give the entity away even where the entity itself is removed. How strongly
-is estimated from the whole corpus: the pointwise mutual information of term and
-entity, log2(n_te * N / (n_t * n_e)) over documents, as a share of the entity's
-information content log2(N / n_e). 1 means that the term stands nowhere but with
-the entity. n_te / n_t is lowered by ERRORS standard errors, so that few texts
-lower the share but none is left out; copies of one text count once as evidence.
-From REMOVE on all mentions of the term in documents with that entity are
-removed (kind ``reveal``), from GENERALISE on generalised (kind ``hint``). Terms
+is estimated from the whole corpus: of an entity's information log2(N / n_e), a
+term with it in n_te of its n_t documents leaves -log2(n_te / n_t) bits, and
+gives the rest away (their pointwise mutual information). n_te / n_t is lowered
+by ERRORS standard errors with the different texts as evidence (copies count
+once), so that a term of one text leaves a whole bit, of two 0.58, of three
+0.42. A term that leaves at most REMOVE bits is removed wherever it stands in
+documents with that entity (kind ``reveal``), one that leaves at most GENERALISE
+(the entity is as likely as not) is generalised (kind ``hint``). Both limits mean the same in a corpus of any
+size. A term must also give away SHARE of the entity's information, or chance
+alone would mark the terms that go with an entity of very many documents. Terms
 are those of the whole text outside its pattern spans.
 
 DataFrame functions only.
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.spans import count_kind, joined, listed, matches, named, replaced
+from riskloom.llm.spans import count_kind, joined, listed, matches, named, rebuilt, replaced
 from riskloom.llm.store import stored
 
 # A match can only begin where its run begins or where the last match ended; with that said,
@@ -32,7 +35,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]{3,}+"
 KINDS = ("email", "ip", "card", "phone", "reveal", "hint")
 ERRORS = 1.0          # standard errors by which few texts lower an estimate
-REMOVE, GENERALISE = 0.8, 0.5
+REMOVE, GENERALISE = 0.5, 1.0   # bits of the entity that a term leaves open, at most
+SHARE = 0.5           # of the entity's information that a term gives away, at least
+SLOTS = 256           # maps over which a text's marked terms are dealt
+TERM_PART = 1024      # terms of a text that meet its entities under one key
 SHOWN = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "reveal": "", "hint": "[TERM]"}
 
 
@@ -66,14 +72,7 @@ def base_spans(text: Column) -> Column:
 
 def _blanked(text: Column, spans: Column) -> Column:
     """The text with every code point of the non-overlapping ``spans`` made a space."""
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        return F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(gap, F.repeat(F.lit(" "), x["e"] - x["s"])))
-                        .alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return rebuilt(text, spans, lambda x: F.repeat(F.lit(" "), x["e"] - x["s"]))
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -101,10 +100,12 @@ def _texts(found: DataFrame) -> DataFrame:
 def _pairs(found: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(key, copies, entity, term, n_t, n_e) of the entities and terms of every text.
 
-    Left out are only terms so frequent that their share stays under GENERALISE
-    even if all documents of the entity hold them, and entities of all documents.
+    Left out are only terms in so many documents that they leave more than
+    GENERALISE bits even if all documents of the entity hold them, and entities
+    of all documents. The terms of a long text meet its entities in parts, so
+    that a text of very many of both spreads over tasks.
     """
-    most = F.col("n_e") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    most = F.col("n_e") * (2.0 ** GENERALISE * (1 + 1e-9))
     with_entity = stored(texts.select("copies", F.explode("entities").alias("entity"))
                          .groupBy("entity").agg(F.sum("copies").alias("n_e"))
                          .where(F.col("n_e") < n).withColumn("most", most), "entities")
@@ -112,55 +113,63 @@ def _pairs(found: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     # documents of every term of the corpus, added up in each task before rows move or meet a candidate
     with_term = (found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
                  .where(F.col("n_t") <= top))
-    holds = texts.select("key", "copies", F.explode("entities").alias("entity")).join(with_entity, "entity")
-    terms = texts.select("key", F.explode("terms").alias("term")).join(with_term, "term")
-    return stored(holds.join(terms, "key").where("n_t <= most")
+    parts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("terms"), F.lit(1)) - 1) / TERM_PART).cast("int"))
+    holds = (texts.select("key", "copies", parts.alias("parts"), F.explode("entities").alias("entity"))
+             .join(with_entity, "entity").withColumn("part", F.explode("parts")).drop("parts"))
+    terms = (texts.select("key", F.posexplode("terms").alias("part", "term"))
+             .withColumn("part", F.floor(F.col("part") / TERM_PART).cast("int")).join(with_term, "term"))
+    return stored(holds.join(terms, ["key", "part"]).where("n_t <= most")
                   .select("key", "copies", "entity", "term", "n_t", "n_e"), "pairs")
 
 
 def disclosure(pairs: DataFrame, n: int, errors: float = ERRORS) -> DataFrame:
-    """(entity, term, share): how much of the entity's information the term gives away, over the whole corpus.
+    """(entity, term, contexts, bits, share): what the term leaves open and gives away of the entity's information.
 
     n_te / n_t is lowered by ``errors`` standard errors (Wilson's lower bound),
-    the texts that hold both being its evidence: few texts lower the share.
+    the texts that hold both (contexts) being its evidence: few texts leave more open.
     """
     p, z = F.col("n_te") / F.col("n_t"), F.lit(float(errors ** 2))
     trials = F.col("contexts") / p
     low = (p + z / (2 * trials) - F.sqrt(z * (p * (1 - p) / trials + z / (4 * trials * trials)))) / (1 + z / trials)
-    share = 1 + F.log2(low) / F.log2(F.lit(float(n)) / F.col("n_e"))
     return (pairs.groupBy("entity", "term")
             .agg(F.sum("copies").alias("n_te"), F.count("*").alias("contexts"), F.first("n_t").alias("n_t"),
                  F.first("n_e").alias("n_e"))
-            .select("entity", "term", "contexts", share.alias("share")))
+            .select("entity", "term", "contexts", (-F.log2(low)).alias("bits"),
+                    (1 + F.log2(low) / F.log2(F.lit(float(n)) / F.col("n_e"))).alias("share")))
 
 
-def _places(text: Column, kinds: Column) -> Column:
-    """Sorted array of struct(s, k, e, kind, m) of every mention of a term that ``kinds`` maps to its k."""
-    pieces = F.arrays_zip(F.split(text, TERM, -1).alias("gap"),
-                          F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,kind:string,m:string>>").alias("out"))
+def _slot(term: Column) -> Column:
+    return F.pmod(F.hash(term), F.lit(SLOTS))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        k = F.try_element_at(kinds, F.lower(x["hit"]))
-        one = F.struct(s.alias("s"), k.alias("k"), e.alias("e"),
-                       F.element_at(F.array(*map(F.lit, KINDS)), k + 1).alias("kind"), F.lit("").alias("m"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.when(k.isNull(), acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(one))).alias("out")))
+def _dealt(marked: DataFrame) -> DataFrame:
+    """(key, kinds) of rows (key, term, k): a map of slot to a map of term to k, as a map is searched entry by entry."""
+    return (marked.groupBy("key", _slot(F.col("term")).alias("slot"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("terms"))
+            .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("slot", "terms"))).alias("kinds")))
+
+
+def _places(text: Column, kinds: Column) -> Column:
+    """Sorted array of struct(s, k, e, kind, m) of every mention of a term in ``kinds`` (from ``_dealt``)."""
+    def mention(x: Column) -> Column:
+        term = F.lower(x["m"])
+        k = F.try_element_at(F.try_element_at(kinds, _slot(term)), term)
+        return F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    marked = F.filter(F.transform(matches(text, TERM, F.lit(True)), mention), lambda x: x["k"].isNotNull())
+    return F.transform(marked, lambda x: F.struct(
+        x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"),
+        F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1).alias("kind"), F.lit("").alias("m")))
 
 
 def _term_spans(found: DataFrame) -> DataFrame:
     """(key, more): the added spans of each text that has any, wherever in the text they stand."""
     n, texts = found.count(), _texts(found)
     pairs = _pairs(found, texts, n)
-    strong = disclosure(pairs, n).where(F.col("share") >= GENERALISE).drop("contexts")
-    kind = F.when(F.col("share") >= REMOVE, F.lit(4)).otherwise(F.lit(5))
-    kinds = (pairs.select("key", "entity", "term").join(strong, ["entity", "term"])
-             .groupBy("key", "term").agg(F.min(kind).alias("k"))
-             .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("kinds")))
+    strong = disclosure(pairs, n).where((F.col("bits") <= GENERALISE + 1e-9) & (F.col("share") >= SHARE)).drop("contexts")
+    kind = F.when(F.col("bits") <= REMOVE, F.lit(4)).otherwise(F.lit(5))
+    kinds = _dealt(pairs.select("key", "entity", "term").join(strong, ["entity", "term"])
+                   .groupBy("key", "term").agg(F.min(kind).alias("k")))
     return stored(texts.select("key", "rest").join(kinds, "key")
                   .select("key", _places(F.col("rest"), F.col("kinds")).alias("more")), "terms")
 
@@ -170,7 +179,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     ``spans`` lists kind:start:end (code points, end exclusive) of the pattern
     spans and of the added terms by start, then kind; ``base_sha256`` is the
-    digest of the pattern spans alone. Defined cases: a null or empty text has
+    digest of the pattern spans alone. A text is searched whole at any length;
+    n spans in it take time in proportion to n * sqrt(n). Defined cases: a null or empty text has
     no spans (digest of the empty string, spans empty); rows that repeat a
     doc_id or a text are answered each; a null doc_id stays null; an empty
     table gives no rows. Other columns are not read.

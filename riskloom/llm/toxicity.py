@@ -202,7 +202,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> D
     with it; a null doc_id is scored, not held out and never learned from; a
     doc_id labelled twice is toxic if any label says so, null labels are
     ignored; rows that repeat a doc_id are scored each; without labels of both
-    classes scores follow the evidence alone; an empty table gives no rows.
+    classes scores follow the evidence alone; very long texts are scored whole;
+    columns beyond those named are not read; an empty table gives no rows.
     """
     return _judged(docs, labels, order).select("doc_id", "held_out", "score", "predicted")
 
