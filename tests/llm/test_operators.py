@@ -484,9 +484,9 @@ def test_span_helpers_against_loops(spark):
 
 
 def test_a_long_text_of_very_many_spans(spark):
-    mails = [f"u{k}@corp{k % 50}.example" for k in range(100_000)]
+    mails = [f"u{k}@corp{k % 50}.example" for k in range(30_000)]
     text = " ".join(f"{m} talks about term{k:06d} in a long list" for k, m in enumerate(mails))
-    assert len(text) > 5_000_000
+    assert len(text) > 1_500_000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string").cache()
     df.count()
     began = time.time()
@@ -501,7 +501,7 @@ def test_a_long_text_of_very_many_spans(spark):
               .select(F.size(pii._places(F.col("text"), F.col("kinds"))).alias("n")).first()["n"])
     took = time.time() - began
     df.unpersist()
-    assert (got["n"], got["w"], got["secrets"], places) == (100_000, len(text), 0, marks)
+    assert (got["n"], got["w"], got["secrets"], places) == (30_000, len(text), 0, marks)
     assert took < 120, took
 
 
