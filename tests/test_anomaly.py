@@ -68,7 +68,7 @@ def test_isolation_forest_finds_planted(spark, planted):
 
 def test_autoencoder_flags_rate(spark, planted):
     scaled = minmax_scale(planted, COLS)
-    pdf = (autoencoder_flags(scaled, COLS, epochs=20, local_epochs=5)
+    pdf = (autoencoder_flags(scaled, COLS)
            .join(planted.select("id", "truth"), "id").toPandas())
     thr = np.percentile(pdf["ae_error"], 95)
     assert (pdf["ae_flag"] == (pdf["ae_error"] > thr).astype(int)).all()
@@ -125,3 +125,46 @@ def test_density_in_seven_dimensions_equals_brute_force(spark):
         core = near.sum(1) >= k
         assert got == {i: (bool(core[i]), int(not core[i] and not near[i][core].any())) for i in range(len(pts))}
         assert 0 < sum(f for _, f in got.values()) < len(pts)
+
+
+def test_autoencoder_weights_do_not_depend_on_partitioning(spark, planted):
+    from riskloom.operators.anomaly import autoencoder as AE
+    scaled = minmax_scale(planted, COLS)
+    w, seen = AE.train(scaled, COLS, epochs=3, batches=2, history=True)
+    again, _ = AE.train(scaled.repartition(7), COLS, epochs=3, batches=2)
+    assert w.tolist() == again.tolist()
+    assert [e for e, _, _ in seen] == [0, 1, 2, 3]
+    assert seen[-1][1] < seen[0][1] and seen[-1][2] < seen[0][2]
+
+
+def test_autoencoder_steps_equal_numpy(spark, planted):
+    """The same mini-batches on one machine, with the gradient by central differences, give the same weights."""
+    from riskloom.operators.anomaly import autoencoder as AE
+    scaled = minmax_scale(planted, COLS)
+    parts = scaled.select(*COLS, F.when(F.pmod(F.xxhash64("id", F.lit(42)), F.lit(100)) < 20, -1).otherwise(
+        F.pmod(F.xxhash64("id", F.lit(43)), F.lit(2))).alias("part")).toPandas()
+
+    def loss(w, X):
+        W1, b1, W2, b2 = AE._unflat(w, 3, 2)
+        out = 1 / (1 + np.exp(-(np.maximum(X @ W1 + b1, 0) @ W2 + b2)))
+        return ((out - X) ** 2).mean()
+
+    w = AE._flat(AE._init(3, 2, 42))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t, p in enumerate([0, 1, 0, 1], 1):
+        X = parts.loc[parts.part == p, list(COLS)].to_numpy()
+        g = np.array([(loss(w + e, X) - loss(w - e, X)) / 2e-6 for e in np.eye(len(w)) * 1e-6])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.033 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-7)
+    got, seen = AE.train(scaled, COLS, epochs=2, batches=2, history=True)
+    assert np.allclose(got, w, atol=1e-3)
+    assert seen[-1][2] == pytest.approx(loss(got, parts.loc[parts.part == -1, list(COLS)].to_numpy()), abs=1e-8)
+
+
+def test_detectors_with_nulls_and_repeated_ids(spark):
+    rows = [(i % 20, float(i), None if i % 7 == 0 else float(i * i % 13), 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows + [(99, float("nan"), 1.0, 1.0)], "id long, amount double, balance double, frequency double")
+    got = isolation_flags(df, COLS, n_trees=10, max_samples=8)
+    assert got.count() == 41 and got.filter("iforest_score IS NULL OR isnan(iforest_score)").count() == 0
+    flags = autoencoder_flags(df, COLS, epochs=1)
+    assert flags.count() == 41 and flags.filter("ae_error IS NULL").count() >= 5
