@@ -32,8 +32,9 @@ from riskloom.session import ship_package
 
 LEXICON_WORDS = 200_000
 COUNT_BINS = 100_000
-CHUNK = 1 << 21        # characters whose words are looked up together
-WORDS_HELD = 300_000   # words a task keeps before it hands on their counts, or merged words it remembers
+CHUNK = 1 << 20        # characters whose words are looked up together
+WORDS_HELD = 300_000   # words a task keeps before it hands on their counts
+FRAME_WORDS = 20_000   # words a frame of counts holds
 # characters on which every Unicode version agrees: NFC leaves them alone, classes are settled
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ſ]*")
 # the letters and numbers among them, after lower-casing (fixed values)
@@ -148,16 +149,19 @@ def load(path: str) -> Tokenizer:
 def _count_words(sent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, count = sent.value, Counter()
-        frame = lambda: pd.DataFrame({"word": list(count), "n": list(count.values())}, columns=["word", "n"])
+
+        def frames():
+            while count:   # in parts, so that words and their columns are not held twice
+                part = [count.popitem() for _ in range(min(FRAME_WORDS, len(count)))]
+                yield pd.DataFrame(part, columns=["word", "n"])
+
         for pdf in batches:
             for text in pdf["text"]:
                 if text:
                     count.update(tok.words(text))
                 if len(count) > WORDS_HELD:
-                    yield frame()
-                    count.clear()
-        if count:
-            yield frame()
+                    yield from frames()
+        yield from frames()
     return run
 
 
@@ -192,20 +196,24 @@ def _send_file(spark, block: bytes) -> str:
 class _Coder:
     """Ids and decoded text of words: transducer first, exact merges for the rest.
 
-    Remembers up to WORDS_HELD words between the chunks of a task.
+    Remembers words of the transducer between the chunks of a task; the others
+    are rare in the whole corpus and are forgotten with their chunk.
     """
 
     def __init__(self, tok: Tokenizer, lexicon: Lexicon):
         self.tok, self.lexicon = tok, lexicon
         self.ids: dict[str, str] = {}
         self.plain: dict[str, str] = {}
+        self.rare: list[str] = []
 
     def learn(self, words: set[str]) -> None:
-        if len(self.ids) > WORDS_HELD:
-            self.ids.clear()
-            self.plain.clear()
+        for w in self.rare:
+            del self.ids[w], self.plain[w]
+        self.rare = []
         new = [w for w in words if w not in self.ids]
         for w, n in zip(new, self.lexicon.numbers([w.encode() for w in new]).tolist()):
+            if n < 0:
+                self.rare.append(w)
             ids = self.lexicon.sequence(n) if n >= 0 else self.tok.merge(w)
             self.ids[w] = " ".join(map(str, ids))
             self.plain[w] = self.tok.decode(ids)
