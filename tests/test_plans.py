@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 Q = E.queries()
-NO_PYTHON = [n for n in Q if n not in ("iforest_flags", "ae_flags", "anomaly_overview",
+NO_PYTHON = [n for n in Q if n not in ("iforest_flags", "ae_flags", "ae_training", "anomaly_overview", "anomaly_overview_fixed",
                                        "stream_latest_kyc", "export_roundtrip", "nested_company_docs",
                                        "p95_threshold")]
 
