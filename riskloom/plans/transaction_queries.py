@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import join_nonempty
+from riskloom.operators import paging as PG
 from riskloom.operators import portfolio as P
 from riskloom.operators import transactions as X
 from riskloom.session import ensure_checkpoint_dir
@@ -58,6 +59,19 @@ def txn_newest(spark, d):
     return X.render_dates(newest)
 
 
+@query("txn_late_page", f"""
+    SELECT {_TXN_OUT_SQL}, CAST(rank AS BIGINT) AS position FROM (
+        SELECT *, row_number() OVER (ORDER BY transaction_date DESC, transaction_id DESC, transaction_amount DESC) - 1 AS rank
+        FROM dd_txn) WHERE rank BETWEEN 5000 AND 5019""", ("dd_txn",))
+def txn_late_page(spark, d):
+    """Page 250 of all transactions, newest first, out of ranked blocks."""
+    path = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    order = [F.col(c).desc() for c in ("transaction_date", "transaction_id", "transaction_amount")]
+    PG.write_pages(T.transactions(spark, d), order, path)
+    page = PG.read_page(spark, path, 20, 250).withColumnRenamed(PG.RANK, "position")
+    return X.render_dates(page.select("position", *[c for c in page.columns if c != "position"]))
+
+
 @query("txn_one_company", f"SELECT {_TXN_OUT_SQL} FROM dd_txn WHERE company_id = (SELECT min(company_id) FROM dd_txn)",
        ("dd_txn",))
 def txn_one_company(spark, d):

@@ -108,6 +108,34 @@ def test_page(spark):
     assert [r[0] for r in P.page(df, [F.col("id").desc()], 20, 1).collect()] == list(range(29, 9, -1))
 
 
+def test_ranked_pages_equal_a_sort_and_read_few_rows(spark, tmp_path):
+    from riskloom.operators import paging as PG
+    rows = [(i * 7919 % 5003, None if i % 11 == 0 else i % 3) for i in range(5003)]   # ties and nulls in b
+    df = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    want = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
+    order = [F.col("b").desc_nulls_first(), F.col("a")]
+    path = str(tmp_path / "pages")
+    PG.write_pages(df, order, path, block_rows=400)
+    for number in (0, 1, 19, 20, 133, 166):
+        got = PG.read_page(spark, path, 30, number, block_rows=400).orderBy(PG.RANK).collect()
+        assert [tuple(r)[:2] for r in got] == want[number * 30:(number + 1) * 30]
+        assert [r[PG.RANK] for r in got] == list(range(number * 30, min((number + 1) * 30, 5003)))
+    assert PG.read_page(spark, path, 30, 10_000, block_rows=400).count() == 0
+    # every block but the last holds block_rows rows: a page touches at most two blocks
+    sizes = spark.read.parquet(path).groupBy(PG.BLOCK).count().orderBy(PG.BLOCK).collect()
+    assert [r["count"] for r in sizes] == [400] * 12 + [203]
+    plan = PG.read_page(spark, path, 30, 133, block_rows=400)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "__block" in plan and "Exchange" not in plan
+
+
+def test_ranked_pages_of_equal_rows_and_no_rows(spark, tmp_path):
+    from riskloom.operators import paging as PG
+    same = spark.range(1000).select(F.lit(1).alias("a"))
+    ranks = [r[PG.RANK] for r in PG.ranked(same, [F.col("a")], piece_rows=100).orderBy(PG.RANK).collect()]
+    assert ranks == list(range(1000))
+    assert PG.ranked(same.limit(0), [F.col("a")]).count() == 0
+
+
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
