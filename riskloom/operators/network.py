@@ -5,13 +5,14 @@ name, with company-party edges. Same-name parties merge into one node: the
 type is the last one added (PSC over officer), the officer role and control
 natures come from the last officer/PSC with that name.
 
-Everything is a group-by on (company, name), partially aggregated map-side, so
-a company with a very large register is spread over many tasks.
+Nodes and edges are group-bys on (company, name), so a company with a very large
+register is spread over many tasks; only the count of its nodes sorts the merged
+nodes by company, and spills what one task cannot hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.screening import flag_hits
@@ -64,13 +65,15 @@ def ownership_nodes(profiles: DataFrame, officers: DataFrame, pscs: DataFrame,
                     F.coalesce("own_hit", F.lit(False)).alias("leak_hit")))
     allrows = comp.unionByName(parties.select(comp.columns))
     key = F.struct("ord", "pos")
-    nodes = allrows.groupBy("company_number", "name").agg(
+    # dealt before they are grouped: names seldom repeat in a company, and sorting them for a partial
+    # aggregate as well would hold them once more in the tasks that read the parties
+    nodes = allrows.repartition("company_number", "name").groupBy("company_number", "name").agg(
         F.max_by("node_type", key).alias("node_type"),
         F.max_by("role", F.when(F.col("role").isNotNull(), key)).alias("role"),
         F.max_by("noc", F.when(F.col("noc").isNotNull(), key)).alias("noc"),
         F.max_by("leak_hit", key).alias("leak_hit"))
-    size = (nodes.groupBy("company_number").agg(F.count(F.lit(1)).alias("n_nodes"))
-            .filter(F.col("n_nodes") >= 2).select("company_number"))
+    # a graph needs two nodes; counted beside the nodes, so that the parties are not read and grouped again
+    size = F.count(F.lit(1)).over(Window.partitionBy("company_number"))
     t, leak = F.col("node_type"), F.col("leak_hit")
     node_class = F.when(leak, "leak").when(t == "company", "company").when(t == "officer", "officer") \
         .otherwise("psc")
@@ -79,7 +82,7 @@ def ownership_nodes(profiles: DataFrame, officers: DataFrame, pscs: DataFrame,
                      F.when(F.col("role") != "", F.concat(F.lit(" | Role: "), F.col("role"))).otherwise(""),
                      F.when(F.col("noc") != "", F.concat(F.lit(" | Control: "), F.col("noc"))).otherwise(""),
                      F.when(leak, F.lit(" | LEAK HIT")).otherwise(""))
-    return (nodes.join(size, "company_number", "left_semi")
+    return (nodes.filter(F.col("company_number").isNotNull()).withColumn("n_nodes", size).filter(F.col("n_nodes") >= 2)
             .select("company_number", "name", "node_type", "role", "noc", "leak_hit",
                     node_class.alias("node_class"),
                     F.when(is_company, NODE_SIZE["company"]).when(leak, NODE_SIZE["leak"])

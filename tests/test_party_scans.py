@@ -44,3 +44,20 @@ def test_hits_are_counted_and_listed_in_one_pass(spark):
     got = {r["company_number"]: (r["n_hits"], r["hit_names"]) for r in agg.collect()}
     assert got == {1: (n + 1, ", ".join(f"n{i}" for i in range(K.LEAK_NAMES))), 2: (1, "")}
     assert plan(agg).count("Repartition") == 1 and "Join" not in plan(agg)
+
+
+def test_nodes_are_counted_beside_themselves(spark):
+    from riskloom.operators import network as N
+    prof = spark.createDataFrame([(1, "One"), (2, "Two"), (3, "Three"), (None, "None")], "company_number long, company_name string")
+    off = spark.createDataFrame([(1, 1, "A", "director"), (1, 2, "A", "secretary"), (2, 1, "Two", "director"), (None, 1, "B", "x"),
+                                 (4, 1, "C", "x"), (4, 2, None, "x")], "company_number long, pos long, name string, officer_role string")
+    psc = spark.createDataFrame([(1, 1, "A", ["v"])], "company_number long, pos long, name string, natures_of_control array<string>")
+    leaked = spark.createDataFrame([(" a ",)], "name string")
+    nodes = N.ownership_nodes(prof, off, psc, leaked)
+    got = sorted((r["company_number"], r["name"], r["node_type"], r["role"], r["noc"], r["leak_hit"]) for r in nodes.collect())
+    # companies 2 and 3 have one node; 4 has no profile; a null number is no company
+    assert got == [(1, "A", "psc", "secretary", "v", True), (1, "One", "company", None, None, False),
+                   (4, "C", "officer", "x", None, False), (4, "Unknown", "officer", "x", None, False)]
+    # merged once, after they are dealt: no second reading of the parties for the counts
+    text = plan(nodes)
+    assert "LeftSemi" not in text and text.count("max_by(node_type") == 1 and "RepartitionByExpression [company_number" in text
