@@ -2,7 +2,11 @@
 
 ``mention_pairs(posts, names)`` returns every (company, post) with
 ``contains(lower(post), lower(name))`` — the reference's ``LIKE '%name%'``
-with the name taken literally — computed as a *vocabulary join*:
+with the name taken literally. The posts stream past the names, held in an automaton
+(``keywords.keyword_matches``): neither tokens nor texts are shuffled, nothing
+is written but the pairs. Each million characters of names read the posts once
+more; beyond ``PASSES`` of them the pairs come from a *vocabulary join*, whose
+shuffles and candidates take several times the posts on disk:
 
 1. Texts become (post, token) rows: distinct whitespace-split tokens of the
    lower-cased text (``\\s+``, the same split used for names).
@@ -42,6 +46,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions.text import python_title
 from riskloom.operators.joins import broadcast_limit, join_bounded, measured_bytes
+from riskloom.operators.keywords import SLICE_CHARS, keyword_matches
 from riskloom.session import cut_lineage
 
 # The five fraud keywords of the keyword panel, its labels, and
@@ -55,6 +60,7 @@ BADGE_GOOD, BADGE_BAD = "success", "danger"
 
 WS = r"\s+"
 PREFIX_KEY_LEN = 8      # prefix/suffix keys use at most this many leading chars
+PASSES = 16             # up to so many automata read the posts one after the other; more names take the vocabulary join
 RUN_POSTS = 100         # a name whose rarest run is in more posts is looked up by two neighbouring runs
 GRAM_LEN = 3            # substring keys use a gram of at most this many chars
 
@@ -224,13 +230,9 @@ def candidate_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_co
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_content",
-                  name_col: str = "company_name") -> DataFrame:
-    """Exact (company_id, post_id) pairs where the post contains the company name."""
+def _pairs_by_vocabulary(posts: DataFrame, names: DataFrame, text_col: str, name_col: str) -> DataFrame:
+    """The pairs by the vocabulary join; every post has an id, some name is not empty."""
     cand = candidate_pairs(posts, names, text_col, name_col)
-    if cand is None:
-        return posts.sparkSession.createDataFrame(
-            [], T.StructType([names.schema["company_id"], posts.schema["post_id"]]))
     # verify against the whole text; the candidates are broadcast when measured small,
     # so the texts are streamed instead of shuffled, and only candidate posts are lower-cased
     # a post is lower-cased once, not once per candidate
@@ -240,6 +242,35 @@ def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_cont
             .select("company_id", "post_id").distinct())
 
 
+def mention_pairs(posts: DataFrame, names: DataFrame, text_col: str = "post_content",
+                  name_col: str = "company_name") -> DataFrame:
+    """Exact (company_id, post_id) pairs where the post contains the company name, each once."""
+    spark = posts.sparkSession
+    owned = cut_lineage(names.select("company_id", F.lower(F.col(name_col)).alias("name_l"))
+                        .filter(F.col("name_l") != "").distinct())
+    each = owned.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("name_l")).alias("chars"))
+    chars, most = each.agg(F.sum("chars"), F.max("n")).first()
+    if not chars:
+        return spark.createDataFrame([], T.StructType([names.schema["company_id"], posts.schema["post_id"]]))
+    posts = posts.filter(F.col("post_id").isNotNull())
+    if chars > PASSES * SLICE_CHARS:
+        return _pairs_by_vocabulary(posts, names, text_col, name_col)
+
+    def found(some: DataFrame) -> DataFrame:
+        hits = keyword_matches(some, owned, ["post_id"], text_col, "name_l").withColumnRenamed("keyword", "name_l")
+        return join_bounded(hits, owned, "name_l").select("company_id", "post_id")
+
+    # a text gives a name once: only posts that share an id, and companies of several names, can repeat a pair
+    shared = cut_lineage(posts.groupBy("post_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("post_id"))
+    size = measured_bytes(shared)
+    if most > 1 or size > broadcast_limit(posts):
+        return found(posts).distinct()
+    if not size:
+        return found(posts)
+    shared = F.broadcast(shared)
+    return found(posts.join(shared, "post_id", "left_anti")).unionByName(found(posts.join(shared, "post_id", "left_semi")).distinct())
+
+
 def mention_posts(pairs: DataFrame, posts: DataFrame) -> DataFrame:
     """Join the pairs back to the post rows (pairs broadcast when measured small)."""
     return join_bounded(posts, pairs, "post_id")

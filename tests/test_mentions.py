@@ -187,3 +187,30 @@ def test_pairs_of_runs_equal_nested_loop(spark, monkeypatch, limit):
         assert run(spark, posts, names) == brute(posts, names)
     finally:
         spark.conf.unset("riskloom.broadcast.maxBytes")
+
+
+@pytest.mark.parametrize("passes", [16, 0])
+@pytest.mark.parametrize("limit", ["268435456", "0"])
+def test_automaton_and_vocabulary_join_give_each_pair_once(spark, monkeypatch, passes, limit):
+    from riskloom.operators import mentions as M
+    monkeypatch.setattr(M, "PASSES", passes)
+    spark.conf.set("riskloom.broadcast.maxBytes", limit)
+    try:
+        # posts that share an id, one without, a company of two names, two companies of one name
+        posts = POSTS + [(1, "Acme Holdings Ltd again, with Beta-Corp"), (3, "acme   holdings"), (None, "gamma")]
+        names = NAMES + [(12, "Gamma"), (30, "acme holdings")]
+        p = spark.createDataFrame(posts, "post_id long, post_content string")
+        n = spark.createDataFrame(names, "company_id long, company_name string")
+        got = [tuple(r) for r in mention_pairs(p, n).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {x for x in brute(posts, names) if x[1] is not None}
+    finally:
+        spark.conf.unset("riskloom.broadcast.maxBytes")
+
+
+def test_posts_are_read_without_a_shuffle_of_tokens_or_pairs(spark):
+    p = spark.createDataFrame(POSTS, "post_id long, post_content string")
+    n = spark.createDataFrame(NAMES, "company_id long, company_name string")
+    plan = mention_pairs(p, n)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    assert not any(x in plan for x in ("Generate", "Aggregate", "Window", "Distinct"))
