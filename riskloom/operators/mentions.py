@@ -288,7 +288,7 @@ def mentions_with_sentiment(posts: DataFrame, names: DataFrame, text_col: str =
     from riskloom.operators.sentiment import post_valence_sums, score_column
     if "company_id" in posts.columns:   # the poster's own company, not the mentioned one
         posts = posts.withColumnRenamed("company_id", "post_company_id")
-    pairs = mention_pairs(posts, names, text_col, name_col)
+    pairs = cut_lineage(mention_pairs(posts, names, text_col, name_col))   # read twice
     mentioned = join_bounded(posts, pairs.select("post_id").distinct(), "post_id", "left_semi")
     small = pairs.join(post_valence_sums(mentioned, text_col), "post_id", "left")
     return (join_bounded(posts, small, "post_id")

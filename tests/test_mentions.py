@@ -214,3 +214,12 @@ def test_posts_are_read_without_a_shuffle_of_tokens_or_pairs(spark):
     plan = mention_pairs(p, n)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
     assert not any(x in plan for x in ("Generate", "Aggregate", "Window", "Distinct"))
+
+
+def test_pairs_are_found_once_for_the_sentiments(spark):
+    from riskloom.operators.mentions import mentions_with_sentiment
+    p = spark.createDataFrame(POSTS, "post_id long, post_content string")
+    n = spark.createDataFrame(NAMES, "company_id long, company_name string")
+    rows = mentions_with_sentiment(p, n)
+    assert {(r["company_id"], r["post_id"]) for r in rows.collect()} == brute(POSTS, NAMES)
+    assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
