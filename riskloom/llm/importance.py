@@ -33,6 +33,7 @@ SMOOTH = 16.0            # added to every count, so that n-grams of few texts we
 SLICE = 1 << 23          # buckets whose weights one scoring pass broadcasts (4 bytes each)
 SMALLEST = 4096          # smallest hashes from which distinct n-grams are estimated (standard error 1.6 %)
 HELD = 1 << 21           # n-grams a task gathers before it hands on their counts
+WIDTH = 1 << 16          # least buckets whose counts are handed on together
 _PAIR = U(0xC2B2AE3D27D4EB4F)
 
 
@@ -65,14 +66,37 @@ def buckets_for(docs: DataFrame) -> int:
     return max(LEAST, 1 << (max(1, n) - 1).bit_length())
 
 
+def _width(buckets: int) -> int:
+    """Buckets whose counts are handed on and added together."""
+    return max(WIDTH, buckets >> 12)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones, and so on: mostly zeros, which the shuffle's compression removes."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes.as_buffer(), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _count(buckets: int):
+    width = _width(buckets)
+
     def added(held: list[tuple[np.ndarray, bool]]) -> pa.RecordBatch:
         every = np.concatenate([g for g, _ in held])
         good = np.repeat([x for _, x in held], [len(g) for g, _ in held])
         used, at = np.unique(every, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.bincount(at, minlength=len(used))),
-                                           pa.array(np.bincount(at[good], minlength=len(used)))],
-                                          names=["bucket", "raw", "target"])
+        raw, target = np.bincount(at, minlength=len(used)), np.bincount(at[good], minlength=len(used))
+        part = used // width
+        ends = [*(np.flatnonzero(np.diff(part)) + 1), len(used)]
+        rows, first = [], 0
+        for end in ends:
+            rows.append((part[first], _planes(np.diff(used[first:end], prepend=part[first] * width)),
+                         _planes(raw[first:end]), _planes(target[first:end])))
+            first = end
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 3))],
+                                          names=["part", "steps", "raw", "target"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -89,6 +113,30 @@ def _count(buckets: int):
     return run
 
 
+def _summed(buckets: int):
+    width = _width(buckets)
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        raw, target = np.zeros(width, np.int64), np.zeros(width, np.int64)
+        for steps, r, t in zip(rows.column("steps"), rows.column("raw"), rows.column("target")):
+            at = np.cumsum(_numbers(steps))   # each bucket once
+            raw[at] += _numbers(r)
+            target[at] += _numbers(t)
+        used = np.flatnonzero(raw)
+        return pa.table({"bucket": used + key[0].as_py() * width, "raw": raw[used], "target": target[used]})
+    return run
+
+
+def bucket_counts(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, raw, target): n-grams of ``rows`` (text, good) in each used bucket, of all and of good texts.
+
+    A task hands on its counts by ranges of buckets, as the steps from one used bucket to the next and the
+    counts, in place of a row for each bucket.
+    """
+    return (rows.mapInArrow(_count(buckets), "part long, steps binary, raw binary, target binary")
+            .groupBy("part").applyInArrow(_summed(buckets), "bucket long, raw long, target long"))
+
+
 def _weigh(sent, first: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = sent.value
@@ -149,10 +197,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     if labels.count() <= LABELS_BROADCAST:
         known = F.broadcast(known)
     buckets = buckets_for(docs)
-    counts = stored(docs.join(known, "doc_id", "left")
-                    .select("text", F.coalesce(F.col("good") == 1, F.lit(False)).alias("good"))
-                    .mapInArrow(_count(buckets), "bucket long, raw long, target long")
-                    .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "counts")
+    counts = stored(bucket_counts(docs.join(known, "doc_id", "left")
+                                  .select("text", F.coalesce(F.col("good") == 1, F.lit(False)).alias("good")), buckets), "counts")
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
     # the raw counts are scaled to the target's total and smoothed alike, so that n-grams
     # of few texts, which are most of them, have ratios near 1 in place of noise
