@@ -30,7 +30,9 @@ from riskloom.session import ship_package
 
 LEAST = 1 << 14          # buckets of a small corpus
 SMOOTH = 16.0            # added to every count, so that n-grams of few texts weigh little
-SLICE = 1 << 23          # buckets whose weights one scoring pass broadcasts (4 bytes each)
+SLICE = 1 << 25          # buckets whose weights one scoring pass broadcasts (a byte each, and the rare weights)
+PIECE = 1 << 23          # buckets whose weights come to the driver at once
+ODD = 255                # the byte of a weight that is not among the most frequent
 SMALLEST = 4096          # smallest hashes from which distinct n-grams are estimated (standard error 1.6 %)
 HELD = 1 << 21           # n-grams a task gathers before it hands on their counts
 WIDTH = 1 << 16          # least buckets whose counts are handed on together
@@ -139,26 +141,49 @@ def bucket_counts(rows: DataFrame, buckets: int) -> DataFrame:
 
 def _weigh(sent, first: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = sent.value
+        codes, table, odd_at, odd = sent.value
         for b in batches:
             out = np.zeros(len(b))
             for i, g in _ngrams(b.column("text")):
                 at = (g & U(buckets - 1)).astype(np.int64) - first
-                out[i] = ratio[at if len(ratio) == buckets else at[(at >= 0) & (at < len(ratio))]].sum(dtype=float)
+                if len(codes) < buckets:
+                    at = at[(at >= 0) & (at < len(codes))]
+                code = codes[at]
+                weight, rare = table[code], code == ODD
+                weight[rare] = odd[np.searchsorted(odd_at, at[rare].astype(np.int32))]
+                out[i] = weight.sum(dtype=float)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(out)],
                                              names=["row", "doc_id", "log_weight"])
     return run
 
 
+def _coded(ratios: DataFrame, first: int, size: int, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Weights of ``size`` buckets: a byte for each (0: none), the weights of the bytes, and the rare ones by bucket."""
+    codes, table, odd_at, odd = np.zeros(size, np.uint8), np.zeros(ODD + 1, np.float32), [], []
+    table[1:len(common) + 1] = common
+    for start in range(first, first + size, PIECE):
+        part = ratios.where(F.col("bucket").between(start, min(start + PIECE, first + size) - 1)).toArrow()
+        at, llr = part.column("bucket").to_numpy() - first, part.column("llr").to_numpy()
+        place = np.minimum(np.searchsorted(common, llr), len(common) - 1)
+        rare = common[place] != llr
+        codes[at] = np.where(rare, ODD, place + 1)
+        odd_at.append(at[rare].astype(np.int32))
+        odd.append(llr[rare])
+    odd_at, odd = np.concatenate(odd_at), np.concatenate(odd)
+    order = np.argsort(odd_at)
+    return codes, table, odd_at[order], odd[order]
+
+
 def _weights(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, log_weight) of every row of ``docs``; one pass over the texts for every SLICE buckets, sums added."""
     spark, parts = docs.sparkSession, None
     docs = docs.withColumn("row", F.monotonically_increasing_id())
+    # most buckets hold few n-grams, so that few different weights are most of them
+    often = ratios.groupBy("llr").count().orderBy(F.desc("count"), "llr").limit(ODD - 1).toArrow()
+    common = np.sort(often.column("llr").to_numpy())
     for first in range(0, buckets, SLICE):
-        ratio = np.zeros(min(SLICE, buckets), np.float32)
-        part = ratios.where(F.col("bucket").between(first, first + SLICE - 1)).toArrow()
-        ratio[part.column("bucket").to_numpy() - first] = part.column("llr").to_numpy()
-        got = docs.mapInArrow(_weigh(spark.sparkContext.broadcast(ratio), first, buckets),
+        sent = spark.sparkContext.broadcast(_coded(ratios, first, min(SLICE, buckets), common))
+        got = docs.mapInArrow(_weigh(sent, first, buckets),
                               "row long, doc_id long, log_weight double")
         parts = got if parts is None else parts.unionByName(got)
     if buckets > SLICE:

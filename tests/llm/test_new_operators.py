@@ -259,3 +259,17 @@ def test_bucket_counts_leave_a_task_as_ranges_not_rows(spark, monkeypatch):
     x = importance.np.array([0, 1, 255, 256, 65535, (1 << 32) - 1])
     import pyarrow as pa
     assert importance._numbers(pa.scalar(importance._planes(x), pa.binary())).tolist() == x.tolist()
+
+
+def test_weights_are_sent_as_bytes(spark, monkeypatch):
+    from riskloom.llm import importance
+    np = importance.np
+    llr = {7 * k: np.float32(k % 3 if k < 900 else k / 7) for k in range(1000)}
+    df = spark.createDataFrame([(b, float(x)) for b, x in llr.items()], "bucket long, llr double").selectExpr("bucket", "float(llr) llr")
+    monkeypatch.setattr(importance, "PIECE", 1000)
+    codes, table, odd_at, odd = importance._coded(df, 0, 8192, np.array([0, 1, 2], np.float32))
+    got = table[codes]
+    got[odd_at] = odd
+    assert codes.dtype == np.uint8 and len(odd) == 100 and (codes == importance.ODD).sum() == 100
+    assert {b: got[b] for b in llr} == llr
+    assert not got[[b for b in range(8192) if b not in llr]].any()
