@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.store import dropped, stored
-from riskloom.llm.transducer import Lexicon, compile_lexicon
+from riskloom.llm.transducer import Lexicon, compile_sorted
 from riskloom.session import ship_package
 
 LEXICON_WORDS = 200_000
@@ -165,6 +166,13 @@ def _count_words(sent):
     return run
 
 
+def _merge_words(sent):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"word": pdf["word"].str.encode("utf-8"), "ids": pdf["word"].map(sent.value.merge)})
+    return run
+
+
 def build_lexicon(docs: DataFrame, sent, size: int = LEXICON_WORDS) -> bytes:
     """Transducer of the most frequent words of all documents: all with a count that at most ``size`` words reach."""
     counts = stored(docs.select("text").mapInPandas(_count_words(sent), "word string, n long")
@@ -177,10 +185,12 @@ def build_lexicon(docs: DataFrame, sent, size: int = LEXICON_WORDS) -> bytes:
         if held > size:
             break
         least = r["n"]
-    tok = sent.value
-    top = counts.where(F.col("n") >= least).select("word").collect()
+    # merged by tasks; the driver gets words and ids as Arrow columns, not as a row object for each word
+    top = (counts.where((F.col("n") >= least) & (F.col("word") != "")).select("word")
+           .mapInPandas(_merge_words(sent), "word binary, ids array<int>").toArrow().sort_by("word").combine_chunks())
     dropped(counts)
-    return compile_lexicon({w.encode(): tok.merge(w) for w in (r["word"] for r in top)})
+    ids = pc.list_flatten(top["ids"]).to_numpy()
+    return compile_sorted(top["word"].to_pylist(), np.cumsum([0, *pc.list_value_length(top["ids"]).to_numpy()]), ids)
 
 
 def _send_file(spark, block: bytes) -> str:

@@ -17,8 +17,10 @@ Every pair of texts with ``100 * |A n B| >= percent * |A u B|`` is found:
   orders still leaves enough to share (so that one of the two, the smaller,
   has the key in the yet shorter prefix that partners no smaller need).
   Candidates between sets already connected are not tested. Star rounds test every set against one other of its lists
-  (never all pairs of a list); what is left after them, between different
-  components, is then tested pair by pair. Of each set 256 bits are kept, which
+  (never all pairs of a list), of those that stand for its lists the one most
+  alike. After each, the components of all links found are the labels, and lists
+  within one label are done. What is left between different components is then
+  tested pair by pair. Of each set 256 bits are kept, which
   tell for 256 hash classes whether it has an odd number of members there. Where
   two sets' bits differ, the class holds a member of one set only, so pairs that
   differ in more bits than linked sets have members of one only are no
@@ -49,7 +51,7 @@ from riskloom.session import ship_package
 SKETCH_BITS = 20
 BLOCK_BITS = 16
 SIZE_BINS = 4096
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
 ODD = ("odd0", "odd1", "odd2", "odd3")
 VERIFY_BYTES = 4 << 20   # of texts that a task compares at once
 
@@ -211,6 +213,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         conf.unset(name) if before is None else conf.set(name, before)
 
 
+def _may(percent: int) -> tuple:
+    """Conditions on a candidate: what stands before the key leaves enough to share; the sets' bits allow a link."""
+    # two sets of n and m shingles link only if they share ``both`` of them
+    both = f"ceil({percent} * (n + m) / {100 + percent})"
+    differ = " + ".join(f"coalesce(bit_count({c} ^ their_{c}), 0)" for c in ODD)
+    return (F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and slack <= n - {both} and others <= m - {both}"),
+            F.expr(f"{differ} <= n + m - 2 * {both}"), F.expr(differ))
+
+
+def _theirs(rows: DataFrame, node: str = "node") -> DataFrame:
+    return rows.select(F.col(node).alias("other"), *(F.col(c).alias(f"their_{c}") for c in ODD))
+
+
+def _star_pairs(act: DataFrame, bits: DataFrame, tested: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """(a, b): for every set the untested one, by the bits most alike, of those that stand for its lists in this turn."""
+    may, alike, differ = _may(percent)
+    # the smallest set at first, then another one for each list, so that a set meets many of a large group
+    order = F.col("node") if turn == 0 else F.xxhash64("node", "sig", F.lit(turn))
+    hub = act.groupBy("sig").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.min_by(F.struct("node", "n", "slack", "label"), F.when(F.col("first"), order)).alias("hub")) \
+        .where("lo < hi").select("sig", F.col("hub.node").alias("other"), F.col("hub.n").alias("m"),
+                                 F.col("hub.slack").alias("others"), F.col("hub.label").alias("theirs"))
+    cand = (act.join(hub, "sig").where("label <> theirs").where(may).select("node", "other", "n", "m").distinct()
+            .withColumns({"a": F.least("node", "other"), "b": F.greatest("node", "other")}))
+    if tested is not None:
+        cand = cand.join(tested, ["a", "b"], "left_anti")
+    cand = cand.join(bits, "node", "left").join(_theirs(bits), "other", "left").where(alike)
+    return (cand.groupBy("node").agg(F.min(F.struct(differ.alias("differ"), "a", "b")).alias("p"))
+            .select("p.a", "p.b").distinct())
+
+
+def _all_pairs(act: DataFrame, bits: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): the untested pairs of sets that are not yet connected."""
+    may, alike, _ = _may(percent)
+    act = act.join(bits, "node", "left")
+    left = act.where("first").select("sig", F.col("node").alias("other"), F.col("n").alias("m"),
+                                     F.col("slack").alias("others"), F.col("label").alias("theirs"),
+                                     *(F.col(c).alias(f"their_{c}") for c in ODD))
+    pairs = (act.join(left, "sig").where("label <> theirs and m <= n").where(may).where(alike)
+             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+
+
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id long, text): doc_id, n_shingles, component_id.
 
@@ -253,55 +299,34 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     texts = stored(docs.join(active.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
                    .select(F.col("doc_id").alias("node"), "text").distinct(), "texts")
 
-    # two sets of n and m shingles link only if they share ``both`` of them
-    both = f"ceil({percent} * (n + m) / {100 + percent})"
-    may = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and slack <= n - {both} and others <= m - {both}")
-    labels = active.select("node").distinct().withColumn("label", F.col("node"))
-    links = tested = None
-    for turn in range(STAR_ROUNDS + 1):
-        act = active.join(labels, "node") if turn else active.withColumn("label", F.col("node"))
-        if turn < STAR_ROUNDS:
-            order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            hub = act.groupBy("sig").agg(
-                F.min("label").alias("lo"), F.max("label").alias("hi"),
-                F.min_by(F.struct("node", "n", "slack", "label"), F.when(F.col("first"), order)).alias("hub")) \
-                .where("lo < hi").select("sig", F.col("hub.node").alias("other"), F.col("hub.n").alias("m"),
-                                         F.col("hub.slack").alias("others"), F.col("hub.label").alias("theirs"))
-            cand = (act.join(hub, "sig").where("label <> theirs").where(may)
-                    .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "node"))
-            if tested is not None:
-                cand = cand.join(tested, ["a", "b"], "left_anti")
-            # one test for every set and round: most others are connected by then
-            pairs = (cand.groupBy("node").agg(F.min(F.struct("a", "b")).alias("p"))
-                     .select("p.a", "p.b").distinct())
-        else:
-            # repeated ids of other sets: no bits, which rule nothing out
-            bits = nodes.groupBy("node").agg(F.count("*").alias("sets"), *(F.max(c).alias(c) for c in ODD)) \
-                .where("sets = 1").drop("sets")
-            act = act.join(bits, "node", "left")
-            left = act.where("first").select("sig", F.col("node").alias("other"), F.col("n").alias("m"),
-                                             F.col("slack").alias("others"), F.col("label").alias("theirs"),
-                                             *(F.col(c).alias(f"their_{c}") for c in ODD))
-            differ = " + ".join(f"coalesce(bit_count({c} ^ their_{c}), 0)" for c in ODD)
-            pairs = (act.join(left, "sig").where("label <> theirs and m <= n").where(may)
-                     .where(f"{differ} <= n + m - 2 * {both}")
-                     .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    # repeated ids of other sets: no bits, which rule nothing out
+    bits = stored(nodes.join(texts.select("node").distinct(), "node", "left_semi")
+                  .groupBy("node").agg(F.count("*").alias("sets"), *(F.max(c).alias(c) for c in ODD))
+                  .where("sets = 1").drop("sets"), "bits")
+    links = tested = comp = None
+    act, turn = active.withColumn("label", F.col("node")), 0
+    while turn <= STAR_ROUNDS:
+        pairs = _star_pairs(act, bits, tested, turn, percent) if turn < STAR_ROUNDS else _all_pairs(act, bits, tested, percent)
         pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
         found = _verified(pairs, texts, width, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if found.isEmpty():
+            # the lists' samples are at an end: what is left is tested pair by pair
+            turn = max(turn + 1, STAR_ROUNDS)
+            continue
         links = found if links is None else links.unionByName(found)
+        # sets connected so far have one label, and lists within a label are done
+        comp = components(links)
         if turn < STAR_ROUNDS:
-            # equal labels say connected; a step towards the smallest is enough to skip tests
-            ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            step = (ends.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
-                    .agg(F.min("label").alias("low")))
-            labels = stored(labels.join(step, "node", "left")
-                            .select("node", F.least("label", F.coalesce("low", "label")).alias("label")), "labels")
-    comp = (components(links) if links is not None else nodes.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0))
+            act = (act.join(comp.select(F.col("id").alias("node"), "component"), "node", "left")
+                   .withColumn("label", F.coalesce("component", "label")).drop("component"))
+            mixed = (act.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("first").alias("first"))
+                     .where("lo < hi and first").select("sig"))
+            left = stored(act.join(mixed, "sig", "left_semi"), "active")
+            dropped(active)
+            act = active = left
+        turn += 1
+    comp = comp if comp is not None else nodes.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0)
     labels = comp.select(F.col("id").alias("node"), F.col("component").alias("label"))
     by_digest = (nodes.join(labels, "node", "left")
                  .select("d1", "d2", F.col("n").alias("n_of"), F.coalesce("label", "node").alias("component_id")))

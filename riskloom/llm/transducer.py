@@ -8,20 +8,34 @@ arrays together, one byte a step.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
-def _minimal(words: list[bytes]) -> tuple[list[dict[int, int]], list[bool]]:
-    edges: list[dict[int, int]] = [{}]
+def _minimal(words: list[bytes]) -> tuple[list, list[bool]]:
+    """Each state's transitions (byte, state, byte, state, ...) in order of bytes, and whether a word ends there.
+
+    Words come sorted. A state that turns out to equal another is given up and
+    its place used again, so that no more are held than the result has, and one word's.
+    """
+    edges: list = [[]]
     final = [False]
+    free: list[int] = []
     register: dict[tuple, int] = {}
-    path: list[tuple[int, int, int]] = []  # (state, byte, child) not yet merged
+    path: list[int] = []  # states of the last word, below the start, not yet merged
 
     def merge(depth: int) -> None:
         while len(path) > depth:
-            state, byte, child = path.pop()
-            same = register.setdefault((final[child], *edges[child].items()), child)
-            edges[state][byte] = same
+            child = path.pop()
+            key = (final[child], *edges[child])
+            same = register.setdefault(key, child)
+            if same == child:
+                edges[child] = key[1:]
+            else:
+                edges[child] = None
+                free.append(child)
+                edges[path[-1] if path else 0][-1] = same
 
     last = b""
     for w in words:
@@ -31,13 +45,17 @@ def _minimal(words: list[bytes]) -> tuple[list[dict[int, int]], list[bool]]:
         while k < min(len(w), len(last)) and w[k] == last[k]:
             k += 1
         merge(k)
-        state = path[-1][2] if path else 0
+        state = path[-1] if path else 0
         for byte in w[k:]:
-            edges.append({})
-            final.append(False)
-            child = len(edges) - 1
-            edges[state][byte] = child
-            path.append((state, byte, child))
+            if free:
+                child = free.pop()
+                edges[child], final[child] = [], False
+            else:
+                child = len(edges)
+                edges.append([])
+                final.append(False)
+            edges[state] += byte, child
+            path.append(child)
             state = child
         final[state] = True
         last = w
@@ -48,10 +66,16 @@ def _minimal(words: list[bytes]) -> tuple[list[dict[int, int]], list[bool]]:
 def compile_lexicon(ids_of: dict[bytes, list[int]]) -> bytes:
     """The transducer of all words as one block: a header of lengths, then int64 arrays."""
     words = sorted(w for w in ids_of if w)
+    return compile_sorted(words, np.cumsum([0, *(len(ids_of[w]) for w in words)]),
+                          np.array([i for w in words for i in ids_of[w]], np.int64))
+
+
+def compile_sorted(words: list[bytes], offsets: np.ndarray, ids: np.ndarray) -> bytes:
+    """``compile_lexicon`` of sorted words without the empty one; word k has ids[offsets[k]:offsets[k + 1]]."""
     edges, final = _minimal(words)
     number, order, todo = {0: 0}, [0], [0]
     while todo:
-        for t in edges[todo.pop()].values():
+        for t in edges[todo.pop()][1::2]:
             if t not in number:
                 number[t] = len(order)
                 order.append(t)
@@ -61,20 +85,19 @@ def compile_lexicon(ids_of: dict[bytes, list[int]]) -> bytes:
     while stack:
         s, done = stack.pop()
         if done:
-            below[s] = final[s] + sum(below[t] for t in edges[s].values())
+            below[s] = final[s] + sum(below[t] for t in edges[s][1::2])
         elif s not in below:
             stack.append((s, True))
-            stack += [(t, False) for t in edges[s].values() if t not in below]
-    rows = []
+            stack += [(t, False) for t in edges[s][1::2] if t not in below]
+    rows = array("q")
     for s in order:
         skip = int(final[s])
-        for byte, t in sorted(edges[s].items()):
-            rows.append((number[s] * 256 + byte, number[t], skip))
+        for byte, t in zip(edges[s][::2], edges[s][1::2]):
+            rows.extend((number[s] * 256 + byte, number[t], skip))
             skip += below[t]
-    table = np.array(sorted(rows), np.int64).reshape(-1, 3)
-    seqs = [ids_of[w] for w in words]
-    parts = [table[:, 0], table[:, 1], table[:, 2], np.array([final[s] for s in order], np.int64),
-             np.cumsum([0, *map(len, seqs)]), np.array([i for s in seqs for i in s], np.int64)]
+    table = np.frombuffer(rows, np.int64).reshape(-1, 3) if rows else np.zeros((0, 3), np.int64)
+    table = table[np.argsort(table[:, 0])]
+    parts = [table[:, 0], table[:, 1], table[:, 2], np.array([final[s] for s in order], np.int64), offsets, ids]
     head = np.array([len(parts), *map(len, parts)], np.int64)
     return b"".join(np.ascontiguousarray(a, np.int64).tobytes() for a in [head, *parts])
 

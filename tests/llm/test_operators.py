@@ -117,6 +117,25 @@ def test_ngram_join_of_a_shared_passage(spark):
     assert got == brute_components(texts, 4, 85) and len({c for _, c in got.values()}) > 40
 
 
+def test_connected_sets_are_not_paired_again(spark, monkeypatch):
+    """A large group of near copies, each linked with some of the others only: once connected, its sets are not paired."""
+    import random
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(400)]
+    texts = {}
+    for n in range(300):
+        words = list(base)
+        for at in rng.sample(range(len(base)), rng.choice([4, 5, 6])):
+            words[at] = f"x{n}.{at}"
+        texts[n] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs, keep = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda d, name: pairs.append(keep(d, name)) or pairs[-1] if name == "pairs" else keep(d, name))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(df, 5, 80).collect()}
+    assert got == brute_components(texts, 5, 80)
+    assert sum(p.count() for p in pairs) < len(texts) ** 2 / 8  # 31,881 when labels took one step a round
+
+
 def test_boundary_moves_with_cost():
     sizes = {10: 100, 50: 100, 200: 10}
     assert ngram_join.choose_boundary(sizes, 0.0, 85) <= ngram_join.choose_boundary(sizes, 1e6, 85)
@@ -548,6 +567,24 @@ def test_filters_judge_rows_not_ids(spark, monkeypatch):
     assert sorted(left, key=str) == [(1000, "calm lake meadow"), (None, "calm lake meadow")]
 
 
+# --- lexicon ---------------------------------------------------------------------
+
+def test_lexicon_holds_few_states():
+    import tracemalloc
+    import numpy as np
+    from riskloom.llm import transducer
+    words = sorted({f"{stem:05d}{end}".encode() for stem in range(6000) for end in ("", "ing", "ings", "ment", "ments")})
+    offsets, ids = np.arange(len(words) + 1), np.arange(len(words))
+    tracemalloc.start()
+    block = transducer.compile_lexicon({w: [k] for k, w in enumerate(words)})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert block == transducer.compile_sorted(words, offsets, ids)
+    lexicon = transducer.Lexicon(np.frombuffer(block, np.int64))
+    assert lexicon.numbers(words).tolist() == list(range(len(words))) and lexicon.numbers([b"00001in", b"x", b""]).tolist() == [-1] * 3
+    assert lexicon.sequence(17) == [17] and peak < 15e6
+
+
 # --- pipeline --------------------------------------------------------------------
 
 def test_pipeline_stages(spark, docs):
