@@ -14,14 +14,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def stored(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, in files of ``file_rows`` at most if given, and read it back.
 
     Cuts the lineage: a lost executor costs at most the running tasks.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    write = df.write.option("maxRecordsPerFile", file_rows) if file_rows else df.write
+    write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -351,6 +352,38 @@ def test_cells_cut_into_parts_give_the_same(spark):
     assert a == b and {(r[0], r[1]) for r in a} == set(enumerate(links.tolist()))
 
 
+def written(spark):
+    """Bytes of Spark's own files (shuffles) and of the tables between steps."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    tops = [*manager.localDirsString(), store.scratch_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0]]
+    return sum(p.stat().st_size for top in tops for p in Path(top).rglob("*") if p.is_file() and p.suffix in (".data", ".parquet"))
+
+
+@pytest.mark.parametrize("kind, cell_rows", [("float", 256), ("double", 32)])
+def test_vectors_are_not_written_again_for_each_neighbour(spark, kind, cell_rows):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 64))
+    vecs = [(k, (base[k % 12] + rng.normal(size=64) * 0.17).tolist()) for k in range(240)]
+    vecs += [(1000 + k, rng.normal(size=64).tolist()) for k in range(2400)] + [(4000 + k, rng.normal(size=3).tolist()) for k in range(60)]
+    vecs += [(5000 + k, vecs[k][1]) for k in range(20)]
+    df = spark.createDataFrame(vecs, f"vec_id long, embedding array<{kind}>").repartition(4)
+    before = written(spark)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(embed_dedup.near_duplicate_vectors(df, cell_rows=cell_rows))}
+    size = sum(len(v) for _, v in vecs) * (4 if kind == "float" else 8)
+    assert written(spark) - before < 3 * size
+    ids, links = [k for k, _ in vecs], {}
+    for dim in (3, 64):
+        own = [k for k, (_, v) in enumerate(vecs) if len(v) == dim]
+        x = np.array([vecs[k][1] for k in own]).astype(kind).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        links |= {ids[own[i]]: {ids[own[j]] for j in np.flatnonzero(r) if j != i} for i, r in enumerate(x @ x.T >= 0.95)}
+    least = {k: k for k in ids}
+    while (low := {k: min([least[k], *(least[j] for j in links[k])]) for k in ids}) != least:
+        least = low
+    assert got == {k: (len(links[k]), least[k]) for k in ids} and sum(map(len, links.values())) > 1000
+
+
 def test_relaxed_search_keeps_recall(spark):
     df = spark.read.parquet(f"{SF_MED}/embeddings.parquet")
     q = df.where("vec_id % 100 = 0")
