@@ -352,26 +352,27 @@ def test_cells_cut_into_parts_give_the_same(spark):
     assert a == b and {(r[0], r[1]) for r in a} == set(enumerate(links.tolist()))
 
 
-def written(spark):
+def written(spark, tables):
     """Bytes of Spark's own files (shuffles) and of the tables between steps."""
-    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    tops = [*manager.localDirsString(), store.scratch_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0]]
-    return sum(p.stat().st_size for top in tops for p in Path(top).rglob("*") if p.is_file() and p.suffix in (".data", ".parquet"))
+    tops = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), *tables]
+    return sum(p.stat().st_size for top in tops for p in Path(top).rglob("*") if p.suffix in (".data", ".parquet"))
 
 
 @pytest.mark.parametrize("kind, cell_rows", [("float", 256), ("double", 32)])
-def test_vectors_are_not_written_again_for_each_neighbour(spark, kind, cell_rows):
+def test_vectors_are_not_written_again_for_each_neighbour(spark, monkeypatch, kind, cell_rows):
     import numpy as np
+    tables, path = [], store.scratch_path
+    monkeypatch.setattr(store, "scratch_path", lambda *a: tables.append(p := path(*a)) or p)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(12, 64))
     vecs = [(k, (base[k % 12] + rng.normal(size=64) * 0.17).tolist()) for k in range(240)]
     vecs += [(1000 + k, rng.normal(size=64).tolist()) for k in range(2400)] + [(4000 + k, rng.normal(size=3).tolist()) for k in range(60)]
     vecs += [(5000 + k, vecs[k][1]) for k in range(20)]
     df = spark.createDataFrame(vecs, f"vec_id long, embedding array<{kind}>").repartition(4)
-    before = written(spark)
+    before = written(spark, [])
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(embed_dedup.near_duplicate_vectors(df, cell_rows=cell_rows))}
     size = sum(len(v) for _, v in vecs) * (4 if kind == "float" else 8)
-    assert written(spark) - before < 3 * size
+    assert written(spark, [t.removeprefix("file:") for t in tables]) - before < 3 * size
     ids, links = [k for k, _ in vecs], {}
     for dim in (3, 64):
         own = [k for k, (_, v) in enumerate(vecs) if len(v) == dim]
